@@ -1,0 +1 @@
+"""Readers for exported artifacts and stores, and the sinks that write them."""
