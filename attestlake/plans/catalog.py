@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import artifact_queries  # noqa: F401
+from . import (  # noqa: F401
+    artifact_queries,
+    claim_queries,
+    detect_queries,
+    receipt_queries,
+    search_queries,
+)
 from .registry import QUERIES, SQL
 
 
