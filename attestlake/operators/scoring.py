@@ -9,7 +9,7 @@ from ..functions.cells import strip
 from ..functions.fixed import ANSWER_TYPES, LIST_ANSWER_TYPES
 from ..functions.hashing import canonical_json
 from ..functions.prose import bucket_question
-from .receipts import data_fingerprint
+from .receipts import placed_digest
 
 
 def validate_questions(questions: DataFrame) -> DataFrame:
@@ -92,18 +92,8 @@ def breakdown(scored: DataFrame, dimensions: list[str]) -> DataFrame:
 
 
 def corpus_hash(questions: DataFrame, columns: list[str], fan: int = 10_000) -> DataFrame:
-    """Digest of a corpus whatever the order of its files.
-
-    Questions are placed by the hash of their id and digested as a tree, so no task
-    holds the corpus. Ids whose places fall together are told apart by their own text.
-    """
-    place = F.conv(F.substring(F.sha2(F.col("question_id").cast("binary"), 256), 1, 10), 16, 10)
-    rows = questions.select(
-        F.lit(0).alias("_corpus"),
-        place.cast("bigint").alias("ordinal"),
-        canonical_json(questions, columns).alias("canonical"),
-    )
-    tree = data_fingerprint(rows, ["_corpus"], fan=fan)
+    """Digest of a corpus, whatever the order of its files and questions."""
+    tree = placed_digest(questions, "question_id", canonical_json(questions, columns), fan)
     return tree.select(
         F.col("data_digest").alias("corpus_digest"), F.col("row_count").alias("n_questions")
     )

@@ -185,9 +185,12 @@ def rcp08_diff(t: Tables):
 
 @query(
     "rcp09_pack_drift",
-    "WITH pack AS (SELECT sha256(string_agg('/' || item_id || '.yml' || chr(0) || sha256(text), chr(0) ORDER "
-    "BY '/' || item_id || '.yml')) AS d FROM benchmark) SELECT conv_id, turn, turn % 2 = 0 AS drifted FROM "
-    "conversations, pack",
+    "WITH files AS (SELECT '/' || item_id || '.yml' AS path, text FROM benchmark), leaf AS (SELECT "
+    "CAST('0x' || substr(sha256(path), 1, 10) AS BIGINT) AS pl, sha256(path || chr(0) || sha256(text)) AS h "
+    "FROM files), a AS (SELECT pl // 10000 AS pl, sha256(string_agg(h, '' ORDER BY pl, h)) AS h FROM leaf "
+    "GROUP BY 1), b AS (SELECT pl // 10000 AS pl, sha256(string_agg(h, '' ORDER BY pl)) AS h FROM a GROUP BY "
+    "1) SELECT conv_id, turn, turn % 2 = 0 AS drifted, (SELECT sha256(string_agg(h, '' ORDER BY pl)) FROM b) "
+    "AS present FROM conversations",
 )
 def rcp09(t: Tables):
     """Passages as the files of a pack; receipts that recorded its digest, or another one."""
@@ -204,7 +207,7 @@ def rcp09(t: Tables):
         F.to_json(F.struct(recorded.alias("rules_sha256"))).alias("args_canonical"),
     )
     return rc.pack_drift(made, packs, "rules_sha256").select(
-        "receipt_id.conv_id", "receipt_id.turn", "drifted"
+        "receipt_id.conv_id", "receipt_id.turn", "drifted", "present"
     )
 
 

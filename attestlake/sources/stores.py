@@ -56,7 +56,7 @@ def receipt_records(receipts: DataFrame) -> DataFrame:
 
 
 def corpus_questions(
-    files: DataFrame, prefix: str = "nss", image_sha256: str | None = None
+    files: DataFrame, prefix: str = "nss", image_sha256: str | None = None, keep: list[str] = ()
 ) -> DataFrame:
     """Questions of whole corpus files (column `text`) in the `{"questions": [...]}` shape.
 
@@ -64,12 +64,13 @@ def corpus_questions(
     """
     doc = F.try_parse_json(strip(F.col("text")))
     entries = F.try_variant_get(doc, "$.questions", "array<variant>")
-    rows = files.select(F.posexplode(entries).alias("pos", "q"))
+    rows = files.select(*keep, F.posexplode(entries).alias("pos", "q"))
     answer = F.try_variant_get("q", "$.answer", "variant")
     is_list = F.schema_of_variant(answer).startswith("ARRAY")
     items = F.array_sort(F.try_variant_get(answer, "$", "array<string>"))
     scalar = strip(F.try_variant_get(answer, "$", "string"))
     return rows.select(
+        *keep,
         F.concat(F.lit(prefix + "-"), F.lpad(F.col("pos").cast("string"), 4, "0")).alias(
             "question_id"
         ),
