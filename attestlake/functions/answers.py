@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .cells import normalize_path, strip
+from .cells import let, normalize_path, strip
 from .fixed import LIST_ANSWER_TYPES
 
 NUMBER = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
@@ -15,10 +15,13 @@ TOLERANCE_MICROS = 2_000_000
 
 def list_payload(c: Column) -> Column:
     """Distinct trimmed items of a JSON array of strings; null for anything else."""
-    shape = F.schema_of_variant(F.try_parse_json(strip(c)))
-    items = F.from_json(strip(c), "array<string>")
-    only_strings = shape.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(items, F.isnull)
-    return F.when(only_strings, F.array_distinct(F.transform(items, strip)))
+
+    def read(v: Column) -> Column:
+        strings = F.schema_of_variant(v).isin("ARRAY<STRING>", "ARRAY<VOID>")
+        items = F.try_variant_get(v, "$", "array<string>")
+        return F.when(strings & ~F.exists(items, F.isnull), F.array_distinct(F.transform(items, strip)))
+
+    return let(F.try_parse_json(strip(c)), read)
 
 
 def number(c: Column) -> Column:
@@ -31,50 +34,86 @@ def answer_micros(c: Column) -> Column:
     return F.when(text.rlike(ISO_TIME), F.unix_micros(F.try_to_timestamp(text)))
 
 
-def same_list(expected: Column, given: Column) -> Column:
-    e, g = list_payload(expected), list_payload(given)
-    return F.array_sort(e) == F.array_sort(g)
+def answer_key(kind: Column, answer: Column) -> Column:
+    """Text that two answers of a kind share exactly when they match; null when unreadable.
 
-
-def match_answer(kind: Column, expected: Column, given: Column) -> Column:
-    e, g = strip(expected), strip(given)
-    hit = (
-        F.when(kind.isin(*LIST_ANSWER_TYPES), same_list(expected, given))
-        .when(kind == "exact_string", e == g)
-        .when(kind == "string_ci", F.lower(e) == F.lower(g))
-        .when(kind == "hex_hash", (F.lower(e) == F.lower(g)) & g.rlike("^[0-9a-fA-F]+$"))
-        .when(kind == "numeric", number(e) == number(g))
-        .when(kind == "timestamp", F.abs(answer_micros(e) - answer_micros(g)) <= TOLERANCE_MICROS)
-        .when(kind == "path", normalize_path(e) == normalize_path(g))
-        .when(kind == "sid", F.upper(e) == F.upper(g))
+    Times have none, as they match within a tolerance.
+    """
+    text = strip(answer)
+    return (
+        F.when(kind.isin(*LIST_ANSWER_TYPES), F.to_json(F.sort_array(list_payload(answer))))
+        .when(kind == "exact_string", text)
+        .when(kind == "string_ci", F.lower(text))
+        .when(kind == "hex_hash", F.when(text.rlike("^[0-9a-fA-F]+$"), F.lower(text)))
+        .when(kind == "numeric", (number(answer) + 0.0).cast("string"))
+        .when(kind == "path", normalize_path(answer))
+        .when(kind == "sid", F.upper(text))
     )
+
+
+def _near(kind: Column, wanted: Column, given: Column) -> Column:
+    """`wanted`: struct of key and micros of the expected answer."""
+    close = F.abs(wanted["micros"] - answer_micros(given)) <= TOLERANCE_MICROS
+    hit = F.when(kind == "timestamp", close).otherwise(wanted["key"] == answer_key(kind, given))
     return F.coalesce(hit, F.lit(False))
 
 
+def _wanted(kind: Column, expected: Column) -> Column:
+    return F.struct(
+        answer_key(kind, expected).alias("key"),
+        F.when(kind == "timestamp", answer_micros(expected)).alias("micros"),
+    )
+
+
+def match_answer(kind: Column, expected: Column, given: Column) -> Column:
+    return _near(kind, _wanted(kind, expected), given)
+
+
 def list_stats(expected: Column, given: Column) -> Column:
     """Precision, recall, F1 and exactness of two list answers; null when one is unreadable."""
-    e, g = list_payload(expected), list_payload(given)
-    hits = F.size(F.array_intersect(e, g))
-    empty = (F.size(e) == 0) & (F.size(g) == 0)
-    precision = F.when(F.size(g) > 0, hits / F.size(g)).otherwise(F.lit(0.0))
-    recall = F.when(F.size(e) > 0, hits / F.size(e)).otherwise(F.lit(0.0))
-    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall))
-    exact = (hits == F.size(e)) & (hits == F.size(g))
-    stats = F.struct(
-        F.when(empty, 1.0).otherwise(precision).alias("precision"),
-        F.when(empty, 1.0).otherwise(recall).alias("recall"),
-        F.when(empty, 1.0).otherwise(F.coalesce(f1, F.lit(0.0))).alias("f1"),
-        F.when(exact, 1.0).otherwise(0.0).alias("exact"),
+
+    def measure(p: Column) -> Column:
+        size_e, size_g = F.size(p["e"]), F.size(p["g"])
+        return F.struct(
+            F.size(F.array_intersect(p["e"], p["g"])).alias("hits"),
+            size_e.alias("e"),
+            size_g.alias("g"),
+        )
+
+    def rate(n: Column) -> Column:
+        both_empty = (n["e"] == 0) & (n["g"] == 0)
+        precision = F.when(both_empty, 1.0).when(n["g"] > 0, n["hits"] / n["g"]).otherwise(0.0)
+        recall = F.when(both_empty, 1.0).when(n["e"] > 0, n["hits"] / n["e"]).otherwise(0.0)
+        f1 = F.when(both_empty, 1.0).when(
+            n["hits"] > 0, 2 * precision * recall / (precision + recall)
+        )
+        exact = (n["hits"] == n["e"]) & (n["hits"] == n["g"])
+        return F.struct(
+            precision.alias("precision"),
+            recall.alias("recall"),
+            F.coalesce(f1, F.lit(0.0)).alias("f1"),
+            F.when(exact, 1.0).otherwise(0.0).alias("exact"),
+        )
+
+    pair = F.struct(list_payload(expected).alias("e"), list_payload(given).alias("g"))
+    return let(
+        pair,
+        lambda p: F.when(
+            p["e"].isNotNull() & p["g"].isNotNull(), let(measure(p), rate)
+        ),
     )
-    return F.when(e.isNotNull() & g.isNotNull(), stats)
 
 
 def first_match(kind: Column, expected: Column, candidates: Column, k: int) -> Column:
     """0-based position of the first matching candidate among the first k, else null."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    verdicts = F.transform(F.slice(candidates, 1, k), lambda c: match_answer(kind, expected, c))
-    position = F.array_position(verdicts, F.lit(True))
+    position = let(
+        _wanted(kind, expected),
+        lambda w: F.array_position(
+            F.transform(F.slice(candidates, 1, k), lambda c: _near(kind, w, c)), F.lit(True)
+        ),
+    )
     return F.when(position > 0, (position - 1).cast("int"))
 
 

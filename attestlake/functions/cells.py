@@ -69,15 +69,24 @@ def reasons(c: Column) -> Column:
     return _pieces(F.coalesce(c, F.lit("")), "\\|")
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _last_wins(entries: Column) -> Column:
     """Map from (key, value) structs; of equal keys the last one is kept."""
-    size = F.size(entries)
 
-    def is_last(entry: Column, i: Column) -> Column:
-        later = F.slice(entries, i + 2, F.greatest(size - i - 1, F.lit(0)))
-        return ~F.exists(later, lambda other: other["key"] == entry["key"])
+    def build(es: Column) -> Column:
+        def is_last(entry: Column, i: Column) -> Column:
+            later = F.slice(es, i + 2, F.size(es))
+            return ~F.exists(later, lambda other: other["key"] == entry["key"])
+
+        keys = F.transform(es, lambda e: e["key"])
+        distinct = F.size(F.array_distinct(keys)) == F.size(es)
+        return F.map_from_entries(F.when(distinct, es).otherwise(F.filter(es, is_last)))
 
-    return F.map_from_entries(F.filter(entries, is_last))
+    return let(entries, build)
 
 
 def event_data(payload: Column) -> Column:

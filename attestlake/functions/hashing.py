@@ -27,7 +27,7 @@ def _plain(col: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.MapType):
         return F.map_from_entries(
             F.transform(
-                F.array_sort(F.map_entries(col)),
+                F.sort_array(F.map_entries(col)),
                 lambda e: F.struct(e["key"], _plain(e["value"], kind.valueType)),
             )
         )
@@ -73,9 +73,8 @@ def number_text(d: Column) -> Column:
 
 
 def json_text(c: Column) -> Column:
-    """A string as a JSON string literal."""
-    wrapped = F.to_json(F.array(c))
-    return F.substring(wrapped, 2, 2147483647).substr(F.lit(1), F.length(wrapped) - 2)
+    """A string as a JSON string literal; it ends in quotes, so only the brackets go."""
+    return F.btrim(F.to_json(F.array(c)), F.lit("[]"))
 
 
 def json_scalar(col: Column, kind: T.DataType) -> Column:

@@ -32,7 +32,7 @@ def _link_block(rows: DataFrame, heads: DataFrame | None) -> DataFrame:
     """Links the receipts of one block of every run, given the last id before it."""
     head, tail = header_halves(rows)
     grouped = rows.groupBy("run_id").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("seq", head.alias("head"), tail.alias("tail")))
         ).alias("members")
     )
@@ -61,13 +61,12 @@ def link_chain(receipts: DataFrame, block: int = BLOCK) -> DataFrame:
     is linked in parallel, with the ids at the end of block n-1 as start. No group ever
     holds more than `block` headers, and only long runs need more than one round.
     """
-    top = receipts.agg(F.floor(F.max("seq") / block)).first()[0]
+    # Headers are small next to the records they were minted from: written once, so that
+    # neither the rounds nor later readers derive them again.
+    rows = cut_lineage(receipts.withColumn("_block", F.floor(F.col("seq") / block)))
+    top = rows.agg(F.max("_block")).first()[0]
     if not top:
-        return _link_block(receipts, None)
-    # Written once by block, so that each round reads its own rows only.
-    rows = cut_lineage(
-        receipts.withColumn("_block", F.floor(F.col("seq") / block)).repartitionByRange("_block")
-    )
+        return _link_block(rows.drop("_block"), None)
     done, heads = None, None
     for number in range(int(top) + 1):
         part = cut_lineage(_link_block(rows.where(F.col("_block") == number), heads))

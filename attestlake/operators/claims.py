@@ -51,7 +51,7 @@ def claim_evidence(claims: DataFrame) -> DataFrame:
 
 def _keyed(evidence: DataFrame) -> DataFrame:
     """Adds the sorted field list of the predicate and the value combinations it allows."""
-    fields = F.array_sort(F.map_keys("predicate"))
+    fields = F.sort_array(F.map_keys("predicate"))
     combos = F.aggregate(
         fields,
         F.array(F.array().cast("array<string>")),
@@ -179,8 +179,8 @@ def verdicts(judged: DataFrame) -> DataFrame:
     totals = judged.groupBy("claim_id").agg(
         F.count("*").alias("n_evidence"),
         F.min_by(F.struct("receipt_id", "failure"), F.when(failed, F.col("evidence_idx"))).alias("_f"),
-        F.array_sort(F.collect_list(F.when(failed, listed))).alias("_failed"),
-        F.array_sort(F.collect_list(F.when(unmatched, listed))).alias("_unmatched"),
+        F.sort_array(F.collect_list(F.when(failed, listed))).alias("_failed"),
+        F.sort_array(F.collect_list(F.when(unmatched, listed))).alias("_unmatched"),
     )
     ids = lambda name: F.transform(name, lambda x: x["receipt_id"])
     verdict = (

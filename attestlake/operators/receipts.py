@@ -59,7 +59,7 @@ def data_fingerprint(
     )
     for step in range(levels):
         at = F.floor(F.col("_at") / fan) if step < levels - 1 else F.lit(0).cast("bigint")
-        ordered = F.array_sort(F.collect_list(F.struct("_at", "_h")))
+        ordered = F.sort_array(F.collect_list(F.struct("_at", "_h")))
         level = (
             level.withColumn("_up", at)
             .groupBy(*by, "_up")

@@ -630,9 +630,8 @@ def claims(t: Tables) -> DataFrame:
             F.lit("event_type"), kinds, F.lit("user"), F.array(quoted("user", user))
         ),
     )
-    second = entry(
-        F.col("receipt_id"), F.create_map(F.lit("k"), F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: i.cast("string")))
-    )
+    low = F.array(*[F.lit(str(i)) for i in range(61)])
+    second = entry(F.col("receipt_id"), F.create_map(F.lit("k"), low))
     return short_chain(t).select(
         F.concat(F.lit("claim-"), F.col("receipt_id")).alias("claim_id"),
         F.lit("narrative_inference").alias("finding_type"),

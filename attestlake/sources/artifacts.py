@@ -337,24 +337,30 @@ def _csv_cells(line: Column) -> Column:
 
 
 def memory_rows_of_files(files: DataFrame, plugin: str) -> DataFrame:
-    """One row per plugin row from whole plugin outputs (columns `source_file`, `text`)."""
-    text = c.strip(F.col("text"))
-    lines = F.split(text, "\r?\n")
+    """One row per plugin row from whole plugin outputs (columns `source_file`, `text`).
+
+    Each step reads the columns of the one before, so every text is parsed once.
+    """
     blank = lambda s: c.strip(s) == ""
     is_object = lambda v: F.coalesce(
         F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)
     )
-    objects = F.transform(lines, F.try_parse_json)
-    broken = F.exists(lines, lambda s: ~blank(s) & F.try_parse_json(s).isNull())
-    is_lines = (
-        text.startswith("{") & text.contains("\n") & ~broken & F.exists(objects, is_object)
+    text, lines = F.col("_text"), F.col("_lines")
+    split = files.select("source_file", c.strip(F.col("text")).alias("_text")).withColumn(
+        "_lines", F.split("_text", "\r?\n")
     )
-    array = F.try_parse_json(text)
-    is_array = text.startswith("[") & F.coalesce(
-        F.schema_of_variant(array).startswith("ARRAY"), F.lit(False)
+    parsed = split.select(
+        "*",
+        F.when(
+            text.startswith("{") & (F.size(lines) > 1), F.transform(lines, F.try_parse_json)
+        ).alias("_objects"),
+        F.when(
+            text.startswith("["), F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+        ).alias("_array"),
     )
+    unread = F.size(F.filter("_objects", F.isnull)) - F.size(F.filter(lines, blank))
     header = _csv_cells(lines[0])
-    body = F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda s: ~blank(s))
+    body = F.filter(F.slice(lines, 2, F.size(lines)), lambda s: ~blank(s))
 
     def csv_row(line: Column) -> Column:
         pairs = F.arrays_zip(header.alias("key"), _csv_cells(line).alias("value"))
@@ -362,23 +368,27 @@ def memory_rows_of_files(files: DataFrame, plugin: str) -> DataFrame:
         return F.parse_json(F.to_json(F.map_from_entries(named)))
 
     items = (
-        F.when(is_lines, F.transform(objects, lambda v: F.when(is_object(v), v)))
+        F.when(
+            F.col("_objects").isNotNull() & (unread == 0) & F.exists("_objects", is_object),
+            F.transform("_objects", lambda v: F.when(is_object(v), v)),
+        )
         .when(
-            is_array,
+            F.col("_array").isNotNull(),
             F.transform(
-                F.try_variant_get(array, "$", "array<variant>"),
+                "_array",
                 lambda v: F.when(is_object(v), v).otherwise(
                     F.to_variant_object(F.struct(v.alias("value")))
                 ),
             ),
         )
-        .when(F.size(body) > 0, F.transform(body, csv_row))
+        .when(F.exists(F.slice(lines, 2, F.size(lines)), lambda s: ~blank(s)), F.transform(body, csv_row))
     )
-    exploded = files.select(
+    rows = parsed.select("source_file", "_text", items.alias("_items"))
+    exploded = rows.select(
         "source_file",
         F.lit(plugin).alias("plugin"),
-        F.when(items.isNull() & (text != ""), F.left(text, F.lit(1000))).alias("banner"),
-        F.posexplode_outer(items).alias("row_index", "data"),
+        F.when(F.col("_items").isNull() & (text != ""), F.left(text, F.lit(1000))).alias("banner"),
+        F.posexplode_outer("_items").alias("row_index", "data"),
     )
     return exploded.where(F.col("data").isNotNull() | F.col("banner").isNotNull()).select(
         "source_file", "plugin", "row_index", "data", "banner"

@@ -33,7 +33,7 @@ def write_receipt_lines(receipts: DataFrame, records: DataFrame, path: str, fan:
     if not sizes.isEmpty():
         raise ValueError("a receipt has too many records for one line; store records as a table")
     data = records.groupBy("receipt_id").agg(
-        F.array_sort(F.collect_list(F.struct("record_idx", "record"))).alias("rs")
+        F.sort_array(F.collect_list(F.struct("record_idx", "record"))).alias("rs")
     )
     lines = receipts.join(data, "receipt_id", "left").select(
         "receipt_id",

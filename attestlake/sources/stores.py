@@ -67,7 +67,7 @@ def corpus_questions(
     rows = files.select(*keep, F.posexplode(entries).alias("pos", "q"))
     answer = F.try_variant_get("q", "$.answer", "variant")
     is_list = F.schema_of_variant(answer).startswith("ARRAY")
-    items = F.array_sort(F.try_variant_get(answer, "$", "array<string>"))
+    items = F.sort_array(F.try_variant_get(answer, "$", "array<string>"))
     scalar = strip(F.try_variant_get(answer, "$", "string"))
     return rows.select(
         *keep,
