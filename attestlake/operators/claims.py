@@ -49,29 +49,32 @@ def claim_evidence(claims: DataFrame) -> DataFrame:
     ).select("claim_id", "evidence_idx", "e.receipt_id", "e.predicate")
 
 
+# Values are JSON text, which never holds this character, so joined values stay distinct.
+GLUE = "\u0001"
+
+
 def _keyed(evidence: DataFrame) -> DataFrame:
     """Adds the sorted field list of the predicate and the value combinations it allows."""
-    fields = F.sort_array(F.map_keys("predicate"))
+    keyed = evidence.withColumn("_fields", F.sort_array(F.map_keys("predicate")))
     combos = F.aggregate(
-        fields,
-        F.array(F.array().cast("array<string>")),
-        lambda acc, name: F.flatten(
+        F.transform(
+            "_fields", lambda name: F.array_distinct(F.element_at(F.col("predicate"), name))
+        ),
+        F.array(F.lit("")),
+        lambda acc, values: F.flatten(
             F.transform(
-                acc,
-                lambda head: F.transform(
-                    F.element_at(F.col("predicate"), name),
-                    lambda v: F.concat(head, F.array(v)),
-                ),
+                acc, lambda head: F.transform(values, lambda v: F.concat(head, F.lit(GLUE), v))
             )
         ),
     )
-    return evidence.withColumn("_fields", fields).withColumn("_combos", combos)
+    return keyed.withColumn("_combos", combos)
 
 
 def _record_values(record: Column, fields: Column) -> Column:
-    """A record's values of some fields; null when it lacks one of them."""
+    """A record's values of some fields as one text; null when it lacks one of them."""
     values = F.transform(fields, lambda name: F.try_element_at(record, name))
-    return F.when(~F.exists(values, F.isnull), values)
+    glued = F.concat(F.lit(GLUE), F.array_join(values, GLUE))
+    return F.when(~F.exists(values, F.isnull), glued)
 
 
 def match_predicate(evidence: DataFrame, records: DataFrame, ordinal: str = "ordinal") -> DataFrame:
@@ -97,7 +100,7 @@ def match_predicate(evidence: DataFrame, records: DataFrame, ordinal: str = "ord
     )
     asked = keyed.select(
         "claim_id", "evidence_idx", "receipt_id", "_fields",
-        F.explode_outer(F.array_distinct("_combos")).alias("_values"),
+        F.explode_outer("_combos").alias("_values"),
     )
     return (
         asked.join(tallies, ["receipt_id", "_fields", "_values"], "left")
@@ -116,7 +119,7 @@ def predicate_hits(evidence: DataFrame, records: DataFrame, ordinal: str = "ordi
     valued = records.join(shapes, "receipt_id").withColumn(
         "_values", _record_values(F.col("record"), F.col("_fields"))
     )
-    asked = keyed.withColumn("_values", F.explode(F.array_distinct("_combos")))
+    asked = keyed.withColumn("_values", F.explode("_combos"))
     return asked.join(valued, ["receipt_id", "_fields", "_values"]).select(
         "claim_id", "evidence_idx", "receipt_id", ordinal
     )
