@@ -33,13 +33,15 @@ def write_receipt_lines(receipts: DataFrame, records: DataFrame, path: str, fan:
     if not sizes.isEmpty():
         raise ValueError("a receipt has too many records for one line; store records as a table")
     data = records.groupBy("receipt_id").agg(
-        F.sort_array(F.collect_list(F.struct("record_idx", "record"))).alias("rs")
+        F.sort_array(
+            F.collect_list(F.struct("record_idx", F.map_entries("record").alias("entries")))
+        ).alias("rs")
     )
     lines = receipts.join(data, "receipt_id", "left").select(
         "receipt_id",
         F.struct(*header).alias("header"),
         F.coalesce(
-            F.transform("rs", lambda r: r["record"]),
+            F.transform("rs", lambda r: F.map_from_entries(r["entries"])),
             F.array().cast("array<map<string,string>>"),
         ).alias("data"),
         "seal",
