@@ -100,19 +100,24 @@ def record_map(df: DataFrame, columns: list[str]) -> Column:
         F.array(*[json_scalar(F.col(c), kinds[c]) for c in columns]),
     )
     for name in columns:
-        kind = kinds[name]
-        if isinstance(kind, T.MapType):
-            inner = F.transform(
-                F.map_entries(F.coalesce(F.col(name), F.create_map().cast(kind))),
-                lambda e, p=name, v=kind.valueType: F.struct(
-                    F.concat(F.lit(p + "."), e["key"].cast("string")).alias("key"),
-                    json_scalar(e["value"], v).alias("value"),
-                ),
-            )
-            flat = F.map_concat(flat, F.map_from_entries(inner))
+        if isinstance(kinds[name], T.MapType):
+            flat = F.map_concat(flat, _dotted(name, kinds[name]))
     return flat
 
 
+def _dotted(name: str, kind: T.MapType) -> Column:
+    """Entries of a map column as `name.key`; none for a null map."""
+    entries = F.transform(
+        F.map_entries(name),
+        lambda e: F.struct(
+            F.concat(F.lit(name + "."), e["key"].cast("string")).alias("key"),
+            json_scalar(e["value"], kind.valueType).alias("value"),
+        ),
+    )
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    return F.map_from_entries(F.coalesce(entries, none))
+
+
 def digest(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
