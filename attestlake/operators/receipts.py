@@ -190,27 +190,28 @@ def lookup(receipts: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def placed_digest(rows: DataFrame, key: str, canonical: Column, fan: int = FAN) -> DataFrame:
-    """Digest of a whole table, one row, whatever its order.
+def placed_digest(
+    rows: DataFrame, key: str, canonical: Column, fan: int = FAN, by: list[str] | None = None
+) -> DataFrame:
+    """Digest of a whole table, or of each group of it, whatever its order.
 
     Rows are placed by the hash of their key, so the tree is the same however the table
     was read, and no node holds more than a small share of it.
     """
     place = F.conv(F.substring(F.sha2(F.col(key).cast("binary"), 256), 1, 10), 16, 10)
+    groups = [F.col(n) for n in by] if by else [F.lit(0).alias("_table")]
     placed = rows.select(
-        F.lit(0).alias("_table"),
-        place.cast("bigint").alias("ordinal"),
-        canonical.alias("canonical"),
+        *groups, place.cast("bigint").alias("ordinal"), canonical.alias("canonical")
     )
-    return data_fingerprint(placed, ["_table"], fan=fan).drop("_table")
+    return data_fingerprint(placed, by or ["_table"], fan=fan).drop("_table")
 
 
-def pack_digest(files: DataFrame, root: str = "") -> DataFrame:
-    """Digest of a rule or plugin pack from the path and digest of each file."""
+def pack_digest(files: DataFrame, root: str = "", by: list[str] | None = None) -> DataFrame:
+    """Digest of a rule or plugin pack (one per group) from the path and digest of each file."""
     name = F.replace("path", F.lit(root), F.lit("")) if root else F.col("path")
-    named = files.select(name.alias("path"), "sha256")
-    tree = placed_digest(named, "path", F.concat("path", F.lit("\0"), "sha256"))
-    return tree.select(F.col("data_digest").alias("pack_digest"))
+    named = files.withColumn("path", name)
+    tree = placed_digest(named, "path", F.concat("path", F.lit("\0"), "sha256"), by=by)
+    return tree.select(*(by or []), F.col("data_digest").alias("pack_digest"))
 
 
 def pack_drift(receipts: DataFrame, packs: DataFrame, argument: str) -> DataFrame:

@@ -72,7 +72,7 @@ cte(
 )
 
 
-def _text(*parts) -> Column:
+def text(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
@@ -90,8 +90,8 @@ def event_log(t: Tables) -> DataFrame:
         F.when(F.col("event_type").isin("signup", "purchase"), "System")
         .otherwise("Security")
         .alias("channel"),
-        _text("user", user.cast("string")).alias("user_name"),
-        _text("S-1-5-21-", user.cast("string")).alias("user_sid"),
+        text("user", user.cast("string")).alias("user_name"),
+        text("S-1-5-21-", user.cast("string")).alias("user_sid"),
         F.when(k % 3 == 0, 2).otherwise(3).alias("logon_type"),
         F.when(k % 2 == 0, "NTLM").otherwise("Kerberos").alias("auth_package"),
     )
@@ -114,16 +114,16 @@ def raw_event_rows(t: Tables) -> DataFrame:
     """Events as an event-log export: text cells, odd spellings, a JSON payload."""
     user, k = F.col("user_id").cast("string"), F.col("k")
     kind = F.when(k % 3 == 0, "2").otherwise("3")
-    name = F.when(k % 4 == 0, "").otherwise(_text("user", user))
-    entry = lambda n, v: _text('{"@Name":"', n, '","#text":"', v, '"}')
+    name = F.when(k % 4 == 0, "").otherwise(text("user", user))
+    entry = lambda n, v: text('{"@Name":"', n, '","#text":"', v, '"}')
     data = F.concat_ws(
         ",",
         entry("LogonType", "9"),
         entry("LogonType", kind),
         entry("TargetUserName", name),
-        entry("SubjectUserName", _text("svc", (F.col("user_id") % 3).cast("string"))),
+        entry("SubjectUserName", text("svc", (F.col("user_id") % 3).cast("string"))),
         entry("AuthenticationPackageName", F.when(k % 2 == 0, "NTLM").otherwise("Kerberos")),
-        F.when(k % 7 == 0, entry("IpAddress", _text("192.168.0.", k.cast("string")))),
+        F.when(k % 7 == 0, entry("IpAddress", text("192.168.0.", k.cast("string")))),
     )
     return events(t).select(
         "host",
@@ -131,18 +131,18 @@ def raw_event_rows(t: Tables) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("TimeCreated"),
         F.when(k % 17 == 0, "n/a")
         .when(k % 19 == 0, " ")
-        .otherwise(_text(" ", pick(F.col("event_type"), EVENT_CODES).cast("string")))
+        .otherwise(text(" ", pick(F.col("event_type"), EVENT_CODES).cast("string")))
         .alias("EventId"),
         F.col("event_type").alias("Provider"),
         F.lit("Security").alias("Channel"),
         F.col("host").alias("Computer"),
-        _text("row", user).alias("UserName"),
-        _text("S-1-5-21-", user).alias("UserId"),
-        F.when(k % 5 == 0, "").otherwise(_text("10.0.0.", user)).alias("RemoteHost"),
+        text("row", user).alias("UserName"),
+        text("S-1-5-21-", user).alias("UserId"),
+        F.when(k % 5 == 0, "").otherwise(text("10.0.0.", user)).alias("RemoteHost"),
         F.when(k % 13 == 0, "x").otherwise(kind).alias("PayloadData1"),
-        F.when(k % 2 == 0, _text("logontype ", kind)).otherwise("").alias("PayloadData2"),
+        F.when(k % 2 == 0, text("logontype ", kind)).otherwise("").alias("PayloadData2"),
         F.when(k % 11 == 0, "{broken")
-        .otherwise(_text('{"EventData":{"Data":[', data, "]}}"))
+        .otherwise(text('{"EventData":{"Data":[', data, "]}}"))
         .alias("Payload"),
     )
 
@@ -161,12 +161,12 @@ def raw_journal_rows(t: Tables) -> DataFrame:
     k = F.col("k").cast("string")
     return events(t).select(
         "host",
-        _text("prog", k, ".exe").alias("Name"),
+        text("prog", k, ".exe").alias("Name"),
         F.lit("exe").alias("Extension"),
         F.col("user_id").cast("string").alias("EntryNumber"),
         (F.col("user_id") % 3).cast("string").alias("SequenceNumber"),
         F.lit("").alias("ParentEntryNumber"),
-        F.when(F.col("k") % 4 == 0, "").otherwise(_text("C:\\Users\\u", k, "\\/")).alias("ParentPath"),
+        F.when(F.col("k") % 4 == 0, "").otherwise(text("C:\\Users\\u", k, "\\/")).alias("ParentPath"),
         F.when(F.col("k") % 23 == 0, "bad").otherwise(F.col("event_id").cast("string")).alias(
             "UpdateSequenceNumber"
         ),
@@ -179,7 +179,7 @@ def raw_journal_rows(t: Tables) -> DataFrame:
 
 
 def change_journal(t: Tables) -> DataFrame:
-    name = _text("prog", F.col("k").cast("string"), ".exe")
+    name = text("prog", F.col("k").cast("string"), ".exe")
     reasons = pick(F.col("event_type"), journal_reasons())
     return events(t).select(
         "host",
@@ -187,7 +187,7 @@ def change_journal(t: Tables) -> DataFrame:
         F.col("event_id").alias("usn"),
         F.transform(F.split(reasons, "\\|"), F.trim).alias("update_reasons"),
         name.alias("file_name"),
-        _text("C:\\Users\\u", F.col("user_id").cast("string"), "\\", name).alias("full_path"),
+        text("C:\\Users\\u", F.col("user_id").cast("string"), "\\", name).alias("full_path"),
         F.col("user_id").alias("file_record_number"),
         (F.col("user_id") % 3).alias("file_record_sequence_number"),
     )
@@ -215,8 +215,8 @@ PLUGINS = {
 def registry(t: Tables) -> DataFrame:
     k = F.col("k")
     program = F.when(
-        k % 3 == 0, _text('"C:\\Users\\u1\\AppData\\prog', k.cast("string"), '.exe" -s')
-    ).otherwise(_text("C:\\Apps\\prog", k.cast("string"), ".exe"))
+        k % 3 == 0, text('"C:\\Users\\u1\\AppData\\prog', k.cast("string"), '.exe" -s')
+    ).otherwise(text("C:\\Apps\\prog", k.cast("string"), ".exe"))
     task = F.when(k % 10 == 0, "Orphan entry").when(k % 10 == 1, "SD MISSING").otherwise("ok")
     return events(t).select(
         "host",
@@ -226,7 +226,7 @@ def registry(t: Tables) -> DataFrame:
         )
         .otherwise("HKLM\\System")
         .alias("key_path"),
-        _text("v", F.col("event_id").cast("string")).alias("value_name"),
+        text("v", F.col("event_id").cast("string")).alias("value_name"),
         F.when(F.col("event_type") == "view", task).otherwise(program).alias("value_data"),
         F.col("ts").alias("last_write_ts"),
     )
@@ -256,7 +256,7 @@ def raw_rule_rows(t: Tables) -> DataFrame:
         F.lit("Security").alias("Channel"),
         k.cast("string").alias("EventID"),
         F.when(k % 31 == 0, "unknown").otherwise(F.initcap(pick(k % 5, LEVELS))).alias("Level"),
-        _text("rule ", F.col("event_type")).alias("RuleTitle"),
+        text("rule ", F.col("event_type")).alias("RuleTitle"),
         F.when(k % 2 == 0, pick(k % 4, TECHNIQUES)).otherwise("").alias("MitreTags"),
         pick(k % 4, TECHNIQUES).alias("MitreTechniques"),
         F.lit("TA1, TA2").alias("MitreTactics"),
@@ -272,7 +272,7 @@ def rule_hits(t: Tables) -> DataFrame:
         "host",
         "ts",
         pick(k % 5, LEVELS).alias("level"),
-        _text("rule ", F.col("event_type")).alias("rule_title"),
+        text("rule ", F.col("event_type")).alias("rule_title"),
         F.filter(F.split(lists, ","), lambda x: x != "").alias("mitre_techniques"),
         F.col("event_id").alias("record_id"),
     )
@@ -295,8 +295,8 @@ def timeline_rows(t: Tables) -> DataFrame:
         pick(F.col("event_type"), {"click": "EVT", "view": "WEBHIST", "error": "LOG"}, "FILE").alias(
             "source_short"
         ),
-        _text("parser", (F.col("k") % 4).cast("string")).alias("parser_name"),
-        _text("User ", F.col("user_id").cast("string"), " did ", F.col("event_type"), " 100%_").alias(
+        text("parser", (F.col("k") % 4).cast("string")).alias("parser_name"),
+        text("User ", F.col("user_id").cast("string"), " did ", F.col("event_type"), " 100%_").alias(
             "description"
         ),
         F.col("event_id").alias("record_key"),
@@ -323,7 +323,7 @@ def file_entries(t: Tables) -> DataFrame:
     none = F.lit(None).cast("timestamp_ntz")
     return rows.select(
         F.col("o_orderkey").alias("entry_number"),
-        _text(
+        text(
             "C:\\", F.col("o_orderpriority"), "\\F", F.col("o_orderkey").cast("string"), "_100%.dat"
         ).alias("full_path"),
         F.col("o_orderdate").alias("si_created"),
@@ -348,11 +348,11 @@ cte(
 
 def inventory(t: Tables) -> DataFrame:
     key = F.col("p_partkey")
-    name = _text("C:\\Apps\\prog", (key % 100).cast("string"), ".exe")
-    sha = F.substring(F.sha2(_text(F.col("p_name"), key.cast("string")).cast("binary"), 256), 1, 40)
+    name = text("C:\\Apps\\prog", (key % 100).cast("string"), ".exe")
+    sha = F.substring(F.sha2(text(F.col("p_name"), key.cast("string")).cast("binary"), 256), 1, 40)
     return t.part.select(
-        _text("host", (key % 10).cast("string")).alias("host"),
-        _text("0000", F.upper(sha)).alias("file_id"),
+        text("host", (key % 10).cast("string")).alias("host"),
+        text("0000", F.upper(sha)).alias("file_id"),
         sha.alias("sha1"),
         name.alias("name"),
         name.alias("full_path"),
@@ -377,11 +377,11 @@ def executions(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_partkey").agg(
         F.count("*").alias("run_count"), F.max("l_shipdate").alias("shipped")
     ).select(
-        _text("host", (key % 10).cast("string")).alias("host"),
-        _text("PROG", (key % 100).cast("string"), "-", key.cast("string"), ".pf").alias(
+        text("host", (key % 10).cast("string")).alias("host"),
+        text("PROG", (key % 100).cast("string"), "-", key.cast("string"), ".pf").alias(
             "source_filename"
         ),
-        _text("prog", (key % 100).cast("string"), ".exe").alias("executable_name"),
+        text("prog", (key % 100).cast("string"), ".exe").alias("executable_name"),
         key.cast("string").alias("hash"),
         "run_count",
         F.timestamp_add("DAY", (key % 29).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))
@@ -411,7 +411,7 @@ def files(t: Tables) -> DataFrame:
     docs = t.documents.select(
         F.when(F.col("lang") == "en", "ss-win").otherwise("ss-unix").alias("image"),
         F.col("doc_id").alias("inode"),
-        _text(F.col("source"), "/", F.col("lang"), "-", F.col("doc_id").cast("string"), ".txt").alias(
+        text(F.col("source"), "/", F.col("lang"), "-", F.col("doc_id").cast("string"), ".txt").alias(
             "filename"
         ),
         (F.col("doc_id") % 5 == 0).alias("deleted"),
@@ -421,7 +421,7 @@ def files(t: Tables) -> DataFrame:
     web = t.pages.select(
         F.lit("ss-win").alias("image"),
         (F.col("page_id") + 1000000).alias("inode"),
-        _text("web/P", F.col("page_id").cast("string"), ".HTML ($FILE_NAME)").alias("filename"),
+        text("web/P", F.col("page_id").cast("string"), ".HTML ($FILE_NAME)").alias("filename"),
         (F.col("page_id") % 5 == 0).alias("deleted"),
         F.octet_length("html").cast("bigint").alias("file_size_bytes"),
         F.col("html").cast("binary").alias("content"),
@@ -448,13 +448,13 @@ KEY = b"attestlake check key"
 def record_rows(t: Tables) -> DataFrame:
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
     rows = events(t).select(
-        _text("run-", F.col("user_id").cast("string")).alias("run_id"),
+        text("run-", F.col("user_id").cast("string")).alias("run_id"),
         day.cast("bigint").alias("seq"),
         F.col("event_id").alias("ordinal"),
         "event_id",
         "event_type",
         "k",
-        _text("user", F.col("user_id").cast("string")).alias("user"),
+        text("user", F.col("user_id").cast("string")).alias("user"),
         "value",
         F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props").alias("raw"),
     )
@@ -536,7 +536,7 @@ def receipt_meta(rows: DataFrame) -> DataFrame:
         *BY,
         pick(seq % 4, TOOL).alias("tool_name"),
         F.when(seq % 13 == 12, "0.9").otherwise("1.0").alias("tool_version"),
-        _text('{"day":', seq.cast("string"), ',"run":"', F.col("run_id"), '"}').alias("args_canonical"),
+        text('{"day":', seq.cast("string"), ',"run":"', F.col("run_id"), '"}').alias("args_canonical"),
         image.alias("image_sha256"),
         F.timestamp_add("DAY", seq.cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"),
     )
@@ -616,7 +616,7 @@ def claims(t: Tables) -> DataFrame:
     """One claim per receipt; some cite nothing real, some a value that does not occur."""
     seq = F.col("seq")
     user = F.substring_index("run_id", "-", -1)
-    quoted = lambda *parts: _text('"', *parts, '"')
+    quoted = lambda *parts: text('"', *parts, '"')
     kinds = (
         F.when((seq + user.cast("bigint")) % 5 == 0, F.array(F.lit('"absent"')))
         .when(seq % 3 == 0, F.array(F.lit('"click"'), F.lit('"view"')))

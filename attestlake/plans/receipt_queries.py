@@ -185,22 +185,25 @@ def rcp08_diff(t: Tables):
 
 @query(
     "rcp09_pack_drift",
-    "WITH files AS (SELECT '/' || item_id || '.yml' AS path, text FROM benchmark), leaf AS (SELECT "
-    "CAST('0x' || substr(sha256(path), 1, 10) AS BIGINT) AS pl, sha256(path || chr(0) || sha256(text)) AS h "
-    "FROM files), a AS (SELECT pl // 10000 AS pl, sha256(string_agg(h, '' ORDER BY pl, h)) AS h FROM leaf "
-    "GROUP BY 1), b AS (SELECT pl // 10000 AS pl, sha256(string_agg(h, '' ORDER BY pl)) AS h FROM a GROUP BY "
-    "1) SELECT conv_id, turn, turn % 2 = 0 AS drifted, (SELECT sha256(string_agg(h, '' ORDER BY pl)) FROM b) "
-    "AS present FROM conversations",
+    "WITH leaf AS (SELECT 'tool' || (item_id % 3) AS tool_name, CAST('0x' || substr(sha256('/' || item_id || "
+    "'.yml'), 1, 10) AS BIGINT) AS pl, sha256('/' || item_id || '.yml' || chr(0) || sha256(text)) AS h FROM "
+    "benchmark), a AS (SELECT tool_name, pl // 10000 AS pl, sha256(string_agg(h, '' ORDER BY pl, h)) AS h FROM "
+    "leaf GROUP BY 1, 2), b AS (SELECT tool_name, pl // 10000 AS pl, sha256(string_agg(h, '' ORDER BY pl)) AS h "
+    "FROM a GROUP BY 1, 2) SELECT conv_id, turn, turn % 2 = 0 AS drifted, present FROM conversations JOIN "
+    "(SELECT tool_name, sha256(string_agg(h, '' ORDER BY pl)) AS present FROM b GROUP BY 1) ON tool_name = "
+    "'tool' || (conv_id % 3)",
 )
 def rcp09(t: Tables):
-    """Passages as the files of a pack; receipts that recorded its digest, or another one."""
+    """Passages as the files of three packs; receipts that recorded the digest, or another one."""
+    tool = lambda name: ad.text("tool", (F.col(name) % 3).cast("string"))
     packed = t.benchmark.select(
+        tool("item_id").alias("tool_name"),
         F.concat(F.lit("/"), F.col("item_id").cast("string"), F.lit(".yml")).alias("path"),
         F.sha2(F.col("text").cast("binary"), 256).alias("sha256"),
     )
-    packs = rc.pack_digest(packed).withColumn("tool_name", F.lit("run_hayabusa"))
+    packs = rc.pack_digest(packed, by=["tool_name"])
     recorded = F.when(F.col("turn") % 2 == 0, F.lit("0" * 64)).otherwise(F.col("pack_digest"))
-    made = t.conversations.withColumn("tool_name", F.lit("run_hayabusa")).join(packs, "tool_name")
+    made = t.conversations.withColumn("tool_name", tool("conv_id")).join(packs, "tool_name")
     made = made.select(
         F.struct("conv_id", "turn").alias("receipt_id"),
         "tool_name",

@@ -8,7 +8,7 @@ from ..functions import answers as ans, prose
 from ..operators import scoring as sco
 from ..sources.stores import corpus_questions, latest_attempts
 from . import adapters as ad
-from .adapters import cte, pick, with_ctes
+from .adapters import cte, pick, text, with_ctes
 from .registry import Tables, query
 
 KINDS = {
@@ -24,10 +24,6 @@ KINDS = {
 }
 
 
-def text(*parts):
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-
 def pairs(t: Tables):
     """One row per line item: the order's expected answer and the item's candidate."""
     kind = F.col("o_orderkey") % 9
