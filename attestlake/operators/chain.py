@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import digest
-from ..session import cut_lineage
+from ..session import scratch_table, written
 from .receipts import header_halves, header_id, prev_json
 
 BLOCK = 1024
@@ -54,32 +54,37 @@ def _link_block(rows: DataFrame, heads: DataFrame | None) -> DataFrame:
 
 
 def link_chain(receipts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Adds `prev` and `receipt_id`. Needs `seq`, unique within its run.
+    """Adds `prev` and `receipt_id`. Needs `seq`, the position in the run, unique within it.
 
     An id covers the id before it, so a run is linked in order; runs are independent of
-    each other. Runs are taken in blocks of `block` sequence numbers: block n of all runs
-    is linked in parallel, with the ids at the end of block n-1 as start. No group ever
+    each other. Runs are taken in blocks of `block` positions: block n of all runs is
+    linked in parallel, with the ids at the end of block n-1 as start. No group ever
     holds more than `block` headers, and only long runs need more than one round.
+
+    Headers are small next to the records they were minted from. They are written once,
+    by block, to the shared folder: each round reads its own block only, and nothing is
+    derived again.
     """
-    # Headers are small next to the records they were minted from: written once, so that
-    # neither the rounds nor later readers derive them again.
-    rows = cut_lineage(receipts.withColumn("_block", F.floor(F.col("seq") / block)))
-    top = rows.agg(F.max("_block")).first()[0]
-    if not top:
+    spark = receipts.sparkSession
+    folder = scratch_table(spark, "chain")
+    rows = written(
+        receipts.withColumn("_block", F.floor(F.col("seq") / block)), f"{folder}/headers", "_block"
+    )
+    numbers = sorted(r[0] for r in rows.select("_block").distinct().collect())
+    if len(numbers) < 2:
         return _link_block(rows.drop("_block"), None)
-    done, heads = None, None
-    for number in range(int(top) + 1):
-        part = cut_lineage(_link_block(rows.where(F.col("_block") == number), heads))
+    heads = None
+    for number in numbers:
+        mine = rows.where(F.col("_block") == number).drop("_block")
+        part = written(_link_block(mine, heads), f"{folder}/linked/_block={number}")
         ends = part.groupBy("run_id").agg(F.max_by("receipt_id", "seq").alias("last"))
         if heads is not None:
             older = heads.withColumnRenamed("last", "_old")
-            ends = (
-                older.join(ends, "run_id", "full")
-                .select("run_id", F.coalesce("last", "_old").alias("last"))
+            ends = older.join(ends, "run_id", "full").select(
+                "run_id", F.coalesce("last", "_old").alias("last")
             )
-        heads = cut_lineage(ends)
-        done = part if done is None else done.unionByName(part)
-    return done.drop("_block")
+        heads = written(ends, f"{folder}/heads/{number}")
+    return spark.read.schema(part.schema).parquet(f"{folder}/linked")
 
 
 def verify_chain(receipts: DataFrame) -> DataFrame:
@@ -94,7 +99,7 @@ def verify_chain(receipts: DataFrame) -> DataFrame:
         "run_id", "receipt_id", F.lit("altered").alias("problem")
     )
     linked = seen.where(F.col("prev").isNotNull())
-    known = seen.select("run_id", F.col("actual").alias("prev")).distinct()
+    known = seen.select("run_id", F.col("actual").alias("prev"))
     dangling = linked.join(known, ["run_id", "prev"], "left_anti").select(
         "run_id", "receipt_id", F.lit("dangling").alias("problem")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as c
 from ..operators import filters as flt
+from ..session import scratch_table
 from ..sources import artifacts as src
 from ..sources.stores import evidence_manifest
 from . import adapters as ad
@@ -46,6 +47,27 @@ def src01(t: Tables):
     )
 
 
+@query(
+    "src01_event_log_files",
+    with_ctes(
+        "ev",
+        select="SELECT host, event_id AS record_number, " + MICROS + ", CASE WHEN k % 11 = 0 THEN NULL WHEN k % "
+        "3 = 0 THEN '2' ELSE '3' END AS logon FROM ev WHERE k % 17 <> 0",
+    ),
+)
+def src01_files(t: Tables):
+    """The export written as CSV files and read back."""
+    path = scratch_table(t.spark, "export")
+    ad.raw_event_rows(t).withColumnRenamed("host", "Host").write.option("header", True).option(
+        "quote", '"'
+    ).option("escape", '"').csv(path)
+    log = src.read_event_log(t.spark, path)
+    return log.select(
+        F.col("computer").alias("host"), "record_number", _us(),
+        c.event_data(F.col("payload_summary"))["LogonType"].alias("logon"),
+    )
+
+
 @query(
     "src02_file_entries",
     "SELECT o_orderkey AS entry_number, o_orderkey * 1024 AS entry_offset, "

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import length_prefixed_digest
 from ..operators import chain, receipts as rc, replay
+from ..session import scratch_table
+from ..sources.sinks import append_receipts
 from . import adapters as ad
 from .adapters import cte, with_ctes
 from .registry import Tables, query
@@ -308,6 +310,24 @@ def rcp14(t: Tables):
     return table.check(made, {"source": rows})
 
 
+@query(
+    "snk01_append_receipts",
+    with_ctes(
+        "meta",
+        select="SELECT run_id, count(*) AS n, min(seq) AS first, max(seq) AS last FROM meta GROUP BY 1",
+    ),
+)
+def snk01(t: Tables):
+    """Half of the receipts appended, then all of them: the store holds each once."""
+    made = ad.short_chain(t)
+    path = scratch_table(t.spark, "receipts")
+    append_receipts(made.where("seq % 2 = 0"), path)
+    append_receipts(made, path)
+    return t.spark.read.parquet(path).groupBy("run_id").agg(
+        F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last")
+    )
+
+
 @query(
     "src11_receipt_lines",
     with_ctes(

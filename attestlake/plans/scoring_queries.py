@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answers as ans, prose
+from ..functions.hashing import json_text
 from ..operators import scoring as sco
-from ..sources.stores import corpus_questions, latest_attempts
+from ..session import scratch_table
+from ..sources.sinks import append_attempts
+from ..sources.stores import corpus_questions, latest_attempts, read_attempts
 from . import adapters as ad
 from .adapters import cte, pick, text, with_ctes
 from .registry import Tables, query
@@ -296,6 +299,23 @@ def src13(t: Tables):
     return latest_attempts(rows).select("question_id", "seq")
 
 
+@query(
+    "snk03_append_attempts",
+    "SELECT CAST(l_orderkey AS VARCHAR) AS question_id, max(l_linenumber) AS seq FROM lineitem GROUP BY 1",
+)
+def snk03(t: Tables):
+    """Attempts written as lines in two goes and read back: the last one per question counts."""
+    rows = t.lineitem.select(
+        F.col("l_linenumber").cast("bigint").alias("seq"),
+        F.col("l_orderkey").cast("string").alias("question_id"),
+        F.array("l_linestatus").alias("candidates"),
+    )
+    path = scratch_table(t.spark, "attempts")
+    append_attempts(rows.where("seq > 2"), path)
+    append_attempts(rows.where("seq <= 2"), path)
+    return read_attempts(t.spark, path).select("question_id", "seq")
+
+
 @query(
     "src12_questions",
     "SELECT page_id, 'nss-0000' AS question_id, url AS question_text, CASE page_id % 3 WHEN 0 THEN "
@@ -314,7 +334,7 @@ def src12(t: Tables):
     )
     files = t.pages.select(
         text(
-            '{"questions":[{"question":', F.to_json(F.struct("url")).substr(8, 100000).substr(F.lit(1), F.length("url") + 2),
+            '{"questions":[{"question":', json_text(F.col("url")),
             ',"answer":', answer, '},{"question":"second","answer":', key, "}]}",
         ).alias("text"),
         "page_id",

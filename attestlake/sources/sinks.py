@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+RUN_BUCKETS = 64
+
+
+def run_bucket(run_id="run_id"):
+    """The folder a run's receipts lie in: a fixed number of folders for any number of runs."""
+    return F.pmod(F.xxhash64(run_id), F.lit(RUN_BUCKETS)).cast("int")
+
+
 def append_receipts(receipts: DataFrame, path: str) -> None:
-    """Append receipts not stored yet; ids are content-addressed, so a rerun adds nothing."""
+    """Append receipts not stored yet; ids are content-addressed, so a rerun adds nothing.
+
+    Before writing, rows are rebalanced by folder: adaptive execution joins small pieces
+    and splits the folder of a hot run into several files. To read one run, filter on
+    `run_bucket` as well.
+    """
     spark = receipts.sparkSession
-    fresh = receipts.dropDuplicates(["receipt_id"])
+    fresh = receipts.dropDuplicates(["receipt_id"]).withColumn("run_bucket", run_bucket())
     if _exists(spark, path):
-        stored = spark.read.parquet(path).select("receipt_id")
-        fresh = fresh.join(stored, "receipt_id", "left_anti")
-    fresh.write.mode("append").partitionBy("run_id").parquet(path)
+        stored = spark.read.parquet(path).select("run_bucket", "receipt_id")
+        fresh = fresh.join(stored, ["run_bucket", "receipt_id"], "left_anti")
+    fresh.hint("rebalance", "run_bucket").write.mode("append").partitionBy("run_bucket").parquet(path)
 
 
 def _exists(spark, path: str) -> bool:
