@@ -61,9 +61,9 @@ def link_chain(receipts: DataFrame, block: int = BLOCK) -> DataFrame:
     linked in parallel, with the ids at the end of block n-1 as start. No group ever
     holds more than `block` headers, and only long runs need more than one round.
 
-    Headers are small next to the records they were minted from. They are written once,
-    by block, to the shared folder: each round reads its own block only, and nothing is
-    derived again.
+    Headers are small next to the records they were minted from. They are written by block
+    to the shared folder, before and after linking: each round reads its own block only,
+    and whoever uses the result several times derives nothing again.
     """
     spark = receipts.sparkSession
     folder = scratch_table(spark, "chain")
@@ -71,12 +71,13 @@ def link_chain(receipts: DataFrame, block: int = BLOCK) -> DataFrame:
         receipts.withColumn("_block", F.floor(F.col("seq") / block)), f"{folder}/headers", "_block"
     )
     numbers = sorted(r[0] for r in rows.select("_block").distinct().collect())
-    if len(numbers) < 2:
-        return _link_block(rows.drop("_block"), None)
-    heads = None
+    heads, schema = None, None
     for number in numbers:
         mine = rows.where(F.col("_block") == number).drop("_block")
-        part = written(_link_block(mine, heads), f"{folder}/linked/_block={number}")
+        part = written(_link_block(mine, heads), f"{folder}/linked/{number}")
+        schema = part.schema
+        if number == numbers[-1]:
+            break
         ends = part.groupBy("run_id").agg(F.max_by("receipt_id", "seq").alias("last"))
         if heads is not None:
             older = heads.withColumnRenamed("last", "_old")
@@ -84,7 +85,9 @@ def link_chain(receipts: DataFrame, block: int = BLOCK) -> DataFrame:
                 "run_id", F.coalesce("last", "_old").alias("last")
             )
         heads = written(ends, f"{folder}/heads/{number}")
-    return spark.read.schema(part.schema).parquet(f"{folder}/linked")
+    if schema is None:  # no receipts at all
+        return _link_block(rows.drop("_block"), None)
+    return spark.read.schema(schema).parquet(*[f"{folder}/linked/{n}" for n in numbers])
 
 
 def verify_chain(receipts: DataFrame) -> DataFrame:
