@@ -107,7 +107,7 @@ def json_list(expr: str, where: str = "true") -> str:
     ),
 )
 def sch04(t: Tables):
-    return sch.answer_set(sch.literal_search(ad.files(t), patterns()), ["pattern_id"])
+    return sch.answer_set(sch.multi_search(ad.files(t), patterns()), ["pattern_id"])
 
 
 @query(
@@ -128,7 +128,7 @@ def sch04(t: Tables):
 def sch05(t: Tables):
     rows = [(p.pattern_id,) for p in patterns()]
     questions = t.spark.createDataFrame(rows, "pattern_id string")
-    hits = sch.literal_search(ad.files(t), patterns())
+    hits = sch.multi_search(ad.files(t), patterns())
     names = ("candidate_all", "candidate_deleted", "candidate_live", "candidate_none")
     ranked = sch.answer_variants(questions, hits, ["pattern_id"])
     return ranked.select(
@@ -146,7 +146,7 @@ def sch05(t: Tables):
 )
 def sch05_scores(t: Tables):
     """Expected: the deleted hits. So the second candidate fits, or the first when all are deleted."""
-    hits = sch.literal_search(ad.files(t), patterns())
+    hits = sch.multi_search(ad.files(t), patterns())
     expected = sch.answer_items(hits, ["pattern_id"]).where("in_deleted")
     scores = sch.variant_scores(expected, hits, ["pattern_id"])
     return scores.join(expected.select("pattern_id").distinct(), "pattern_id", "left_semi")
