@@ -34,10 +34,16 @@ def build_session(app: str = "attestlake", master: str | None = None, **conf: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a fresh one only when none is named."""
+    """The folder that `spark.checkpoint.dir` names.
+
+    Where none is named, a session in one process gets a fresh local folder; on a cluster, whose
+    executors do not share local folders, it is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 

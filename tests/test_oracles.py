@@ -5,8 +5,9 @@ from compare import compare, duck
 from conftest import SF
 
 import __spark_entry__ as entry
+from attestlake.plans import catalog
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
