@@ -70,3 +70,16 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op2_token_files")
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_files import file_starts, read_token_files, token_folder, write_token_files
+
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    docs = common.documents(spark, sf_dir)
+    index = write_token_files(docs, token_folder(spark), tokenizer, end_id=2, vocabulary=50257)
+    back = read_token_files(spark, file_starts(index))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
