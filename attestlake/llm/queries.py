@@ -83,3 +83,24 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_token_files(docs, token_folder(spark), tokenizer, end_id=2, vocabulary=50257)
     back = read_token_files(spark, file_starts(index))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def held_out(docs: DataFrame):
+    """Documents whose crc32 of the id, as text, leaves 2 when divided by 4; never a document without an id."""
+    return F.coalesce(F.crc32(F.encode(docs["doc_id"].cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
+
+
+@query("op3_language_id")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, train
+
+    docs = common.documents(spark, sf_dir)
+    model = train(docs.filter(~held_out(docs) & docs["doc_id"].isNotNull()))
+    found = identify(docs, model, ["doc_id"])
+    return found.select(
+        "doc_id",
+        held_out(found).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+        F.size("lang_spans").alias("n_spans"),
+    )
