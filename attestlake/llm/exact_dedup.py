@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 from ..session import scratch_table
 from .common import scratch
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # Many small stores: no disk space ahead of need, and only changes are uploaded with each batch.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 # Hits of one digest meet its content in groups of at most about this many rows.
 HITS_PER_GROUP = 4096
 
@@ -68,8 +75,9 @@ def stream_state(spark: SparkSession, source: DataFrame, digest, checkpoint: str
         # Overwriting the folder of the batch makes a repeated batch harmless.
         changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_SETTINGS}
+    for name, value in STATE_SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         query = (
             ledger.writeStream.outputMode("update")
@@ -80,7 +88,8 @@ def stream_state(spark: SparkSession, source: DataFrame, digest, checkpoint: str
         )
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     changes = spark.read.schema(
         ledger.select("*", F.lit(0).alias("batch")).schema
     ).option("basePath", out).parquet(out)

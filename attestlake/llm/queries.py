@@ -134,3 +134,11 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(common.documents(spark, sf_dir))
+
+
+@query("op10_decontaminate")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated_passages
+
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contaminated_passages(common.documents(spark, sf_dir), items)
