@@ -259,22 +259,23 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
     each labelled; an empty table gives an empty result. A text is worked on as a whole, at about a hundred
     bytes of memory for each of its bytes.
     """
-    # A column position, not a name, tells the text apart: `keep` may repeat or contain it.
+    # Positions, not names, tell the columns apart; a text that is kept is not sent twice.
+    kept = len(keep)
+    text_at = keep.index("text") if "text" in keep else kept + 1
     inputs = docs.select(
         *[docs[c].alias(f"_kept{i}") for i, c in enumerate(keep)],
-        docs["text"].alias("_text"),
         docs["text"].rlike(r"\p{L}").alias("_has_letter"),
+        *([docs["text"].alias("_text")] if text_at > kept else []),
     )
-    kept = len(keep)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(kept))
+            data, offsets = text_buffer(batch.column(text_at))
             found: list[tuple] = []
             for first, last in text_chunks(offsets, CHUNK):
                 own = offsets[first : last + 1]
                 found += _label_chunk(data[own[0] : own[-1]], own - own[0], model)
-            letter = batch.column(kept + 1).to_pylist()
+            letter = batch.column(kept).to_pylist()
             fallback = model.languages[0] if model.languages else UNDETERMINED
             langs = [
                 UNDETERMINED if not has else fallback if lang == UNDETERMINED else lang

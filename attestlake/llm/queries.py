@@ -142,3 +142,18 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contaminated_passages(common.documents(spark, sf_dir), items)
+
+
+@query("op8_mix_sources")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    mixed = mix_sources(common.documents(spark, sf_dir), max_repeats=1.5, seed=8)
+    return mixed.select(
+        "doc_id",
+        "source",
+        F.col("_tokens").alias("tokens"),
+        F.col("_epoch").alias("epoch"),
+        F.col("_block").alias("block"),
+        F.col("_mix_at").alias("mix_at"),
+    )
