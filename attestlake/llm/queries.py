@@ -157,3 +157,18 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_block").alias("block"),
         F.col("_mix_at").alias("mix_at"),
     )
+
+
+@query("op7_secret_scan")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import find_secrets, labelled_samples, of_kind, rendered, train
+
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    found = find_secrets(docs, train(labelled_samples(docs)))
+    base = F.filter("_secrets", lambda s: s["kind"] != "markov")
+    return found.select(
+        "doc_id",
+        *[of_kind(F.col("_secrets"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(rendered(base), 256).alias("base_sha256"),
+        rendered(F.col("_secrets")).alias("spans"),
+    )
