@@ -187,3 +187,12 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.createDataFrame([(-1, 0, "user", hostile), (-1, 1, "assistant", hostile)], turns.schema)
     )
     return read_back(*format_conversations(turns, tokenizer), tokenizer)
+
+
+@query("op5_license_scan")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    found = scan_licenses(common.documents(spark, sf_dir))
+    words = [F.array_join(c, " ").alias(c) for c in ("missing", "added")]
+    return found.select("doc_id", "license", "start", "end", "saved_bytes", *words, "exact")
