@@ -220,13 +220,15 @@ def _label_chunk(data: np.ndarray, offsets: np.ndarray, model: LanguageModel) ->
     size = np.add.reduceat((letters > 0).astype(np.int64), starts)
     scores[size == 0] = 0
     fits = (seen[:, None] & ~model.scripts[None, :]) == 0
-    narrowed = fits.any(axis=1)  # a word that fits no language is left to all of them
-    scores -= WRONG_SCRIPT * (~fits & narrowed[:, None])
+    scores -= WRONG_SCRIPT * ~fits
+    strange = ~fits.any(axis=1)  # a word of no learned language's script takes the label of its neighbours
+    scores[strange] = 0
     first_word = np.searchsorted(text_of, np.arange(texts + 1))
     labels = viterbi(scores, first_word, SWITCH_PENALTY)
     # letters by text and language
-    held = np.bincount(text_of * known + labels, weights=size, minlength=texts * known).reshape(texts, known)
-    total = held.sum(axis=1)
+    claimed = np.where(strange, 0, size)
+    held = np.bincount(text_of * known + labels, weights=claimed, minlength=texts * known).reshape(texts, known)
+    total = np.bincount(text_of, weights=size, minlength=texts)
     winner = held.argmax(axis=1)
     # spans: runs of one label within a text, in code points
     new = np.ones(len(labels), bool)
@@ -239,7 +241,7 @@ def _label_chunk(data: np.ndarray, offsets: np.ndarray, model: LanguageModel) ->
     span_text = np.searchsorted(text_of[heads], np.arange(texts + 1))
     out = []
     for i in range(texts):
-        if not total[i]:
+        if not held[i].any():
             out.append((UNDETERMINED, 0.0, []))
             continue
         spans = [
@@ -253,9 +255,9 @@ def _label_chunk(data: np.ndarray, offsets: np.ndarray, model: LanguageModel) ->
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
     """The columns `keep` of `docs` with `lang_pred`, `lang_score` and `lang_spans` from the column `text` alone.
 
-    `lang_score` is the share of the text's letters in spans of the predicted language. A null text and a
-    text without a letter of a known script are `und` with score 0 and no spans, except that letters of other
-    scripts make a text the first learned language at score 0. Spans are in code points. Rows that repeat are
+    `lang_score` is the share of the text's letters in spans of the predicted language; letters in scripts of
+    no learned language count for none. A null text and a text without a letter are `und` with score 0 and no
+    spans; a text with letters of such scripts only gets the first learned language with score 0. Spans are in code points. Rows that repeat are
     each labelled; an empty table gives an empty result. A text is worked on as a whole, at about a hundred
     bytes of memory for each of its bytes.
     """
