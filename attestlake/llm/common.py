@@ -103,6 +103,16 @@ LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[0x41:0x5B] += 0x20
 
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII and of the capitals U+00C0 to U+00DE; all other bytes, and all lengths, stay."""
+    out = data.copy()
+    out[(data >= 0x41) & (data <= 0x5A)] += 0x20
+    if len(data) > 1:
+        capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][capital] += 0x20
+    return out
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of all runs without ASCII white space, and the index of the text of each."""
     solid = np.zeros(len(data) + 2, bool)

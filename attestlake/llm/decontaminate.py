@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, mix, text_buffer, text_chunks, word_hashes, word_spans
+from .common import lower_latin, mix, text_buffer, text_chunks, word_hashes, word_spans
 
 # An item counts as found with at most this share of its words inserted, deleted or replaced.
 EDIT_SHARE = 0.15
@@ -33,9 +33,9 @@ MAX_STEPS = 60
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (ASCII case folded), starts, ends and text numbers of all words."""
+    """Hashes (case of ASCII and Latin-1 letters folded), starts, ends and text numbers of all words."""
     starts, ends, text_of = word_spans(data, offsets)
-    return word_hashes(LOWER_ASCII[data], starts, ends), starts, ends, text_of
+    return word_hashes(lower_latin(data), starts, ends), starts, ends, text_of
 
 
 class Walk:
@@ -206,7 +206,7 @@ def find_items(data: np.ndarray, offsets: np.ndarray, index: ItemIndex) -> list[
             continue
         most, size = int(index.most[item]), int(index.sizes[item])
         low = max(int(first_word[text]), at - most, passed.get((text, item), 0))
-        high = min(int(first_word[text + 1]), at + size + most)
+        high = min(int(first_word[text + 1]), at + size + 2 * most)  # the window may begin early
         match = within(index.words[item], words[low:high].tolist(), most)
         if match is None:
             continue
@@ -221,7 +221,8 @@ def contaminated_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per passage: doc_id, item_id, item_words, edits, start, end (code points of the text).
 
     `docs` has doc_id and text, `items` item_id and text. An item is found where some part of a text is
-    within EDIT_SHARE of the item's words of it, in word edits; ASCII case and white space do not count.
+    within EDIT_SHARE of the item's words of it, in word edits; case of ASCII and Latin-1 letters and ASCII white
+    space do not count.
     Null, empty and wordless texts match nothing on either side; equal items are each reported; rows of
     `docs` that repeat are each searched; a null id is passed on. Other columns are not read.
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_buffer, text_chunks, word_spans
+from .common import lower_latin, text_buffer, text_chunks, word_spans
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -83,21 +83,11 @@ def letter_scripts(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lowered(data: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII and of the capitals U+00C0 to U+00DE; all other bytes, and all lengths, stay."""
-    out = data.copy()
-    out[(data >= 0x41) & (data <= 0x5A)] += 0x20
-    if len(data) > 1:
-        capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        out[1:][capital] += 0x20
-    return out
-
-
 def trigram_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each byte of a word the bucket of the trigram around it, with a blank before and after each word; BUCKETS elsewhere."""
     n = len(data)
     low = np.full(n + 2, 0x20, np.uint32)
-    low[1:-1] = _lowered(data)
+    low[1:-1] = lower_latin(data)
     inside = np.zeros(n + 1, np.int8)
     np.add.at(inside, starts, 1)
     np.add.at(inside, ends, -1)
