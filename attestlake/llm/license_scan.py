@@ -120,6 +120,8 @@ class Scanner:
             size = len(self.words[name])
             if not size or len(missing) + len(added) > MISSING_SHARE * size:
                 continue
+            if any(c.isdigit() for word in missing for c in word):
+                continue  # another version is another license
             key = (len(missing) + len(added), -size, -saved, name)
             if best is None or key < best[0]:
                 best = (key, (name, saved, missing, added))

@@ -3,10 +3,13 @@
 1. Sketch: every document's word shingles are hashed and put through many multiply-add hashes; the minima
    are the signature. Bands of `ROWS` minima become bucket keys.
 2. Documents with the same words are one class and only its smallest id goes on.
-3. Star pairs: each member of a bucket with the bucket's smallest member. Pairs pass the signature check
-   and are then confirmed on the full shingle sets.
-4. Components of the confirmed links by alternating large-star and small-star.
-5. Rest pairs: in buckets whose members are still in different components, all pairs across components
+3. Shared shingles: how many shingles of a document occur in any other document that is in a bucket. The
+   intersection of two sets is at most that number of either, which rules out most pairs of a group of
+   copies with many edits each before they are formed, and loses none that links.
+4. Star pairs: each member of a bucket with the bucket's pivot, the member with the smallest share of
+   shingles of its own. Pairs pass the signature check and are then confirmed on the full shingle sets.
+5. Components of the confirmed links by alternating large-star and small-star.
+6. Rest pairs: in buckets whose members are still in different components, all pairs across components
    are checked in the same way. So no link that a bucket shows is lost, although members of one component
    are not paired with each other.
 
@@ -151,11 +154,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = offsets[first : last + 1]
             sets = shingle_sets(data[own[0] : own[-1]], own - own[0])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), pa.array([s.tobytes() for s in sets], pa.binary())],
+                [batch.column(0).slice(first, last - first), _lists(sets)],
                 names=["doc_id", "shingles"],
             )
 
 
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+
+
 def _signature_check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
@@ -166,33 +174,40 @@ def _signature_check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _set_check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for i in range(batch.num_rows):
+            x, y = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
             both = len(np.intersect1d(x, y, assume_unique=True))
             linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def confirm(pairs: DataFrame, sketch: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sketch: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets meet the threshold, as a written table."""
-    one = sketch.select("doc_id", "n_shingles", "minima").filter("n_shingles > 0")
+    minima = sketch.select("doc_id", "minima").filter("minima is not null")
     for side in ("a", "b"):
-        pairs = pairs.join(one.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n_shingles", "minima")]), side)
-    sized = pairs.filter(
-        f"100 * least(n_shingles_a, n_shingles_b) >= {PERCENT} * greatest(n_shingles_a, n_shingles_b)"
-    )
-    likely = scratch(
-        sized.select("a", "b", "minima_a", "minima_b").mapInArrow(_signature_check, "a bigint, b bigint"), "likely-pairs"
-    )
-    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = scratch(needed.mapInArrow(_sets, "doc_id bigint, shingles binary"), "shingle-sets")
+        pairs = pairs.join(minima.select(F.col("doc_id").alias(side), F.col("minima").alias(f"minima_{side}")), side)
+    checked = pairs.select("a", "b", "minima_a", "minima_b").mapInArrow(_signature_check, "a bigint, b bigint")
+    likely = scratch(checked, "likely-pairs")
     for side in ("a", "b"):
         likely = likely.join(sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
     linked = likely.select("a", "b", "set_a", "set_b").mapInArrow(_set_check, "a bigint, b bigint")
     return scratch(linked.distinct(), "links")
 
 
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """doc_id, size (of the set) and shared (shingles that another row has), where a link is possible at all."""
+    each = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    twice = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
+    shared = each.join(twice, "shingle", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    sizes = sets.select("doc_id", F.size("shingles").alias("size"))
+    return sizes.join(shared, "doc_id").filter(f"100 * shared >= {PERCENT} * size")
+
+
+def _possible(a: str, b: str) -> str:
+    """Whether the intersection can be as large as the threshold asks; it is at most what either side shares."""
+    return f"{100 + PERCENT} * least({a}.shared, {b}.shared) >= {PERCENT} * ({a}.size + {b}.size)"
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is joined to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -237,30 +252,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("representative"))
     alone = named.join(classes.select(F.col("representative").alias("doc_id")).distinct(), "doc_id", "left_semi")
     keys = scratch(alone.select("doc_id", F.explode("keys").alias("key")), "band-keys")
-    crowded = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"))
-    members = scratch(
-        keys.join(crowded.filter("pivot != last").select("key", "pivot"), "key"), "bucket-members"
-    )
+    crowded = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    members = scratch(keys.join(crowded.filter("first != last").select("key"), "key"), "bucket-members")
 
-    stars = members.filter("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = scratch(stars, "star-pairs")
-    links = confirm(stars, sketch, docs)
+    ids = members.select("doc_id").distinct()
+    needed = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    sets = scratch(needed.mapInArrow(_sets, "doc_id bigint, shingles array<bigint>"), "shingle-sets")
+    bounds = shared_shingles(sets).select("doc_id", F.struct("doc_id", "size", "shared").alias("bound"))
+    members = scratch(members.join(bounds, "doc_id").select("key", "bound"), "possible-members")
+
+    own = (F.col("bound.size") - F.col("bound.shared")) / F.col("bound.size")
+    pivots = members.groupBy("key").agg(F.min(F.struct(own, "bound")).alias("least"))
+    pivots = pivots.select("key", F.col("least.bound").alias("pivot"))
+    ends = F.least("bound.doc_id", "pivot.doc_id").alias("a"), F.greatest("bound.doc_id", "pivot.doc_id").alias("b")
+    stars = members.join(pivots, "key").filter("bound.doc_id != pivot.doc_id").filter(_possible("bound", "pivot"))
+    stars = scratch(stars.select(*ends).distinct(), "star-pairs")
+    links = confirm(stars, sketch, sets)
     components = connected_components(links)
 
-    placed = members.join(components, members["doc_id"] == components["node"], "left").select(
-        "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
+    placed = members.join(components, F.col("bound.doc_id") == components["node"], "left").select(
+        "key", "bound", F.coalesce("component", "bound.doc_id").alias("component")
     )
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     rest = scratch(placed.join(mixed.filter("low != high").select("key"), "key"), "mixed-buckets")
+    left = rest.select("key", F.col("bound").alias("x"), F.col("component").alias("component_x"))
+    right = rest.select("key", F.col("bound").alias("y"), F.col("component").alias("component_y"))
     across = (
-        rest.select("key", F.col("doc_id").alias("a"), F.col("component").alias("component_a"))
-        .join(rest.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b")), "key")
-        .filter("a < b and component_a != component_b")
-        .select("a", "b")
+        left.join(right, "key")
+        .filter("x.doc_id < y.doc_id and component_x != component_y")
+        .filter(_possible("x", "y"))
+        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    more = confirm(across, sketch, docs)
+    more = confirm(across, sketch, sets)
     if not more.isEmpty():
         components = connected_components(links.unionByName(more))
 
