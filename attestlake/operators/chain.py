@@ -1,119 +1,73 @@
-"""The chain of receipts within a run: linking at mint, checking later."""
+"""The chain of receipts within a run: linking at mint, checking later.
+
+A receipt's content id is the digest of its header without the link; `prev` is the content id of the
+receipt before it in the run, and `receipt_id` the digest of the whole header, link included. So a link
+depends on one neighbour only, and a chain of any length is linked by one `lag`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import digest
-from ..session import scratch_table, written
+from .blocks import with_previous
 from .receipts import header_halves, header_id, prev_json
 
-BLOCK = 1024
-
-
-def _fold(start: Column, members: Column) -> Column:
-    """Ids along the chain: each is the digest of the header that names the one before."""
-
-    def step(acc: Column, m: Column) -> Column:
-        made = digest(F.concat(m["head"], prev_json(acc["last"]), m["tail"]))
-        return F.struct(
-            made.alias("last"),
-            F.concat(acc["links"], F.array(F.struct(acc["last"].alias("prev"), made.alias("receipt_id")))).alias("links"),
-        )
-
-    zero = F.struct(
-        start.alias("last"),
-        F.array().cast("array<struct<prev:string,receipt_id:string>>").alias("links"),
-    )
-    return F.aggregate(members, zero, step, lambda acc: acc["links"])
+BLOCK = 100_000
 
 
-def _link_block(rows: DataFrame, heads: DataFrame | None) -> DataFrame:
-    """Links the receipts of one block of every run, given the last id before it."""
-    head, tail = header_halves(rows)
-    grouped = rows.groupBy("run_id").agg(
-        F.sort_array(
-            F.collect_list(F.struct("seq", head.alias("head"), tail.alias("tail")))
-        ).alias("members")
-    )
-    if heads is None:
-        grouped = grouped.withColumn("last", F.lit(None).cast("string"))
-    else:
-        grouped = grouped.join(heads, "run_id", "left")
-    linked = grouped.select(
-        "run_id",
-        F.inline(
-            F.arrays_zip(
-                F.transform("members", lambda m: m["seq"]).alias("seq"),
-                _fold(F.col("last"), F.col("members")).alias("link"),
-            )
-        ),
-    )
-    links = linked.select("run_id", "seq", "link.prev", "link.receipt_id")
-    return rows.drop("prev", "receipt_id").join(links, ["run_id", "seq"])
+def content_id(df: DataFrame) -> Column:
+    head, tail = header_halves(df)
+    return digest(F.concat(head, prev_json(F.lit(None)), tail))
 
 
 def link_chain(receipts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Adds `prev` and `receipt_id`. Needs `seq`, the position in the run, unique within it.
+    """Adds `prev` and `receipt_id`. Needs `seq`, the position in the run.
 
-    An id covers the id before it, so a run is linked in order; runs are independent of
-    each other. Runs are taken in blocks of `block` positions: block n of all runs is
-    linked in parallel, with the ids at the end of block n-1 as start. No group ever
-    holds more than `block` headers, and only long runs need more than one round.
-
-    Headers are small next to the records they were minted from. They are written by block
-    to the shared folder, before and after linking: each round reads its own block only,
-    and whoever uses the result several times derives nothing again.
+    Positions may be sparse, negative or as large as an epoch value. Receipts with the same
+    position are ordered by their content; those without one are not linked. `verify_chain`
+    reports both. Nothing runs before the caller's own action, and no task gets more than
+    `block` positions of a run.
     """
-    spark = receipts.sparkSession
-    folder = scratch_table(spark, "chain")
-    rows = written(
-        receipts.withColumn("_block", F.floor(F.col("seq") / block)), f"{folder}/headers", "_block"
+    levels = 1
+    while block ** (levels + 1) < 1 << 64:  # the last window then holds at most a block for any positions
+        levels += 1
+    rows = receipts.drop("prev", "receipt_id").withColumn("_content", content_id(receipts))
+    linked = with_previous(
+        rows, ["run_id"], "seq", ["_content"], block, "_prev_", ("_content",), levels
     )
-    numbers = sorted(r[0] for r in rows.select("_block").distinct().collect())
-    heads, schema = None, None
-    for number in numbers:
-        mine = rows.where(F.col("_block") == number).drop("_block")
-        part = written(_link_block(mine, heads), f"{folder}/linked/{number}")
-        schema = part.schema
-        if number == numbers[-1]:
-            break
-        ends = part.groupBy("run_id").agg(F.max_by("receipt_id", "seq").alias("last"))
-        if heads is not None:
-            older = heads.withColumnRenamed("last", "_old")
-            ends = older.join(ends, "run_id", "full").select(
-                "run_id", F.coalesce("last", "_old").alias("last")
-            )
-        heads = written(ends, f"{folder}/heads/{number}")
-    if schema is None:  # no receipts at all
-        return _link_block(rows.drop("_block"), None)
-    return spark.read.schema(schema).parquet(*[f"{folder}/linked/{n}" for n in numbers])
+    prev = F.when(F.col("seq").isNotNull(), F.col("_prev__content"))
+    named = linked.withColumn("prev", prev).drop("_content", "_prev_seq", "_prev__content")
+    return named.withColumn("receipt_id", header_id(named))
 
 
 def verify_chain(receipts: DataFrame) -> DataFrame:
     """Problems of the chains, one row each; nothing for sound runs.
 
-    Needs no order: altered members by their recomputed id, dangling links by an anti
-    join on the id, forks by counting links to the same id, and roots by counting.
-    Ids are taken as recomputed, so the link to an altered member dangles as well.
+    Needs no order: altered members by their recomputed id, dangling links by an anti join
+    on the recomputed content id, the rest by counting: forks (different receipts after the
+    same one), duplicates (the same receipt again), roots, and positions missing or used by
+    different receipts.
     """
-    seen = receipts.select("run_id", "receipt_id", "prev", header_id(receipts).alias("actual"))
-    altered = seen.where(~F.col("receipt_id").eqNullSafe(F.col("actual"))).select(
-        "run_id", "receipt_id", F.lit("altered").alias("problem")
+    seen = receipts.select(
+        "run_id", "receipt_id", "prev", "seq",
+        header_id(receipts).alias("actual"), content_id(receipts).alias("content"),
+    )
+    named = lambda df, key, problem: df.select(
+        "run_id", F.col(key).alias("receipt_id"), F.lit(problem).alias("problem")
     )
+    altered = seen.where(~F.col("receipt_id").eqNullSafe(F.col("actual")))
     linked = seen.where(F.col("prev").isNotNull())
-    known = seen.select("run_id", F.col("actual").alias("prev"))
-    dangling = linked.join(known, ["run_id", "prev"], "left_anti").select(
-        "run_id", "receipt_id", F.lit("dangling").alias("problem")
-    )
-    forks = (
-        linked.groupBy("run_id", "prev")
-        .agg(F.count("*").alias("n"))
-        .where("n > 1")
-        .select("run_id", F.col("prev").alias("receipt_id"), F.lit("fork").alias("problem"))
+    known = seen.select("run_id", F.col("content").alias("prev"))
+    dangling = linked.join(known, ["run_id", "prev"], "left_anti")
+    apart = seen.groupBy("run_id", "receipt_id", "prev", "seq").agg(F.count("*").alias("n"))
+    duplicates = apart.where("n > 1")
+    forks = apart.where("prev IS NOT NULL").groupBy("run_id", "prev").agg(F.count("*").alias("n")).where("n > 1")
+    places = apart.where("seq IS NOT NULL").groupBy("run_id", "seq").agg(
+        F.count("*").alias("n"), F.min("receipt_id").alias("receipt_id")
     )
     roots = (
-        seen.groupBy("run_id")
+        apart.groupBy("run_id")
         .agg(F.count_if(F.col("prev").isNull()).alias("n"))
         .where("n <> 1")
         .select(
@@ -122,4 +76,15 @@ def verify_chain(receipts: DataFrame) -> DataFrame:
             F.when(F.col("n") == 0, "no root").otherwise("extra root").alias("problem"),
         )
     )
-    return altered.unionByName(dangling).unionByName(forks).unionByName(roots)
+    parts = (
+        named(dangling, "receipt_id", "dangling"),
+        named(duplicates, "receipt_id", "duplicate"),
+        named(forks, "prev", "fork"),
+        named(seen.where("seq IS NULL"), "receipt_id", "no position"),
+        named(places.where("n > 1"), "receipt_id", "repeated position"),
+        roots,
+    )
+    found = named(altered, "receipt_id", "altered")
+    for part in parts:
+        found = found.unionByName(part)
+    return found

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import record_map
 from ..operators import receipts as rc
+from ..session import scratch_table, written
 from .registry import Tables
 
 
@@ -578,10 +579,9 @@ cte(
 )
 cte(
     "chain",
-    "SELECT run_id, seq, pos, CAST(NULL AS VARCHAR) AS prev, sha256(head || 'null' || tail) "
-    "AS receipt_id FROM minted WHERE pos = 1 UNION ALL "
-    "SELECT m.run_id, m.seq, m.pos, c.receipt_id, sha256(m.head || '\"' || c.receipt_id || '\"' || "
-    "m.tail) FROM chain c JOIN minted m ON m.run_id = c.run_id AND m.pos = c.pos + 1",
+    "SELECT *, sha256(head || CASE WHEN prev IS NULL THEN 'null' ELSE '\"' || prev || '\"' END || tail) "
+    "AS receipt_id FROM (SELECT run_id, seq, pos, head, tail, lag(sha256(head || 'null' || tail)) OVER "
+    "(PARTITION BY run_id ORDER BY seq) AS prev FROM minted)",
     "minted",
 )
 cte(
@@ -598,6 +598,11 @@ def receipts(t: Tables) -> DataFrame:
     return link_chain(minted(t))
 
 
+def stored_receipts(t: Tables) -> DataFrame:
+    """The receipts as a written table, for queries that use them several times."""
+    return written(receipts(t), scratch_table(t.spark, "receipts"))
+
+
 def short_chain(t: Tables) -> DataFrame:
     """Receipts named by run and day: the same table without digests, for claim queries."""
     rows = receipt_meta(record_rows(t))

@@ -81,24 +81,26 @@ def rcp05(t: Tables):
 
 
 def spoiled(receipts):
-    """Receipts with edited, removed and repeated members."""
+    """Receipts with edited, removed, repeated and forged members."""
     user = F.substring_index("run_id", "-", -1).cast("bigint")
+    place = lambda u, s: (user % 10 == u) & (F.col("seq") == s)
     edited = receipts.withColumn(
-        "tool_version",
-        F.when((user % 10 == 1) & (F.col("seq") == 3), "9.9").otherwise(F.col("tool_version")),
+        "tool_version", F.when(place(1, 3), "9.9").otherwise(F.col("tool_version"))
     )
-    kept = edited.where(~((user % 10 == 2) & (F.col("seq") == 4)))
-    again = receipts.where((user % 10 == 3) & (F.col("seq") == 5))
-    return kept.unionByName(again)
+    forged = receipts.where(place(4, 2)).withColumn("receipt_id", F.concat(F.lit("forged-"), "receipt_id"))
+    return edited.where(~place(2, 4)).unionByName(receipts.where(place(3, 5))).unionByName(forged)
 
 
 cte(
     "spoiled",
-    "SELECT run_id, receipt_id, prev, sha256(CASE WHEN usr % 10 = 1 AND seq = 3 THEN replace(header, "
-    "'\"tool_version\":\"' || tool_version, '\"tool_version\":\"9.9') ELSE header END) AS actual FROM "
-    "(SELECT *, CAST(substr(run_id, 5) AS BIGINT) AS usr FROM receipts) WHERE NOT (usr % 10 = 2 AND "
-    "seq = 4) UNION ALL SELECT run_id, receipt_id, prev, receipt_id FROM receipts WHERE "
-    "CAST(substr(run_id, 5) AS BIGINT) % 10 = 3 AND seq = 5",
+    "SELECT run_id, seq, receipt_id, prev, sha256(CASE WHEN edit THEN replace(header, '\"tool_version\":\"' || "
+    "tool_version, '\"tool_version\":\"9.9') ELSE header END) AS actual, sha256(CASE WHEN edit THEN "
+    "replace(plain, '\"tool_version\":\"' || tool_version, '\"tool_version\":\"9.9') ELSE plain END) AS content "
+    "FROM (SELECT *, head || 'null' || tail AS plain, usr % 10 = 1 AND seq = 3 AS edit FROM "
+    "(SELECT *, CAST(substr(run_id, 5) AS BIGINT) AS usr FROM receipts)) WHERE NOT (usr % 10 = 2 AND "
+    "seq = 4) UNION ALL SELECT run_id, seq, CASE WHEN usr % 10 = 4 THEN 'forged-' ELSE '' END || receipt_id, prev, "
+    "receipt_id, sha256(head || 'null' || tail) FROM (SELECT *, CAST(substr(run_id, 5) AS BIGINT) AS usr FROM "
+    "receipts) WHERE (usr % 10 = 3 AND seq = 5) OR (usr % 10 = 4 AND seq = 2)",
     "receipts",
 )
 
@@ -109,15 +111,18 @@ cte(
         "spoiled",
         select="SELECT run_id, receipt_id, 'altered' AS problem FROM spoiled WHERE receipt_id <> actual "
         "UNION ALL SELECT run_id, receipt_id, 'dangling' FROM spoiled s WHERE prev IS NOT NULL AND NOT "
-        "EXISTS (SELECT 1 FROM spoiled o WHERE o.run_id = s.run_id AND o.actual = s.prev) "
-        "UNION ALL SELECT run_id, prev, 'fork' FROM spoiled WHERE prev IS NOT NULL GROUP BY run_id, prev "
-        "HAVING count(*) > 1 UNION ALL SELECT run_id, NULL, CASE WHEN count(*) FILTER (prev IS NULL) = 0 "
-        "THEN 'no root' ELSE 'extra root' END FROM spoiled GROUP BY run_id HAVING "
-        "count(*) FILTER (prev IS NULL) <> 1",
+        "EXISTS (SELECT 1 FROM spoiled o WHERE o.run_id = s.run_id AND o.content = s.prev) "
+        "UNION ALL SELECT run_id, receipt_id, 'duplicate' FROM spoiled GROUP BY run_id, receipt_id "
+        "HAVING count(*) > 1 UNION ALL SELECT run_id, prev, 'fork' FROM spoiled WHERE prev IS NOT NULL "
+        "GROUP BY run_id, prev HAVING count(DISTINCT receipt_id) > 1 UNION ALL SELECT run_id, "
+        "min(receipt_id), 'repeated position' FROM spoiled GROUP BY run_id, seq HAVING "
+        "count(DISTINCT receipt_id) > 1 UNION ALL SELECT run_id, NULL, CASE WHEN count(DISTINCT receipt_id) "
+        "FILTER (prev IS NULL) = 0 THEN 'no root' ELSE 'extra root' END FROM spoiled GROUP BY run_id HAVING "
+        "count(DISTINCT receipt_id) FILTER (prev IS NULL) <> 1",
     ),
 )
 def rcp06(t: Tables):
-    return chain.verify_chain(spoiled(ad.receipts(t)))
+    return chain.verify_chain(spoiled(ad.stored_receipts(t)))
 
 
 @query(

@@ -105,18 +105,32 @@ def headers(spark, runs=(("a", 3),)):
     )
 
 
-def test_chain_in_blocks_is_the_plain_chain(spark):
+def test_links_are_content_ids_of_the_receipt_before(spark):
     df = headers(spark, (("a", 11), ("b", 2), ("c", 7)))
     linked = chain.link_chain(df)
     whole = {(r.run_id, r.seq): (r.prev, r.receipt_id) for r in linked.collect()}
-    cut = {(r.run_id, r.seq): (r.prev, r.receipt_id) for r in chain.link_chain(df, block=3).collect()}
+    cut = {(r.run_id, r.seq): (r.prev, r.receipt_id) for r in chain.link_chain(df, block=50_000).collect()}
     assert whole == cut and len(cut) == 20
     texts = {(r.run_id, r.seq): r.t for r in linked.select("run_id", "seq", rc.header_json(linked).alias("t")).collect()}
     prev = None
     for i in range(11):
         assert json.loads(texts["a", i])["prev"] == prev
-        prev = sha(texts["a", i])
-        assert whole["a", i][1] == prev
+        assert whole["a", i][1] == sha(texts["a", i])
+        prev = sha(texts["a", i].replace(json.dumps({"prev": prev})[1:-1].replace(": ", ":"), '"prev":null'))
+
+
+def test_positions_sparse_negative_and_huge(spark):
+    df = headers(spark, (("a", 9),))
+    at = F.element_at(F.array(*map(F.lit, [-(2**62), -5, -4, 0, 7, 10**9, 1_700_000_000_000_000, 2**62, 2**63 - 1])), F.col("seq").cast("int") + 1)
+    moved = df.withColumn("seq", at.cast("bigint"))
+    for block in (20_000, 100_000):
+        rows = sorted(chain.link_chain(moved, block=block).collect(), key=lambda r: r.seq)
+        ids = {r.seq: r.c for r in moved.select("seq", chain.content_id(moved.withColumn("prev", F.lit(None).cast("string"))).alias("c")).collect()}
+        assert [r.prev for r in rows] == [None] + [ids[r.seq] for r in rows[:-1]]
+    assert problems(chain.link_chain(moved)) == []
+    odd = headers(spark, (("a", 4),)).withColumn("seq", F.when(F.col("seq") == 3, None).otherwise(F.least("seq", F.lit(1))))
+    odd = odd.withColumn("model_id", F.monotonically_increasing_id().cast("string"))
+    assert {p for _, p in problems(chain.link_chain(odd))} == {"extra root", "no position", "repeated position"}
 
 
 def problems(df):
@@ -132,7 +146,9 @@ def test_chain_problems(spark):
     assert problems(linked.where(~middle)) == [("a", "dangling")]
     assert problems(linked.where("NOT (run_id = 'b' AND seq = 0)")) == [("b", "dangling"), ("b", "no root")]
     copy = linked.where(middle)
-    assert problems(linked.unionByName(copy)) == [("a", "fork")]
+    assert problems(linked.unionByName(copy)) == [("a", "duplicate")]
+    forged = copy.withColumn("receipt_id", F.lit("other"))
+    assert problems(linked.unionByName(forged)) == [("a", "altered"), ("a", "fork"), ("a", "repeated position")]
 
 
 def test_seal_guards_every_header_field(spark):
