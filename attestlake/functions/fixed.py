@@ -105,8 +105,6 @@ LIST_ANSWER_TYPES = ("list_of_strings", "nss_inode_filename_list")
 
 # Default encodings of a literal search.
 SEARCH_ENCODINGS = ("ascii", "utf-8", "utf-16-le", "utf-16-be")
-MAX_FILE_BYTES = 256 * 1024 * 1024
-MAX_MATCHES = 32
 
 # Tools for which a hypothesis can be proposed: finding type, tool, base predicate.
 HYPOTHESES = (
@@ -156,36 +154,3 @@ FORMAT_EXAMPLES = (
     "LIVE-test-email.txt",
     "count",
 )
-
-# Partition start sectors of the two benchmark images: phrase -> sector, first
-# phrase found in the question wins; the empty phrase is the default.
-PARTITION_RULES = {
-    "ss-win": (
-        ("first windows data", 34),
-        ("second windows data", 1953124),
-        ("third windows data", 2929686),
-        ("fourth windows data", 2929686),
-        ("second hfs", 1953124),
-        ("2nd hfs", 1953124),
-        ("hfs", None),
-        ("linux", None),
-        ("exfat", 1953124),
-        ("ntfs", 2929686),
-        ("fat", 34),
-        ("", 34),
-    ),
-    "ss-unix": (
-        ("first windows data", 2048),
-        ("second windows data", 1955840),
-        ("third windows data", None),
-        ("fourth windows data", None),
-        ("second hfs", 1955840),
-        ("2nd hfs", 1955840),
-        ("hfs", 2048),
-        ("linux", 978944),
-        ("exfat", None),
-        ("ntfs", None),
-        ("fat", 2048),
-        ("", 2048),
-    ),
-}

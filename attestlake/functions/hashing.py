@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -35,15 +36,24 @@ def _plain(col: Column, kind: T.DataType) -> Column:
 
 
 def _not_finite(col: Column, kind: T.DataType) -> Column | None:
+    """Whether a value holds NaN or an infinity at any depth; null for types that cannot."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return F.isnan(col) | (F.abs(col) == float("inf"))
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.DoubleType, T.FloatType)):
-        return F.exists(col, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    if isinstance(kind, T.ArrayType):
+        if _not_finite(F.lit(None), kind.elementType) is None:
+            return None
+        return F.exists(col, lambda x: F.coalesce(_not_finite(x, kind.elementType), F.lit(False)))
+    if isinstance(kind, T.MapType):
+        return _not_finite(F.map_values(col), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.StructType):
+        checks = [_not_finite(col[f.name], f.dataType) for f in kind.fields]
+        checks = [F.coalesce(c, F.lit(False)) for c in checks if c is not None]
+        return reduce(lambda x, y: x | y, checks) if checks else None
     return None
 
 
 def canonical_json(df: DataFrame, columns: list[str]) -> Column:
-    """Sorted keys, no blanks, nulls kept. Null when a number is NaN or infinite."""
+    """Sorted keys, no blanks, nulls kept. Null when a number at any depth is NaN or infinite."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     fields, bad = [], F.lit(False)
     for name in sorted(columns):
@@ -78,13 +88,28 @@ def json_text(c: Column) -> Column:
 
 
 def json_scalar(col: Column, kind: T.DataType) -> Column:
-    """One value as JSON text. Numbers inside arrays and structs keep Spark's own form."""
+    """One value as JSON text; numbers are written alike at every depth."""
     if isinstance(kind, T.StringType):
         text = json_text(col)
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
         text = number_text(col.cast("double"))
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         text = F.concat(F.lit('"'), _plain(col, kind), F.lit('"'))
+    elif isinstance(kind, T.ArrayType) and _holds_double(kind):
+        items = F.transform(col, lambda x: json_scalar(x, kind.elementType))
+        text = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    elif isinstance(kind, T.StructType) and _holds_double(kind):
+        fields = [
+            F.concat(F.lit(json.dumps(f.name) + ":"), json_scalar(col[f.name], f.dataType))
+            for f in sorted(kind.fields, key=lambda f: f.name)
+        ]
+        text = F.when(col.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
+    elif isinstance(kind, T.MapType) and _holds_double(kind):
+        entries = F.transform(
+            F.sort_array(F.map_entries(col)),
+            lambda e: F.concat(json_text(e["key"].cast("string")), F.lit(":"), json_scalar(e["value"], kind.valueType)),
+        )
+        text = F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
     elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         text = F.to_json(_plain(col, kind), NULL_JSON)
     else:
@@ -92,6 +117,10 @@ def json_scalar(col: Column, kind: T.DataType) -> Column:
     return F.coalesce(text, F.lit("null"))
 
 
+def _holds_double(kind: T.DataType) -> bool:
+    return _not_finite(F.lit(None), kind) is not None
+
+
 def record_map(df: DataFrame, columns: list[str]) -> Column:
     """Field -> JSON text of its value. Entries of a string map are also reachable as `map.key`."""
     kinds = {f.name: f.dataType for f in df.schema.fields}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def with_previous(
@@ -46,14 +46,3 @@ def with_previous(
         *[F.col(name) for name in df.columns],
         *[value[name].alias(prefix + name) for name in names],
     )
-
-
-def paged(df: DataFrame, keys: list[str], item: Column, page: int) -> DataFrame:
-    """Adds `page_no`: one page per key up to `page` rows, more pages beyond.
-
-    Rows of a key are spread by the hash of their item, so pages stay near `page` rows
-    however large the key is.
-    """
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / page).alias("_pages"))
-    number = F.pmod(F.xxhash64(item), F.col("_pages"))
-    return df.join(sizes, keys).withColumn("page_no", number.cast("int")).drop("_pages")

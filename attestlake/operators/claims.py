@@ -255,10 +255,12 @@ def revision_outcome(attempts: DataFrame, max_revisions: int = 3) -> DataFrame:
     """
     keys = ["run_id", "hypothesis"]
     allowed = attempts.where(F.col("attempt") <= max_revisions)
-    terminal = F.when(F.col("verdict") != DRIFT, F.col("attempt"))
+    # Attempts beyond the limit do not count, but their hypothesis does: it is given up.
+    counted = F.when(F.col("attempt") <= max_revisions, F.col("attempt"))
+    terminal = F.when(F.col("verdict") != DRIFT, counted)
     # The first missing number: attempts present without a break from 0.
-    spans = allowed.groupBy(*keys).agg(
-        F.collect_set("attempt").alias("_seen"), F.min(terminal).alias("_end")
+    spans = attempts.groupBy(*keys).agg(
+        F.collect_set(counted).alias("_seen"), F.min(terminal).alias("_end")
     )
     numbers = F.sequence(F.lit(0), F.lit(max_revisions + 1))
     gap = F.array_min(F.filter(numbers, lambda n: ~F.array_contains("_seen", n)))

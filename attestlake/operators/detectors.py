@@ -166,7 +166,7 @@ def lsass_handles(df: DataFrame, allowed=LSASS_READERS) -> DataFrame:
         plugin_rows(df, HANDLE_PLUGINS)
         .where(F.lower(_field("Name")).contains("lsass.exe"))
         .where(granted.contains("VM_READ") & granted.contains("QUERY"))
-        .where(~holder.isin(*allowed))
+        .where(~F.coalesce(holder.isin(*allowed), F.lit(False)))
         .select(
             *_host(df),
             _field("PID", "bigint").alias("pid"),

@@ -8,12 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cells import contains_ci, severity_rank
-from ..functions.fixed import MAX_FILE_BYTES, SEVERITIES
+from ..functions.fixed import SEVERITIES
 from ..sources.artifacts import FILE_TIMES
 
-# Lists up to this length become an IN list; longer ones are joined.
-IN_LIST_LIMIT = 1000
-
 
 def _all(df: DataFrame, *conditions: Column | None) -> DataFrame:
     given = [cond for cond in conditions if cond is not None]
@@ -24,6 +21,12 @@ def _one_of(column: str, values: Iterable | None) -> Column | None:
     return None if values is None else F.col(column).isin(*values)
 
 
+def _any_of(column: str, values: Iterable | None) -> Column | None:
+    """As `_one_of`, but an empty list is no condition."""
+    values = None if values is None else list(values)
+    return _one_of(column, values) if values else None
+
+
 def _overlaps(column: str, values: Iterable[str] | None) -> Column | None:
     if not values:
         return None
@@ -73,17 +76,16 @@ def journal_filter(df: DataFrame, reasons=None, since=None, path=None) -> DataFr
 
 
 def program_filter(df: DataFrame, sha1s=None, name: str | None = None) -> DataFrame:
-    """`sha1s`: a list, or a DataFrame with a `sha1` column for hash sets of any size."""
-    if isinstance(sha1s, DataFrame):
+    """`sha1s`: a list, or a DataFrame with a `sha1` column; a list is made one, of whatever length.
+
+    An empty list is no condition, an empty DataFrame matches nothing.
+    """
+    if sha1s is not None and not isinstance(sha1s, DataFrame):
+        rows = [(s,) for s in sha1s if s.strip()]
+        sha1s = df.sparkSession.createDataFrame(rows, "sha1 string") if rows else None
+    if sha1s is not None:
         wanted = sha1s.select(F.lower(F.trim("sha1")).alias("sha1")).distinct()
-        df = df.join(wanted, "sha1", "left_semi")
-    elif sha1s is not None:
-        clean = sorted({s.strip().lower() for s in sha1s if s.strip()})
-        if len(clean) > IN_LIST_LIMIT:
-            rows = [(s,) for s in clean]
-            return program_filter(df, df.sparkSession.createDataFrame(rows, "sha1 string"), name)
-        if clean:
-            df = df.where(F.col("sha1").isin(*clean))
+        df = df.join(wanted, "sha1", "left_semi").select(df.columns)
     return df if name is None else df.where(contains_ci(F.col("name"), name))
 
 
@@ -95,7 +97,7 @@ def execution_filter(df: DataFrame, name: str) -> DataFrame:
 
 
 def plugin_filter(df: DataFrame, plugins) -> DataFrame:
-    return _all(df, _one_of("plugin", plugins))
+    return _all(df, _any_of("plugin", plugins))
 
 
 def severity_technique(df: DataFrame, min_level: str | None = None, techniques=None) -> DataFrame:
@@ -112,8 +114,8 @@ def timeline_filter(
         df,
         _from(df, "ts", start),
         _until(df, "ts", end),
-        _one_of("source_short", sources),
-        _one_of("parser_name", parsers),
+        _any_of("source_short", sources),
+        _any_of("parser_name", parsers),
         None if text is None else contains_ci(F.col("description"), text),
     )
 
@@ -122,18 +124,29 @@ def search_prefilter(
     df: DataFrame,
     name: str | None = None,
     include_deleted: bool = True,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Runs on the listing, so content of files that drop out is never read."""
+    """Runs on the listing, so content of files that drop out is never read.
+
+    There is no size limit unless `max_bytes` gives one; `search_skipped` lists what it leaves out.
+    """
     return _all(
         df,
         None if include_deleted else ~F.col("deleted"),
         None if name is None else contains_ci(F.col("filename"), name),
         F.col("file_size_bytes") > 0,
-        F.col("file_size_bytes") <= max_bytes,
+        None if max_bytes is None else F.col("file_size_bytes") <= max_bytes,
     )
 
 
+def search_skipped(
+    df: DataFrame, max_bytes: int, name: str | None = None, include_deleted: bool = True
+) -> DataFrame:
+    """The files that only the size limit keeps out of a search, with the reason."""
+    rows = search_prefilter(df, name, include_deleted).where(F.col("file_size_bytes") > max_bytes)
+    return rows.withColumn("skipped", F.lit(f"larger than {max_bytes} bytes"))
+
+
 def question_filter(df: DataFrame, image_sha256: str | None = None, techniques=None) -> DataFrame:
     """Questions bound to an image, and tagged with any of the techniques (none given: all)."""
     bound = None

@@ -39,12 +39,10 @@ def validate_questions(questions: DataFrame) -> DataFrame:
 
 
 def score_attempts(attempts: DataFrame, k: int = 4) -> DataFrame:
-    """Adds the first matching candidate among k; candidates are cut to k. Row by row."""
+    """Adds the first matching candidate among the first k; all candidates stay. Row by row."""
     index = first_match(F.col("answer_type"), F.col("expected_answer"), F.col("candidates"), k)
-    return (
-        attempts.withColumn("matched_candidate_index", index)
-        .withColumn("matched", F.col("matched_candidate_index").isNotNull())
-        .withColumn("candidates", F.slice("candidates", 1, k))
+    return attempts.withColumn("matched_candidate_index", index).withColumn(
+        "matched", F.col("matched_candidate_index").isNotNull()
     )
 
 

@@ -181,7 +181,7 @@ cte(
     "spans",
     "SELECT run_id, hypothesis, (SELECT min(n) FROM range(0, 5) r(n) WHERE n NOT IN (SELECT attempt FROM tries "
     "b WHERE b.hypothesis = a.hypothesis AND attempt <= 3)) AS gap, min(attempt) FILTER (verdict <> 'drift' "
-    "AND attempt <= 3) AS e FROM tries a GROUP BY 1, 2 HAVING count(*) FILTER (attempt <= 3) > 0",
+    "AND attempt <= 3) AS e FROM tries a GROUP BY 1, 2",
     "tries",
 )
 cte(

@@ -410,13 +410,11 @@ def ben14(t: Tables):
 
 @query(
     "ben14_email_in_text",
-    "SELECT doc_id, regexp_extract(text, '[\\pL\\pN_.+-]+@[\\pL\\pN_-]+[.][a-z]{2,}\\b') AS email FROM documents WHERE "
-    "contains(text, '@')",
+    "SELECT doc_id, nullif(regexp_extract(text, '[\\pL\\pN_+-][\\pL\\pN_.+-]*@[\\pL\\pN_-]+[.][a-z]{2,}\\b'), '') AS email "
+    "FROM documents",
 )
 def ben14_email(t: Tables):
-    return t.documents.where(F.contains("text", F.lit("@"))).select(
-        "doc_id", prose.email_in(F.col("text")).alias("email")
-    )
+    return t.documents.select("doc_id", prose.email_in(F.col("text")).alias("email"))
 
 
 @query(
@@ -428,15 +426,34 @@ def ben15(t: Tables):
     return questions(t).select("doc_id", F.array_join(found, "+").alias("extensions"))
 
 
+# Start sectors in two sample images, by phrase.
+PARTITION_RULES = [
+    ("ss-unix", "first windows data", 1, 2048),
+    ("ss-unix", "second hfs", 2, 1955840),
+    ("ss-unix", "2nd hfs", 3, 1955840),
+    ("ss-unix", "hfs", 4, 2048),
+    ("ss-unix", "linux", 5, 978944),
+    ("ss-unix", "exfat", 6, None),
+    ("ss-unix", "ntfs", 7, None),
+    ("ss-unix", "", 8, 2048),
+    ("ss-win", "first windows data", 1, 34),
+    ("ss-win", "second windows data", 2, 1953124),
+    ("ss-win", "hfs", 3, None),
+    ("ss-win", "linux", 4, None),
+    ("ss-win", "exfat", 5, 1953124),
+    ("ss-win", "ntfs", 6, 2929686),
+    ("ss-win", "", 7, 34),
+]
+
+
 @query(
     "ben16_resolve_partition",
     "SELECT doc_id, CAST(CASE doc_id % 6 WHEN 0 THEN 2048 WHEN 1 THEN NULL WHEN 2 THEN 1955840 WHEN 3 THEN NULL "
     "WHEN 4 THEN NULL ELSE 1953124 END AS BIGINT) AS sector FROM documents",
 )
 def ben16(t: Tables):
-    return questions(t).select(
-        "doc_id", prose.resolve_partition(F.col("question_text")).alias("sector")
-    )
+    rules = t.spark.createDataFrame(PARTITION_RULES, "image string, phrase string, rank int, sector bigint")
+    return prose.resolve_partitions(questions(t), rules).select("doc_id", "sector")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search as sch
+from ..session import scratch_table, written
 from . import adapters as ad
 from .adapters import cte, with_ctes
 from .registry import Tables, query
@@ -20,11 +21,12 @@ PATTERNS = (
     ("p7", "über", "ss-unix"),
     ("p8", "no such text anywhere", None),
 )
-CAP = 32
 
 
-def patterns():
-    return [sch.Pattern(*p) for p in PATTERNS]
+def patterns(t: Tables, *ids: str):
+    """The patterns as a table; with `ids` only those."""
+    chosen = [p for p in PATTERNS if not ids or p[0] in ids]
+    return t.spark.createDataFrame(chosen, "pattern_id string, text string, image string")
 
 
 def _literal(text: str) -> str:
@@ -45,7 +47,7 @@ cte(
     "hits",
     "SELECT pattern_id, f.image, inode, filename, deleted, file_size_bytes, "
     "CAST(strlen(split_part(folded, p, 1)) AS INTEGER) AS first_match_offset, "
-    f"CAST(least({CAP}, (strlen(folded) - strlen(replace(folded, p, ''))) // strlen(p)) AS INTEGER) "
+    "CAST((strlen(folded) - strlen(replace(folded, p, ''))) // strlen(p) AS INTEGER) "
     "AS total_match_count FROM (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
     "'abcdefghijklmnopqrstuvwxyz') AS folded FROM files) f JOIN (SELECT *, translate(pattern, "
     "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS p FROM patterns) ON "
@@ -61,7 +63,7 @@ HITS = (
 
 @query("sch01_literal_search", with_ctes("hits", select=HITS + " WHERE pattern_id = 'p1'"))
 def sch01(t: Tables):
-    return sch.literal_search(ad.files(t), patterns()[:1])
+    return sch.search(ad.files(t), patterns(t, "p1"))
 
 
 @query(
@@ -70,8 +72,8 @@ def sch01(t: Tables):
         "files",
         select="SELECT image, inode, filename, deleted, file_size_bytes, CAST(length(split_part(text, "
         "regexp_extract(text, '[a-z0-9.]+@mail[0-9]+[.]example[.]com', 0, 'i'), 1)) AS INTEGER) AS "
-        "first_match_offset, CAST(least(32, len(regexp_extract_all(text, "
-        "'[a-z0-9.]+@mail[0-9]+[.]example[.]com', 0, 'i'))) AS INTEGER) AS total_match_count FROM files "
+        "first_match_offset, CAST(len(regexp_extract_all(text, "
+        "'[a-z0-9.]+@mail[0-9]+[.]example[.]com', 0, 'i')) AS INTEGER) AS total_match_count FROM files "
         "WHERE regexp_matches(text, '[a-z0-9.]+@mail[0-9]+[.]example[.]com', 'i')",
     ),
 )
@@ -81,75 +83,82 @@ def sch02(t: Tables):
 
 @query("sch03_multi_pattern", with_ctes("hits", select=HITS))
 def sch03(t: Tables):
-    return sch.literal_search(ad.files(t), patterns())
+    return sch.search(ad.files(t), patterns(t))
 
 
-@query("sch03_many_patterns", with_ctes("hits", select=HITS))
-def sch03_many(t: Tables):
-    return sch.multi_search(ad.files(t), patterns())
+cte(
+    "asked_words",
+    "SELECT DISTINCT 'w-' || lang || '-' || n_chars AS pattern_id, substr(text, 1, 24) AS pattern, CASE WHEN "
+    "n_chars % 2 = 0 THEN 'ss-win' END AS p_image FROM documents WHERE doc_id % 20 = 0",
+)
+
+
+@query(
+    "sch03_pattern_table",
+    with_ctes(
+        "files",
+        "asked_words",
+        select="SELECT pattern_id, f.image, inode, filename, deleted, file_size_bytes, "
+        "CAST(strlen(split_part(folded, p, 1)) AS INTEGER) AS first_match_offset, "
+        "CAST((strlen(folded) - strlen(replace(folded, p, ''))) // strlen(p) AS INTEGER) AS total_match_count "
+        "FROM (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded "
+        "FROM files) f JOIN (SELECT *, translate(pattern, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+        "'abcdefghijklmnopqrstuvwxyz') AS p FROM asked_words) ON (p_image IS NULL OR p_image = f.image) AND "
+        "contains(folded, p)",
+    ),
+)
+def sch03_table(t: Tables):
+    """Patterns taken from documents whose id is divisible by 20, against all files."""
+    asked = t.documents.where("doc_id % 20 = 0").select(
+        F.concat_ws("-", F.lit("w"), "lang", F.col("n_chars").cast("string")).alias("pattern_id"),
+        F.substring("text", 1, 24).alias("text"),
+        F.when(F.col("n_chars") % 2 == 0, F.lit("ss-win")).alias("image"),
+    )
+    return sch.search(ad.files(t), asked.distinct())
 
 
 ITEM = "inode || ':' || replace(regexp_extract(filename, '([^/]*)$', 1), ' ($FILE_NAME)', '')"
 cte("items", f"SELECT DISTINCT pattern_id, {ITEM} AS item, deleted FROM hits", "hits")
 
 
-def json_list(expr: str, where: str = "true") -> str:
-    return f"coalesce(to_json(list_sort(list(DISTINCT {expr}) FILTER ({where}))), '[]')"
+STATES = "SELECT pattern_id, item, bool_or(deleted) AS in_deleted, bool_or(NOT deleted) AS in_live FROM items GROUP BY 1, 2"
 
 
-@query(
-    "sch04_answer_set",
-    with_ctes(
-        "items",
-        select="SELECT pattern_id, 0 AS page_no, count(DISTINCT item) AS n_items, CAST("
-        + json_list("item")
-        + " AS VARCHAR) AS payload FROM items GROUP BY pattern_id",
-    ),
-)
+cte("states", STATES, "items")
+
+
+@query("sch04_answer_set", with_ctes("states", select="SELECT * FROM states"))
 def sch04(t: Tables):
-    return sch.answer_set(sch.multi_search(ad.files(t), patterns()), ["pattern_id"])
+    return sch.answer_items(sch.search(ad.files(t), patterns(t)), ["pattern_id"])
 
 
 @query(
     "sch05_answer_variants",
     with_ctes(
-        "items",
-        select="SELECT q.pattern_id, CAST(coalesce(a, '[]') AS VARCHAR) AS candidate_all, "
-        "CAST(coalesce(d, '[]') AS VARCHAR) AS candidate_deleted, CAST(coalesce(l, '[]') AS VARCHAR) "
-        "AS candidate_live, '[]' AS candidate_none FROM patterns q LEFT JOIN (SELECT pattern_id, "
-        + json_list("item")
-        + " AS a, "
-        + json_list("item", "deleted")
-        + " AS d, "
-        + json_list("item", "NOT deleted")
-        + " AS l FROM items GROUP BY pattern_id) USING (pattern_id)",
+        "states",
+        select="SELECT pattern_id, CAST(0 AS INTEGER) AS candidate_index, item FROM states "
+        "UNION ALL SELECT pattern_id, 1, item FROM states WHERE in_deleted "
+        "UNION ALL SELECT pattern_id, 2, item FROM states WHERE in_live",
     ),
 )
 def sch05(t: Tables):
-    rows = [(p.pattern_id,) for p in patterns()]
-    questions = t.spark.createDataFrame(rows, "pattern_id string")
-    hits = sch.multi_search(ad.files(t), patterns())
-    names = ("candidate_all", "candidate_deleted", "candidate_live", "candidate_none")
-    ranked = sch.answer_variants(questions, hits, ["pattern_id"])
-    return ranked.select(
-        "pattern_id", *[F.col("candidates")[i].alias(n) for i, n in enumerate(names)]
-    )
+    items = sch.answer_items(sch.search(ad.files(t), patterns(t)), ["pattern_id"])
+    return sch.answer_variants(items, ["pattern_id"])
 
 
 @query(
     "sch05_variant_scores",
     with_ctes(
         "items",
-        select="SELECT pattern_id, CAST(CASE WHEN bool_and(deleted) THEN 0 WHEN true THEN 1 END AS INTEGER) "
-        "AS matched_candidate_index FROM items GROUP BY pattern_id HAVING bool_or(deleted)",
+        select="SELECT pattern_id, CAST(CASE WHEN bool_and(deleted) THEN 0 WHEN bool_or(deleted) THEN 1 ELSE 3 END "
+        "AS INTEGER) AS matched_candidate_index FROM items GROUP BY pattern_id",
     ),
 )
 def sch05_scores(t: Tables):
     """Expected: the deleted hits. So the second candidate fits, or the first when all are deleted."""
-    hits = sch.multi_search(ad.files(t), patterns())
-    expected = sch.answer_items(hits, ["pattern_id"]).where("in_deleted")
-    scores = sch.variant_scores(expected, hits, ["pattern_id"])
-    return scores.join(expected.select("pattern_id").distinct(), "pattern_id", "left_semi")
+    found = sch.answer_items(sch.search(ad.files(t), patterns(t)), ["pattern_id"])
+    items = written(found, scratch_table(t.spark, "answers"))
+    return sch.variant_scores(items.where("in_deleted"), items, ["pattern_id"])
 
 
 @query(
@@ -174,4 +183,4 @@ def sch06(t: Tables):
 
 @query("sch07_hit_order", with_ctes("hits", select=HITS + " WHERE pattern_id = 'p4'"))
 def sch07(t: Tables):
-    return sch.hit_order(sch.literal_search(ad.files(t), patterns()[3:4]))
+    return sch.hit_order(sch.search(ad.files(t), patterns(t, "p4")))

@@ -306,7 +306,7 @@ def read_body_file(spark, path) -> DataFrame:
 
 def read_memory_rows(spark, path, plugin: str, fmt: str | None = None) -> DataFrame:
     """Plugin output as variants. Each file is taken as JSON lines, a JSON array or CSV by
-    what it holds; whatever cannot be read becomes one row with the start of the text as
+    what it holds; whatever cannot be read becomes one row with the whole text as
     banner. `fmt="jsonl"` reads big line files without ever holding a file in one row; the
     position in the file is then not known.
     """
@@ -317,7 +317,7 @@ def read_memory_rows(spark, path, plugin: str, fmt: str | None = None) -> DataFr
             F.lit(plugin).alias("plugin"),
             F.lit(None).cast("int").alias("row_index"),
             row.alias("data"),
-            F.when(row.isNull(), F.left("value", F.lit(1000))).alias("banner"),
+            F.when(row.isNull(), F.col("value")).alias("banner"),
         )
     whole = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text")
@@ -387,7 +387,7 @@ def memory_rows_of_files(files: DataFrame, plugin: str) -> DataFrame:
     exploded = rows.select(
         "source_file",
         F.lit(plugin).alias("plugin"),
-        F.when(F.col("_items").isNull() & (text != ""), F.left(text, F.lit(1000))).alias("banner"),
+        F.when(F.col("_items").isNull() & (text != ""), text).alias("banner"),
         F.posexplode_outer("_items").alias("row_index", "data"),
     )
     return exploded.where(F.col("data").isNotNull() | F.col("banner").isNotNull()).select(

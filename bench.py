@@ -28,7 +28,7 @@ HEADLINE = (
     "sch01_literal_search",
     "sch02_regex_search",
     "sch03_multi_pattern",
-    "sch03_many_patterns",
+    "sch03_pattern_table",
     "sch05_answer_variants",
     "rcp02_data_fingerprint",
     "rcp05_link_chain",
