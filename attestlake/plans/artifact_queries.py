@@ -68,6 +68,27 @@ def src01_files(t: Tables):
     )
 
 
+@query(
+    "src01_mixed_headers",
+    with_ctes(
+        "ev",
+        select="SELECT host, event_id AS record_number, event_id % 2 = 0 AS has_channel FROM ev WHERE k % 17 <> 0",
+    ),
+)
+def src01_mixed(t: Tables):
+    """Two exports in one folder: the second with reversed columns, one of them missing."""
+    path = scratch_table(t.spark, "export")
+    raw = ad.raw_event_rows(t).withColumnRenamed("host", "Host").withColumn("Channel", F.lit("c"))
+    even = F.col("RecordNumber").cast("bigint") % 2 == 0
+    other = raw.where(~even).select(*[c for c in reversed(raw.columns) if c != "Channel"])
+    for part in (raw.where(even), other):
+        part.write.mode("append").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    log = src.read_event_log(t.spark, path)
+    return log.select(
+        F.col("computer").alias("host"), "record_number", (F.col("channel") == "c").alias("has_channel")
+    )
+
+
 @query(
     "src02_file_entries",
     "SELECT o_orderkey AS entry_number, o_orderkey * 1024 AS entry_offset, "

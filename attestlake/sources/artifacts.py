@@ -6,6 +6,8 @@ export's column names, so rows landed once as Parquet take the same route.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import cells as c
@@ -14,22 +16,46 @@ from ..functions.fixed import SEVERITIES
 CONTEXT = ("case_id", "host", "source_file")
 
 
-def read_rows(spark: SparkSession, path, *, multi_line: bool = True, **context: str) -> DataFrame:
-    """CSV cells as text. Quoted line breaks need `multi_line`; without them leave it
-    off, so that one large file is read by many tasks."""
-    raw = (
+def read_rows(spark: SparkSession, path, *, multi_line: bool = False, **context: str) -> DataFrame:
+    """CSV cells as text, each file by the names in its own header.
+
+    Files are grouped by header and the groups united by name, so exports with other columns or another
+    order lie next to each other; a column that a file lacks is null for its rows. Finding the headers
+    reads the first line of each file, once, when the reader is called.
+
+    Large files are split among tasks. Cells with line breaks inside need `multi_line`, with which a
+    file is one task's work.
+    """
+    groups: dict[str, list[str]] = {}
+    for row in _first_lines(spark, path).collect():  # one row per file
+        groups.setdefault(row["header"].strip("\ufeff\r "), []).append(unquote(row["file"]))
+    reader = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
-        .csv(path)
-        .withColumn("source_file", F.col("_metadata.file_path"))
     )
+    parts = [reader.csv(files) for files in groups.values()] if len(groups) > 1 else [reader.csv(path)]
+    raw = None
+    for part in parts:
+        part = part.withColumn("source_file", F.col("_metadata.file_path"))
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
     for name, value in context.items():
         raw = raw.withColumn(name, F.lit(value))
     return raw
 
 
+def _first_lines(spark: SparkSession, path) -> DataFrame:
+    """file, header: the first line of each file that is not empty."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"),
+        "value",
+    )
+    return lines.where("block = 0 and value != ''").groupBy("file").agg(F.min_by("value", "n").alias("header"))
+
+
 def _cell(raw: DataFrame):
     present = {name.strip(): name for name in raw.columns}
 
