@@ -8,9 +8,9 @@ from ..functions import cells as c
 from ..operators import filters as flt
 from ..session import scratch_table
 from ..sources import artifacts as src
-from ..sources.stores import evidence_manifest
+from ..sources.stores import digest_files, digest_segments, evidence_manifest
 from . import adapters as ad
-from .adapters import with_ctes
+from .adapters import cte, with_ctes
 from .registry import Tables, query
 
 MICROS = "CAST(epoch_us(ts) AS BIGINT) AS ts_us"
@@ -331,18 +331,48 @@ def src10(t: Tables):
     )
 
 
+SEGMENTS = (
+    "SELECT o_orderpriority AS image, o_orderkey % 4 AS segment, string_agg(o_orderkey || chr(10), '' ORDER BY "
+    "o_orderkey) AS content FROM orders GROUP BY 1, 2"
+)
+cte("segments", f"SELECT image, segment, strlen(content) AS size_bytes, sha256(content) AS sha256 FROM ({SEGMENTS})")
+
+
+def segment_files(t: Tables):
+    """Orders written as text files, one for each priority and part, and digested from the files."""
+    path = scratch_table(t.spark, "evidence")
+    part = (F.col("o_orderkey") % 4).alias("segment")
+    rows = t.orders.select(F.col("o_orderpriority").alias("image"), part, F.col("o_orderkey").alias("key"))
+    lines = rows.repartition("image", "segment").sortWithinPartitions("image", "segment", "key")
+    lines.select("image", "segment", F.col("key").cast("string").alias("value")).write.partitionBy(
+        "image", "segment"
+    ).text(path)
+    found = digest_files(t.spark, path, "part-*")
+    image = F.url_decode(F.regexp_extract("path", "image=([^/]+)", 1))
+    return found.select(
+        F.url_decode(image).alias("image"),
+        F.regexp_extract("path", "segment=([0-9]+)", 1).cast("bigint").alias("segment"),
+        "size_bytes",
+        "sha256",
+    )
+
+
+@query("src14_evidence_digest", with_ctes("segments", select="SELECT * FROM segments"))
+def src14(t: Tables):
+    return segment_files(t)
+
+
 @query(
-    "src14_evidence_digest",
+    "src14_image_of_segments",
     with_ctes(
-        "files",
-        select="SELECT inode, file_size_bytes AS size_bytes, sha256(text) AS sha256 FROM files",
+        "segments",
+        select="SELECT image, count(*) AS n_segments, CAST(sum(size_bytes) AS BIGINT) AS size_bytes, "
+        "sha256(string_agg(segment || ':' || size_bytes || ':' || sha256, chr(10) ORDER BY segment)) AS sha256 "
+        "FROM segments GROUP BY image",
     ),
 )
-def src14(t: Tables):
-    return ad.files(t).select(
-        "inode", F.octet_length("content").cast("bigint").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+def src14_image(t: Tables):
+    return digest_segments(segment_files(t))
 
 
 @query(

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import answers as ans, prose
 from ..functions.hashing import json_text
 from ..operators import scoring as sco
-from ..session import scratch_table
-from ..sources.sinks import append_attempts
+from ..session import scratch_table, written
+from ..sources.sinks import append_attempts, write_scorecard
 from ..sources.stores import corpus_questions, latest_attempts, read_attempts
 from . import adapters as ad
 from .adapters import cte, pick, text, with_ctes
@@ -493,6 +493,15 @@ def ben18(t: Tables):
     ),
 )
 def snk02(t: Tables):
-    """The rows a scorecard per answer type consists of."""
-    card = sco.tus_at_k(sco.score_attempts(attempts(t)), ["answer_type"])
-    return card.withColumn("tus_at_k", F.round("tus_at_k", 12))
+    """A scorecard for each answer type, written and read back."""
+    card = written(
+        sco.tus_at_k(sco.score_attempts(attempts(t)), ["answer_type"]), scratch_table(t.spark, "card")
+    )
+    folder = scratch_table(t.spark, "scorecards")
+    kinds = sorted(r["answer_type"] for r in card.select("answer_type").collect())  # a closed vocabulary
+    paths = [
+        write_scorecard(card.where(F.col("answer_type") == kind), folder, f"run-{kind}", "nss", 4)
+        for kind in kinds
+    ]
+    back = t.spark.read.schema(card.schema).json(paths)
+    return back.withColumn("tus_at_k", F.round("tus_at_k", 12))

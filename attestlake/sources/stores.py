@@ -158,6 +158,25 @@ def digest_files(spark: SparkSession, path: str, pattern: str | None = None) ->
     )
 
 
+def digest_segments(segments: DataFrame, image: str = "image", order: str = "segment") -> DataFrame:
+    """One digest for an image that arrives in segments (from `digest_files`, with image and segment number).
+
+    It covers the number, sizes and digests of the segments in their order, so a segment that is missing,
+    changed or out of place changes it. A row per image: image, n_segments, size_bytes, sha256.
+    """
+    line = F.concat_ws(":", F.col(order).cast("string"), F.col("size_bytes").cast("string"), "sha256")
+    return segments.groupBy(image).agg(
+        F.count("*").alias("n_segments"),
+        F.sum("size_bytes").alias("size_bytes"),
+        F.sort_array(F.collect_list(F.struct(order, line.alias("line")))).alias("_lines"),
+    ).select(
+        image,
+        "n_segments",
+        "size_bytes",
+        F.sha2(F.concat_ws("\n", F.transform("_lines", lambda x: x["line"])).cast("binary"), 256).alias("sha256"),
+    )
+
+
 def evidence_manifest(evidence: DataFrame) -> DataFrame:
     """Adds the short handle id of an (image, run) pair."""
     joined = F.concat("image_sha256", "run_id")
