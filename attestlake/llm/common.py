@@ -76,6 +76,22 @@ def running_total(df: DataFrame, order: list, value: str, name: str = "before")
     return out.drop("_range", "_before", "_range_before"), total
 
 
+def row_numbers(df: DataFrame, order: list, name: str) -> tuple[DataFrame, int]:
+    """The rows with their number (from 0) in the order of `order`, as a written table, and how many there are.
+
+    Sorted by ranges and numbered within each range; the sizes of the ranges, one row for each, are then added up.
+    """
+    placed = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = scratch(placed, "row-numbers").withColumn("_range", F.shiftright("_at", 33))
+    ranges = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    # One row for each sorted range, so this window holds as many rows as the sort had partitions.
+    before = F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")
+    ranges = ranges.select("_range", before.alias("_range_before"))
+    in_range = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    out = rows.join(ranges, "_range").withColumn(name, F.col("_range_before") + in_range)
+    return out.drop("_at", "_range", "_range_before"), rows.count()
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts of an Arrow column and the offsets of the texts in them; null counts as empty."""
     column = column.cast(pa.large_binary())

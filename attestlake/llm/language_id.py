@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import lower_latin, text_buffer, text_chunks, word_spans
 
@@ -28,7 +27,7 @@ WRONG_SCRIPT = 40.0
 # Share of a language's training letters from which on a script counts as used by it.
 SCRIPT_SHARE = 0.001
 SMOOTHING = 0.1
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 # First and last code points of scripts (Unicode blocks).
 SCRIPTS = {
@@ -67,15 +66,14 @@ def _script_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def letter_scripts(data: np.ndarray) -> np.ndarray:
     """For each byte, the script bit of the letter that starts there; 0 elsewhere."""
     starts, ends, bits = _script_table()
-    code = data.astype(np.int64)
-    out = np.where(((data >= 0x41) & (data <= 0x5A)) | ((data >= 0x61) & (data <= 0x7A)), 1, 0).astype(np.int64)
+    out = (((data >= 0x41) & (data <= 0x5A)) | ((data >= 0x61) & (data <= 0x7A))).astype(np.int32)
     lead = np.flatnonzero(data >= 0xC0)
     if lead.size:
-        padded = np.concatenate([code, [0, 0, 0]])
-        first = code[lead]
-        two = (first & 0x1F) << 6 | padded[lead + 1] & 0x3F
-        three = (first & 0x0F) << 12 | (padded[lead + 1] & 0x3F) << 6 | padded[lead + 2] & 0x3F
-        four = (first & 7) << 18 | (padded[lead + 1] & 0x3F) << 12 | (padded[lead + 2] & 0x3F) << 6 | padded[lead + 3] & 0x3F
+        padded = np.concatenate([data, np.zeros(3, np.uint8)])
+        first, second, third, fourth = (padded[lead + i].astype(np.int64) for i in range(4))
+        two = (first & 0x1F) << 6 | second & 0x3F
+        three = (first & 0x0F) << 12 | (second & 0x3F) << 6 | third & 0x3F
+        four = (first & 7) << 18 | (second & 0x3F) << 12 | (third & 0x3F) << 6 | fourth & 0x3F
         point = np.where(first < 0xE0, two, np.where(first < 0xF0, three, four))
         at = np.maximum(np.searchsorted(starts, point, "right") - 1, 0)
         inside = (point >= starts[at]) & (point <= ends[at]) & (point != 0xD7) & (point != 0xF7)
@@ -96,7 +94,7 @@ def trigram_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     before[starts] = 0x20  # a word at the start of a text follows another text's last byte
     after[ends - 1] = 0x20
     code = (before << np.uint32(16) | low[1:-1] << np.uint32(8) | after) * np.uint32(2654435761)
-    return np.where(inside, code >> np.uint32(16), np.uint32(BUCKETS)).astype(np.int64)
+    return np.where(inside, code >> np.uint32(16), np.uint32(BUCKETS)).astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -251,47 +249,36 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
     each labelled; an empty table gives an empty result. A text is worked on as a whole, at about a hundred
     bytes of memory for each of its bytes.
     """
-    # Positions, not names, tell the columns apart; a text that is kept is not sent twice.
-    kept = len(keep)
-    text_at = keep.index("text") if "text" in keep else kept + 1
-    inputs = docs.select(
-        *[docs[c].alias(f"_kept{i}") for i, c in enumerate(keep)],
-        docs["text"].rlike(r"\p{L}").alias("_has_letter"),
-        *([docs["text"].alias("_text")] if text_at > kept else []),
+    fallback = model.languages[0] if model.languages else UNDETERMINED
+
+    # Only the text goes to Python and only the labels come back; the other columns stay where they are.
+    @F.arrow_udf(FOUND_DDL)
+    def label(text: pa.Array, letter: pa.Array) -> pa.Array:
+        data, offsets = text_buffer(text)
+        found: list[tuple] = []
+        for first, last in text_chunks(offsets, CHUNK):
+            own = offsets[first : last + 1]
+            found += _label_chunk(data[own[0] : own[-1]], own - own[0], model)
+        rows = []
+        for (lang, score, spans), has in zip(found, letter.to_pylist(), strict=True):
+            if not has:
+                lang, score = UNDETERMINED, 0.0
+            elif lang == UNDETERMINED:
+                lang = fallback
+            rows.append({"lang": lang, "score": score, "spans": spans})
+        return pa.array(rows, FOUND)
+
+    found = docs.select(
+        *[docs[c] for c in keep], label(docs["text"], docs["text"].rlike(r"\p{L}")).alias("_lang_found")
     )
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(text_at))
-            found: list[tuple] = []
-            for first, last in text_chunks(offsets, CHUNK):
-                own = offsets[first : last + 1]
-                found += _label_chunk(data[own[0] : own[-1]], own - own[0], model)
-            letter = batch.column(kept).to_pylist()
-            fallback = model.languages[0] if model.languages else UNDETERMINED
-            langs = [
-                UNDETERMINED if not has else fallback if lang == UNDETERMINED else lang
-                for (lang, _, _), has in zip(found, letter, strict=True)
-            ]
-            scored = [score if has else 0.0 for (_, score, _), has in zip(found, letter, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:kept],
-                    pa.array(langs, pa.string()),
-                    pa.array(scored, pa.float64()),
-                    pa.array([spans for _, _, spans in found], SPANS),
-                ],
-                names=names,
-            )
-
-    names = [*[f"_kept{i}" for i in range(kept)], "lang_pred", "lang_score", "lang_spans"]
-    span = T.StructType().add("start", "integer").add("end", "integer").add("lang", "string")
-    schema = inputs.drop("_text", "_has_letter").schema.add("lang_pred", "string").add("lang_score", "double")
-    schema = schema.add("lang_spans", T.ArrayType(span))
-    out = inputs.mapInArrow(label, schema)
-    return out.select(
-        *[F.col(f"_kept{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "lang_score", "lang_spans"
+    return found.select(
+        *[found[c] for c in keep],
+        F.col("_lang_found.lang").alias("lang_pred"),
+        F.col("_lang_found.score").alias("lang_score"),
+        F.col("_lang_found.spans").alias("lang_spans"),
     )
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+FOUND = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", SPANS)])
+FOUND_DDL = "struct<lang:string,score:double,spans:array<struct<start:int,end:int,lang:string>>>"

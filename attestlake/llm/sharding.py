@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import running_total
+from .common import row_numbers
 
 ROUNDS = 6
 PRIME = (1 << 31) - 1
@@ -94,15 +94,14 @@ def shard_rows(rows: DataFrame, order: list[Column], shards: int, seed: int) ->
     Rows that tie in `order` take neighbouring numbers. Nulls in the order come first. An empty input
     gives an empty output. Extra columns pass through.
     """
-    numbered = rows.withColumn("_one", F.lit(1)).withColumn("_tie", F.monotonically_increasing_id())
-    numbered, total = running_total(numbered, [*order, F.col("_tie")], "_one", "_row")
-    n = total.first()["total"]
+    numbered = rows.withColumn("_tie", F.monotonically_increasing_id())  # spreads rows that tie over ranges
+    numbered, n = row_numbers(numbered, [*order, F.col("_tie")], "_row")
 
     @F.pandas_udf(T.LongType())
     def permuted(numbers: pd.Series) -> pd.Series:
         return pd.Series(permute(numbers.to_numpy(), n, seed))
 
-    moved = numbered.drop("_one", "_tie").withColumn("_moved", permuted("_row"))
+    moved = numbered.drop("_tie").withColumn("_moved", permuted("_row"))
     return moved.select(
         *[c for c in moved.columns if c != "_moved"],
         (F.col("_moved") % shards).cast("int").alias("_shard"),
