@@ -49,32 +49,27 @@ def claim_evidence(claims: DataFrame) -> DataFrame:
     ).select("claim_id", "evidence_idx", "e.receipt_id", "e.predicate")
 
 
-# Values are JSON text, which never holds this character, so joined values stay distinct.
-GLUE = "\u0001"
-
-
 def _keyed(evidence: DataFrame) -> DataFrame:
-    """Adds the sorted field list of the predicate and the value combinations it allows."""
+    """Adds the sorted field list of the predicate, the values each field allows, and those of the first field."""
     keyed = evidence.withColumn("_fields", F.sort_array(F.map_keys("predicate")))
-    combos = F.aggregate(
-        F.transform(
-            "_fields", lambda name: F.array_distinct(F.element_at(F.col("predicate"), name))
-        ),
-        F.array(F.lit("")),
-        lambda acc, values: F.flatten(
-            F.transform(
-                acc, lambda head: F.transform(values, lambda v: F.concat(head, F.lit(GLUE), v))
-            )
-        ),
-    )
-    return keyed.withColumn("_combos", combos)
+    allowed = F.transform("_fields", lambda name: F.array_distinct(F.element_at("predicate", name)))
+    first = F.when(F.size("_fields") == 0, F.array(F.lit(""))).otherwise(F.get("_allowed", F.lit(0)))
+    return keyed.withColumn("_allowed", allowed).withColumn("_firsts", first)
 
 
 def _record_values(record: Column, fields: Column) -> Column:
-    """A record's values of some fields as one text; null when it lacks one of them."""
+    """A record's values of some fields; null when it lacks one of them."""
     values = F.transform(fields, lambda name: F.try_element_at(record, name))
-    glued = F.concat(F.lit(GLUE), F.array_join(values, GLUE))
-    return F.when(~F.exists(values, F.isnull), glued)
+    return F.when(~F.exists(values, F.isnull), values)
+
+
+def _first_value(values: Column) -> Column:
+    return F.coalesce(F.get(values, F.lit(0)), F.lit(""))
+
+
+def _all_allowed(allowed: Column, values: Column) -> Column:
+    one = F.zip_with(allowed, values, lambda a, v: F.coalesce(F.array_contains(a, v), F.lit(False)))
+    return F.forall(one, lambda ok: ok)
 
 
 def match_predicate(evidence: DataFrame, records: DataFrame, ordinal: str = "ordinal") -> DataFrame:
@@ -86,8 +81,9 @@ def match_predicate(evidence: DataFrame, records: DataFrame, ordinal: str = "ord
     JSON null is a value and a missing field is not.
 
     Records are reduced to counts per (receipt, fields, values) for the field lists cited
-    for their receipt, and meet the evidence on exactly these keys. So a receipt cited by
-    many claims costs one pass over its records, never a pairing of claims with records.
+    for their receipt, and meet the evidence on the value of the first field; the values of
+    the other fields are tested on the pair. So a receipt cited by many claims costs one pass
+    over its records, and value lists are never multiplied.
     """
     keyed = _keyed(evidence)
     shapes = keyed.select("receipt_id", "_fields").distinct()
@@ -97,13 +93,17 @@ def match_predicate(evidence: DataFrame, records: DataFrame, ordinal: str = "ord
         .where(F.col("_values").isNotNull())
         .groupBy("receipt_id", "_fields", "_values")
         .agg(F.count("*").alias("_n"), F.min(ordinal).alias("_first"))
+        .withColumn("_value", _first_value(F.col("_values")))
     )
     asked = keyed.select(
-        "claim_id", "evidence_idx", "receipt_id", "_fields",
-        F.explode_outer("_combos").alias("_values"),
+        "claim_id", "evidence_idx", "receipt_id", "_fields", "_allowed",
+        F.explode_outer("_firsts").alias("_value"),
     )
+    fits = _all_allowed(F.col("_allowed"), F.col("_values"))
     return (
-        asked.join(tallies, ["receipt_id", "_fields", "_values"], "left")
+        asked.join(tallies, ["receipt_id", "_fields", "_value"], "left")
+        .withColumn("_n", F.when(fits, F.col("_n")))
+        .withColumn("_first", F.when(fits, F.col("_first")))
         .groupBy("claim_id", "evidence_idx", "receipt_id")
         .agg(
             F.coalesce(F.sum("_n"), F.lit(0)).alias("n_matches"),
@@ -119,8 +119,10 @@ def predicate_hits(evidence: DataFrame, records: DataFrame, ordinal: str = "ordi
     valued = records.join(shapes, "receipt_id").withColumn(
         "_values", _record_values(F.col("record"), F.col("_fields"))
     )
-    asked = keyed.withColumn("_values", F.explode("_combos"))
-    return asked.join(valued, ["receipt_id", "_fields", "_values"]).select(
+    valued = valued.where(F.col("_values").isNotNull()).withColumn("_value", _first_value(F.col("_values")))
+    asked = keyed.withColumn("_value", F.explode("_firsts"))
+    met = asked.join(valued, ["receipt_id", "_fields", "_value"])
+    return met.where(_all_allowed(F.col("_allowed"), F.col("_values"))).select(
         "claim_id", "evidence_idx", "receipt_id", ordinal
     )
 

@@ -69,3 +69,20 @@ def test_numbers_at_any_depth(spark, kind, value):
     assert text(cell("2.0")).count("2") == 1 and "2.0" not in text(cell("2.0"))
     nothing = spark.sql(f"SELECT CAST(NULL AS {kind}) AS s")
     assert text(nothing) == '{"s":null}'
+
+
+def test_long_value_lists_are_not_multiplied(spark):
+    values = [json.dumps(i) for i in range(3000)]
+    predicate = {"a": values, "b": values, "c": values}
+    evidence = spark.createDataFrame(
+        [("c", 0, "r", predicate), ("d", 0, "r", {"a": ["7"], "b": ["8"]}), ("e", 0, "r", {})],
+        "claim_id string, evidence_idx int, receipt_id string, predicate map<string,array<string>>",
+    )
+    records = spark.createDataFrame(
+        [("r", 0, {"a": "7", "b": "8", "c": "2999"}), ("r", 1, {"a": "7", "b": "9", "c": "3000"}), ("r", 2, {"a": "7"})],
+        "receipt_id string, ordinal bigint, record map<string,string>",
+    )
+    found = {r.claim_id: (r.n_matches, r.first_match) for r in claims.match_predicate(evidence, records).collect()}
+    assert found == {"c": (1, 0), "d": (1, 0), "e": (3, 0)}
+    hits = claims.predicate_hits(evidence, records).collect()
+    assert sorted((r.claim_id, r.ordinal) for r in hits) == [("c", 0), ("d", 0), ("e", 0), ("e", 1), ("e", 2)]
