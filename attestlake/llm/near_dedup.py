@@ -32,6 +32,8 @@ SHINGLE_WORDS, PERCENT = 5, 75
 ROWS, BANDS = 5, 48
 HASHES = ROWS * BANDS
 CHUNK = 1 << 20
+# Slices of the hash space in which shared shingles are counted.
+SLICES = 32
 # A pair goes on if this many minima agree: five standard deviations below what is expected at the threshold.
 LEAST_AGREEING = int(HASHES * 0.75 - 5 * (HASHES * 0.75 * 0.25) ** 0.5)
 
@@ -195,17 +197,27 @@ def confirm(pairs: DataFrame, sketch: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def shared_shingles(sets: DataFrame) -> DataFrame:
-    """doc_id, size (of the set) and shared (shingles that another row has), where a link is possible at all."""
+    """doc_id, size (of the set) and shared (by slice of the hash space, the number of shingles that another row has).
+
+    Only documents with which a link is possible at all.
+    """
     each = sets.select("doc_id", F.explode("shingles").alias("shingle"))
     twice = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
-    shared = each.join(twice, "shingle", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    part = F.pmod("shingle", F.lit(SLICES))
+    counts = [F.count_if(part == i).cast("int") for i in range(SLICES)]
+    shared = each.join(twice, "shingle", "left_semi").groupBy("doc_id").agg(F.array(*counts).alias("shared"))
     sizes = sets.select("doc_id", F.size("shingles").alias("size"))
-    return sizes.join(shared, "doc_id").filter(f"100 * shared >= {PERCENT} * size")
+    return sizes.join(shared, "doc_id").filter(f"100 * {_sum('shared')} >= {PERCENT} * size")
+
+
+def _sum(counts: str) -> str:
+    return f"aggregate({counts}, 0, (total, n) -> total + n)"
 
 
 def _possible(a: str, b: str) -> str:
-    """Whether the intersection can be as large as the threshold asks; it is at most what either side shares."""
-    return f"{100 + PERCENT} * least({a}.shared, {b}.shared) >= {PERCENT} * ({a}.size + {b}.size)"
+    """Whether the intersection can be as large as the threshold asks: in each slice it is at most what either side shares."""
+    common = _sum(f"zip_with({a}.shared, {b}.shared, (m, n) -> least(m, n))")
+    return f"{100 + PERCENT} * {common} >= {PERCENT} * ({a}.size + {b}.size)"
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -261,7 +273,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bounds = shared_shingles(sets).select("doc_id", F.struct("doc_id", "size", "shared").alias("bound"))
     members = scratch(members.join(bounds, "doc_id").select("key", "bound"), "possible-members")
 
-    own = (F.col("bound.size") - F.col("bound.shared")) / F.col("bound.size")
+    own = (F.col("bound.size") - F.expr(_sum("bound.shared"))) / F.col("bound.size")
     pivots = members.groupBy("key").agg(F.min(F.struct(own, "bound")).alias("least"))
     pivots = pivots.select("key", F.col("least.bound").alias("pivot"))
     ends = F.least("bound.doc_id", "pivot.doc_id").alias("a"), F.greatest("bound.doc_id", "pivot.doc_id").alias("b")
