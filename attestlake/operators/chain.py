@@ -13,7 +13,7 @@ from ..functions.hashing import digest
 from .blocks import with_previous
 from .receipts import header_halves, header_id, prev_json
 
-BLOCK = 100_000
+BLOCK = 1 << 21
 
 
 def content_id(df: DataFrame) -> Column:
@@ -30,7 +30,7 @@ def link_chain(receipts: DataFrame, block: int = BLOCK) -> DataFrame:
     `block` positions of a run.
     """
     levels = 1
-    while block ** (levels + 1) < 1 << 64:  # the last window then holds at most a block for any positions
+    while block ** (levels + 1) < 1 << 63:  # the last window then holds a few blocks for any 64-bit positions
         levels += 1
     rows = receipts.drop("prev", "receipt_id").withColumn("_content", content_id(receipts))
     linked = with_previous(

@@ -8,6 +8,7 @@ from ..functions.hashing import length_prefixed_digest
 from ..operators import chain, receipts as rc, replay
 from ..session import scratch_table
 from ..sources.sinks import append_receipts
+from ..sources.stores import read_receipt_store
 from . import adapters as ad
 from .adapters import cte, with_ctes
 from .registry import Tables, query
@@ -328,11 +329,35 @@ def snk01(t: Tables):
     path = scratch_table(t.spark, "receipts")
     append_receipts(made.where("seq % 2 = 0"), path)
     append_receipts(made, path)
-    return t.spark.read.parquet(path).groupBy("run_id").agg(
+    return t.spark.read.parquet(f"{path}/receipts").groupBy("run_id").agg(
         F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last")
     )
 
 
+@query(
+    "snk01_src11_round_trip",
+    with_ctes(
+        "receipts",
+        "record_rows",
+        select="SELECT c.receipt_id, c.prev, r.ordinal, r.k FROM receipts c JOIN record_rows r USING (run_id, seq)",
+    ),
+)
+def snk01_round_trip(t: Tables):
+    """Chained receipts and their records stored in two goes, then read back and joined."""
+    made = ad.stored_receipts(t)
+    rows = ad.record_rows(t).join(made.select("run_id", "seq", "receipt_id"), ["run_id", "seq"])
+    records = rows.select(
+        "receipt_id", F.col("ordinal").alias("record_idx"), F.create_map(F.lit("k"), F.col("k").cast("string")).alias("record")
+    )
+    path = scratch_table(t.spark, "store")
+    append_receipts(made.where("seq % 2 = 0"), path, records)
+    append_receipts(made, path, records)
+    receipts, stored = read_receipt_store(t.spark, path)
+    return receipts.join(stored, "receipt_id").select(
+        "receipt_id", "prev", F.col("record_idx").alias("ordinal"), F.col("record")["k"].cast("bigint").alias("k")
+    )
+
+
 @query(
     "src11_receipt_lines",
     with_ctes(

@@ -2,57 +2,74 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-
 RUN_BUCKETS = 64
 
 
-def run_bucket(run_id="run_id"):
+def run_bucket(run_id="run_id", buckets: int = RUN_BUCKETS):
     """The folder a run's receipts lie in: a fixed number of folders for any number of runs."""
-    return F.pmod(F.xxhash64(run_id), F.lit(RUN_BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64(run_id), F.lit(buckets)).cast("int")
 
 
-def append_receipts(receipts: DataFrame, path: str) -> None:
+def append_receipts(
+    receipts: DataFrame, path: str, records: DataFrame | None = None, buckets: int = RUN_BUCKETS
+) -> None:
     """Append receipts not stored yet; ids are content-addressed, so a rerun adds nothing.
 
-    Before writing, rows are rebalanced by folder: adaptive execution joins small pieces
-    and splits the folder of a hot run into several files. To read one run, filter on
-    `run_bucket` as well.
+    The store is two Parquet tables, `receipts` and `records` (receipt_id, record_idx, record), both by
+    `run_bucket`; keep to one number of buckets in a store. Before writing, rows are rebalanced by folder:
+    adaptive execution joins small pieces and splits the folder of a hot run into several files. Records go
+    first, so a receipt that is stored has its records. Only one writer at a time is safe: two could store
+    an id twice.
     """
     spark = receipts.sparkSession
-    fresh = receipts.dropDuplicates(["receipt_id"]).withColumn("run_bucket", run_bucket())
-    if _exists(spark, path):
-        stored = spark.read.parquet(path).select("run_bucket", "receipt_id")
-        fresh = fresh.join(stored, ["run_bucket", "receipt_id"], "left_anti")
-    fresh.hint("rebalance", "run_bucket").write.mode("append").partitionBy("run_bucket").parquet(path)
+    fresh = receipts.dropDuplicates(["receipt_id"]).withColumn("run_bucket", run_bucket("run_id", buckets))
+    stored = _stored(spark, f"{path}/receipts")
+    if stored is not None:
+        known = stored.select("run_bucket", "receipt_id")
+        fresh = fresh.join(known, ["run_bucket", "receipt_id"], "left_anti")
+    if records is not None:
+        mine = fresh.select("receipt_id", "run_bucket")
+        rows = records.select("receipt_id", "record_idx", "record").join(mine, "receipt_id")
+        _append(rows, f"{path}/records")
+    _append(fresh, f"{path}/receipts")
+
+
+def _append(rows: DataFrame, path: str) -> None:
+    rows.hint("rebalance", "run_bucket").write.mode("append").partitionBy("run_bucket").parquet(path)
 
 
-def _exists(spark, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+def _stored(spark, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def write_receipt_lines(receipts: DataFrame, records: DataFrame, path: str, fan: int = 10_000):
-    """Receipts as JSON lines with their records inside, for exchange in small stores.
+    """Receipts as JSON lines with their records inside, for exchange; `read_receipts` reads them back.
 
-    Refuses receipts with more records than `fan`; keep those in tables.
+    A receipt with more than `fan` records takes several lines, each with the number of its first record.
     """
     header = [
         "tool_name", "tool_version", "args_canonical", "image_sha256", "raw_digest",
         "data_digest", "offsets", "ts", "prev", "run_id", "seq", "model_id", "prompt_hash",
     ]
-    sizes = records.groupBy("receipt_id").count().where(F.col("count") > fan).limit(1)
-    if not sizes.isEmpty():
-        raise ValueError("a receipt has too many records for one line; store records as a table")
-    data = records.groupBy("receipt_id").agg(
+    line = F.floor(F.col("record_idx") / fan)
+    data = records.groupBy("receipt_id", line.alias("line")).agg(
+        F.min("record_idx").cast("bigint").alias("first_record"),
         F.sort_array(
             F.collect_list(F.struct("record_idx", F.map_entries("record").alias("entries")))
-        ).alias("rs")
+        ).alias("rs"),
     )
     lines = receipts.join(data, "receipt_id", "left").select(
         "receipt_id",
         F.struct(*header).alias("header"),
+        F.coalesce("first_record", F.lit(0)).alias("first_record"),
         F.coalesce(
             F.transform("rs", lambda r: F.map_from_entries(r["entries"])),
             F.array().cast("array<map<string,string>>"),

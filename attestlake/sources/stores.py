@@ -14,7 +14,10 @@ HEADER = (
     "raw_digest:string,data_digest:string,offsets:" + OFFSETS + ",ts:timestamp,prev:string,"
     "run_id:string,seq:bigint,model_id:string,prompt_hash:string>"
 )
-STORED = f"receipt_id string, header {HEADER}, data array<map<string,string>>, seal string"
+STORED = (
+    f"receipt_id string, header {HEADER}, first_record bigint, "
+    "data array<map<string,string>>, seal string"
+)
 
 
 def receipt_lines(lines: DataFrame, path: Column) -> DataFrame:
@@ -36,7 +39,8 @@ def receipt_lines(lines: DataFrame, path: Column) -> DataFrame:
     reserved = [name for name in RESERVED_FOLDERS if name != CANONICAL_FOLDER]
     kept = parsed.where(~folder_of(F.col("store")).isin(*reserved))
     return kept.where(F.col("r.header.tool_name").isNotNull()).select(
-        "scope", "store_rank", "store", "r.receipt_id", "r.header.*", "r.data", "r.seal"
+        "scope", "store_rank", "store", "r.receipt_id", "r.header.*",
+        F.coalesce("r.first_record", F.lit(0)).alias("first_record"), "r.data", "r.seal",
     )
 
 
@@ -45,14 +49,24 @@ def folder_of(path: Column) -> Column:
 
 
 def read_receipts(spark: SparkSession, root: str) -> DataFrame:
-    """Every receipt store directly under `root`; one row per receipt line."""
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(f"{root.rstrip('/')}/*")
+    """Every store of receipt lines directly under `root`; one row per line.
+
+    A receipt with very many records may take several lines with the same id (`write_receipt_lines`).
+    """
+    lines = spark.read.option("pathGlobFilter", "{*.jsonl,part-*}").text(f"{root.rstrip('/')}/*")
     return receipt_lines(lines, F.col("_metadata.file_path"))
 
 
 def receipt_records(receipts: DataFrame) -> DataFrame:
     """Records of stored receipts, one row each."""
-    return receipts.select("receipt_id", F.posexplode("data").alias("record_idx", "record"))
+    rows = receipts.select("receipt_id", "first_record", F.posexplode("data").alias("at", "record"))
+    return rows.select("receipt_id", (F.col("first_record") + F.col("at")).alias("record_idx"), "record")
+
+
+def read_receipt_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(receipts, records) of a store that `append_receipts` wrote with records."""
+    receipts, records = (spark.read.parquet(f"{path}/{name}") for name in ("receipts", "records"))
+    return receipts.drop("run_bucket"), records.drop("run_bucket")
 
 
 def corpus_questions(

@@ -123,7 +123,7 @@ def test_positions_sparse_negative_and_huge(spark):
     df = headers(spark, (("a", 9),))
     at = F.element_at(F.array(*map(F.lit, [-(2**62), -5, -4, 0, 7, 10**9, 1_700_000_000_000_000, 2**62, 2**63 - 1])), F.col("seq").cast("int") + 1)
     moved = df.withColumn("seq", at.cast("bigint"))
-    for block in (20_000, 100_000):
+    for block in (100_000, chain.BLOCK):
         rows = sorted(chain.link_chain(moved, block=block).collect(), key=lambda r: r.seq)
         ids = {r.seq: r.c for r in moved.select("seq", chain.content_id(moved.withColumn("prev", F.lit(None).cast("string"))).alias("c")).collect()}
         assert [r.prev for r in rows] == [None] + [ids[r.seq] for r in rows[:-1]]
@@ -200,13 +200,33 @@ def test_store_round_trip_and_watch(spark, folder):
 
 
 def test_appending_twice_adds_nothing(spark, folder):
-    made = chain.link_chain(headers(spark, (("a", 3), ("b", 2))))
-    path = str(folder / "receipts")
-    sinks.append_receipts(made.where("run_id = 'a'"), path)
-    sinks.append_receipts(made, path)
-    sinks.append_receipts(made, path)
-    stored = spark.read.parquet(path)
-    assert stored.count() == 5 and stored.select("receipt_id").distinct().count() == 5
+    made = chain.link_chain(headers(spark, (("a", 3), ("b", 2)))).persist()
+    records = made.select(
+        "receipt_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("record_idx"), F.create_map(F.lit("k"), F.col("run_id")).alias("record")
+    )
+    path = str(folder / "store")
+    sinks.append_receipts(made.where("run_id = 'a'"), path, records, buckets=8)
+    sinks.append_receipts(made, path, records, buckets=8)
+    sinks.append_receipts(made, path, records, buckets=8)
+    receipts, rows = stores.read_receipt_store(spark, path)
+    assert sorted(receipts.columns) == sorted(made.columns)
+    assert sorted(map(str, receipts.select("receipt_id", "prev", "seq").collect())) == sorted(
+        map(str, made.select("receipt_id", "prev", "seq").collect())
+    )
+    assert rows.count() == 10 and rows.select("receipt_id", "record_idx").distinct().count() == 10
+    assert problems(receipts) == []
+
+
+def test_lines_read_back_whatever_the_number_of_records(spark, folder):
+    made = chain.link_chain(headers(spark, (("a", 2),))).withColumn("seal", F.lit("s")).persist()
+    records = made.select(
+        "receipt_id", F.explode(F.sequence(F.lit(0), F.lit(24) * F.col("seq"))).alias("record_idx")
+    ).withColumn("record", F.create_map(F.lit("n"), F.col("record_idx").cast("string")))
+    sinks.write_receipt_lines(made, records, str(folder / "logs" / "sample"), fan=10)
+    back = stores.read_receipts(spark, str(folder / "logs"))
+    assert {r.receipt_id for r in back.collect()} == {r.receipt_id for r in made.collect()} and back.count() == 4
+    got = {(r.receipt_id, r.record_idx, r.record["n"]) for r in stores.receipt_records(back).collect()}
+    assert got == {(r.receipt_id, r.record_idx, r.record["n"]) for r in records.collect()}
 
 
 def test_replay_names_what_changed(spark):
