@@ -20,6 +20,8 @@ BLOCK_TOKENS = 1 << 20
 # Larger sources get larger blocks, so that no source has more blocks than this.
 MOST_BLOCKS = 4096
 STEPS = 80
+# With up to this many sources (a few MB) their plan is broadcast; with more, Spark chooses the join.
+BROADCAST_SOURCES = 50_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -112,6 +114,8 @@ def mix_sources(
     plan = docs.sparkSession.createDataFrame(
         rows, "plan_source string, n_blocks bigint, full bigint, rest bigint, quota bigint, source_tokens bigint"
     )
+    if len(rows) <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     with_plan = F.col("source").eqNullSafe(F.col("plan_source"))
     block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_blocks")).alias("block")
 
@@ -168,6 +172,8 @@ def mix_sources(
         "last_rank",
     )
     numbers = plan.select(F.col("plan_source").alias("_of"), "n_blocks")
+    if len(rows) <= BROADCAST_SOURCES:
+        numbers = F.broadcast(numbers)
     out = docs.join(numbers, docs["source"].eqNullSafe(F.col("_of"))).withColumn(
         "_own_block", F.pmod(F.xxhash64(docs["doc_id"], F.lit(seed)), F.col("n_blocks"))
     )
