@@ -27,7 +27,6 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import scratch_table, written
 from .common import per_process, text_buffer
