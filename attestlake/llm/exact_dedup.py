@@ -2,7 +2,7 @@
 
 The state lives in RocksDB, is keyed by the digest of the normalised text and never expires. For each
 digest it retains the stable identifier of the row that stays, the content locator of the first row
-(file and row number), and the number of rows. It is a streaming aggregate, so rows of a hot digest are
+(file and row number within the whole file, however a read splits it), and the number of rows. It is a streaming aggregate, so rows of a hot digest are
 combined before the shuffle. Every further row of a digest is a hit: its full bytes are compared with
 those of the row the locator names. Rows of a digest with unlike bytes are classed by their bytes.
 """
@@ -44,7 +44,6 @@ def _rows(source: DataFrame, digest) -> DataFrame:
         F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("length"),
         F.struct(
             F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
             F.col("_metadata.row_index").alias("row"),
         ).alias("locator"),
     ).withColumn("digest", digest(F.col("content")))

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +65,28 @@ def test_state_goes_on(ready, make_docs, folder):
     make_docs([(3, " a"), (4, "c")]).coalesce(1).write.mode("append").parquet(path)
     rows = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup(ready, path, checkpoint=state).collect()}
     assert rows == {1: (3, 2, False), 3: (3, 2, True), 2: (2, 1, True), 4: (4, 1, True)}
+
+
+@pytest.mark.parametrize("digest", ["full", "weak"])
+def test_result_does_not_hang_on_how_files_are_split(ready, make_docs, folder, digest):
+    # Three files of several row groups each, in batches of two and one that split unlike the batch pass does.
+    path, rng = f"{folder}/docs.parquet", random.Random(4)
+    rows = [(i, "".join(rng.choices("abcdefghij", k=600))) for i in range(27_000)]
+    rows += [(30_000 + i, rows[i * 9][1] + " ") for i in range(300)]
+    rng.shuffle(rows)
+    docs = make_docs(rows).select("doc_id", "text")
+    docs.repartition(3).write.option("parquet.block.size", 1 << 20).parquet(path)
+    assert all(f.stat().st_size > 4 << 20 for f in Path(path).glob("*.parquet"))
+    options = {"digest": lambda c: F.substring(F.sha2(c, 256), 1, 3)} if digest == "weak" else {}
+    setting, before = "spark.sql.files.maxPartitionBytes", ready.conf.get("spark.sql.files.maxPartitionBytes")
+    ready.conf.set(setting, str(1 << 20))
+    try:
+        found = exact_dedup(ready, path, files_per_batch=2, checkpoint=f"{folder}/state", **options).collect()
+        ready.conf.set(setting, str(3 << 20))
+        again = exact_dedup(ready, path, files_per_batch=2, checkpoint=f"{folder}/state", **options).collect()
+    finally:
+        ready.conf.set(setting, before)
+    assert sorted(found) == sorted(again)
+    copies = {doc_id: text.strip() for doc_id, text in rows}
+    keeper = {text: doc_id for doc_id, text in sorted(copies.items())}  # the copy is longer by a blank
+    assert {r.doc_id: (r.keep_id, r.kept) for r in found} == {i: (keeper[t], keeper[t] == i) for i, t in copies.items()}
