@@ -223,7 +223,9 @@ def questions(t: Tables):
         .when(doc % 6 == 1, text("the phone number \\(901\\)555-", F.lpad(doc.cast("string"), 4, "0"), ". in the HFS+ volume"))
         .when(doc % 6 == 2, text("the word/words \"été", doc.cast("string"), '" in  the second HFS volume'))
         .when(doc % 6 == 3, text("'inode:filename' and 'needle", doc.cast("string"), "' on linux"))
-        .when(doc % 6 == 4, "extension(s) .TXT and .html in the NTFS area")
+        .when(doc % 18 == 4, "extension(s) .TXT and .html in the NTFS area")
+        .when(doc % 18 == 10, "extensions .html,.txt, and .TXT in the NTFS area")
+        .when(doc % 18 == 16, "extensions .txt, and .html in the NTFS area")
         .otherwise("\"count\" or \"hay\" in exFAT")
     )
     return t.documents.select(

@@ -127,6 +127,25 @@ def test_extract_extensions(spark, text, want):
     assert one(spark, text, prose.extract_extensions) == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("extensions .jpg, .gif, and .png in the", ["gif", "jpg", "png"]),
+        (".a extension .doc,.docx on it", ["doc", "docx"]),
+        ("extensions .jpg/.png, or .gif,and/or .BMP .zip and the .exe", ["bmp", "gif", "jpg", "png", "zip"]),
+        ("extension .doc , , and or\n.odt and order .x", ["doc", "odt"]),
+    ],
+)
+def test_extension_lists_with_any_separators(spark, text, want):
+    assert one(spark, text, prose.extract_extensions) == want
+
+
+def test_long_extension_list_is_whole(spark):
+    listed = ", and/or ".join(f".x{i}" for i in range(20_000))
+    assert len(one(spark, f"extensions {listed} in", prose.extract_extensions)) == 20_000
+    assert one(spark, "extension " + ", and " * 20_000, prose.extract_extensions) == []
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
