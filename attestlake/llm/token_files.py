@@ -17,6 +17,7 @@ the documents it is asked for and no others.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -145,15 +146,37 @@ def safe_cuts(data: np.ndarray) -> np.ndarray:
 
 
 class PieceCache:
-    """Ids of pieces that were encoded before; emptied when it holds `limit` pieces."""
+    """Ids of pieces that were encoded before; emptied when it holds `limit` pieces.
 
-    def __init__(self, path: str, limit: int = 300_000):
+    With `spell_special` the special tokens of the vocabulary count as ordinary text; without it a text has
+    the ids of the tokenizer's own `encode(text, add_special_tokens=False)`.
+    """
+
+    def __init__(self, path: str, limit: int = 300_000, spell_special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spell_special
         self.known: dict[bytes, np.ndarray] = {}
+        held = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (spell_special and t.special)]
+        # Beside tokens that take blanks with them or are matched in changed text no cut is safe: texts stay whole.
+        self.whole = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in held)
+        contents = sorted((t.content.encode() for t in held), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, contents))) if contents else None
+
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Bounds of the pieces: safe cuts, but none inside the content of an added token, which is a piece of its own."""
+        if self.whole:
+            return np.unique(offsets)
+        cuts, blob = safe_cuts(data), data.tobytes()
+        if self.added is None or not self.added.search(blob):
+            return np.union1d(cuts, offsets)
+        spans = [m.span() for a, b in zip(offsets[:-1], offsets[1:], strict=True) for m in self.added.finditer(blob, a, b)]
+        spans = np.array(spans, np.int64).reshape(-1, 2)
+        within = np.searchsorted(spans[:, 0], cuts) - 1  # the last token that starts before the cut
+        inside = (within >= 0) & (cuts < np.append(spans[:, 1], 0)[within])
+        return np.unique(np.concatenate([cuts[~inside], offsets, spans.ravel()]))
 
     def ids(self, pieces: list[bytes]) -> list[np.ndarray]:
         if len(self.known) > self.limit:
@@ -168,7 +191,7 @@ class PieceCache:
 def encode_texts(column: pa.Array, cache: PieceCache, end_id: int) -> Iterator[np.ndarray]:
     """The ids of each text and `end_id`: every distinct piece of the batch goes through the tokenizer once."""
     data, offsets = text_buffer(column)
-    cuts = np.union1d(safe_cuts(data), offsets)
+    cuts = cache.cuts(data, offsets)
     pieces = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]
     ).dictionary_encode()
@@ -192,6 +215,8 @@ def write_token_files(
 ) -> DataFrame:
     """Encode `text` of each row of `docs` and write the ids in ascending doc_id order; returns the index of the documents.
 
+    The ids are those of the tokenizer's `encode(text, add_special_tokens=False)` and `end_id`: the content of an
+    added token inside a text is that token.
     Each sorted range of documents becomes one file, written front to back by its task under a name of
     its own; only files that the index (a table written with Spark's commit protocol) names count, so a
     repeated or lost task leaves no trace. Null text counts as empty; a null doc_id comes first; rows with
@@ -203,7 +228,7 @@ def write_token_files(
         from pyspark import TaskContext
 
         part, filesystem, stream = TaskContext.get().partitionId(), None, None
-        cache = per_process(f"pieces of {tokenizer}", lambda: PieceCache(tokenizer))
+        cache = per_process(f"pieces of {tokenizer}", lambda: PieceCache(tokenizer, spell_special=False))
         position = offset = 0
         for batch in batches:
             if not batch.num_rows:

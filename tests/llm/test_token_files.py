@@ -118,3 +118,24 @@ def test_empty_table(ready, make_docs):
     index = write_token_files(make_docs([]), token_folder(ready), PATH, 2)
     assert index.count() == 0
     assert read_token_files(ready, file_starts(index)).count() == 0
+
+
+def plain(texts):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(PATH)
+    return [[*model.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_added_tokens_in_texts_are_those_tokens(ready, make_docs):
+    rng = np.random.default_rng(5)
+    parts = ["<|endoftext|>", "<|endof", "text|>", "<|", " ", "  ", "word", "Z", "é", "\n", "'s", "12"]
+    texts = [*TEXTS, "<|endof", "text|><|endoftext|>", "<|endoftext|>"]
+    texts += ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(2000)]
+    want = plain(texts)
+    got = encode_texts(pa.array(texts), PieceCache(PATH, spell_special=False), 2)
+    assert [g.tolist() for g in got] == want and sum(50256 in w for w in want) > 500
+    index = write_token_files(make_docs(list(enumerate(texts))).repartition(3), token_folder(ready), PATH, 2)
+    back = read_token_files(ready, file_starts(index)).orderBy("doc_id").collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in back] == want
+    assert [r.start for r in back] == np.cumsum([0, *map(len, want)])[:-1].tolist()
