@@ -1,18 +1,15 @@
-"""Passages of benchmark items inside documents, found through the CGK embedding.
-
-The CGK random walk reads a word sequence with one pointer: at each step it writes the word under the
-pointer and then moves on or stays, by a random bit that depends on the step and the word. Two sequences
-at a small edit distance get embeddings at a small Hamming distance, since the pointers of both walks fall
-into step again after an edit. Every window of a document that starts at a word and every item are
-embedded with the same randomness. Bit-sampling LSH compares a few sampled steps; it is repeated with fresh
-walks until the target recall is met. Candidates whose Hamming distance over the whole walk is not
-hopeless are verified by the exact edit distance, in words, of the item to the best part of the text
-around the window.
+"""Passages of benchmark items inside documents, found through anchors that must survive.
+
+An item of n words may have k = n * EDIT_SHARE edits. Cut into k + 1 runs of words (anchors), at least one of
+them is without any edit, wherever the edits lie, so each passage holds an anchor word for word. Every window of
+a document that equals an anchor gives a candidate range, as wide as k edits allow; ranges of one item that
+overlap become one. Each range is searched for the item by exact edit distance in words. No passage is missed
+and none is sampled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +20,11 @@ from .common import lower_latin, mix, text_buffer, text_chunks, word_hashes, wor
 
 # An item counts as found with at most this share of its words inserted, deleted or replaced.
 EDIT_SHARE = 0.15
-REPEATS, SAMPLED = 12, 3
-# Of the steps of a walk compared in full, the share at which unlike words end a candidate.
-LEAST_AGREEMENT = 0.25
 CHUNK = 1 << 20
 # Bytes of item text that one pass over the documents carries to every task.
 BLOCK_BYTES = 8 << 20
-MAX_STEPS = 60
+# Slots of the table that windows are looked up in before the anchors themselves.
+SLOTS = 1 << 20
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -38,27 +33,6 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return word_hashes(lower_latin(data), starts, ends), starts, ends, text_of
 
 
-class Walk:
-    """One random walk: the bit that moves the pointer at a step comes from the word's hash."""
-
-    def __init__(self, seed: int):
-        self.key = mix(np.array([seed * 2 + 1], np.uint64))[0]
-
-    def bits(self, words: np.ndarray) -> np.ndarray:
-        """64 random bits of each word, one for each step."""
-        return mix(words ^ self.key)
-
-    @staticmethod
-    def embed(words: np.ndarray, bits: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
-        """The words written in `steps` steps from each start; `words` ends with enough padding."""
-        out = np.empty((len(starts), steps), np.uint64)
-        at = starts.copy()
-        for step in range(steps):
-            out[:, step] = words[at]
-            at += (bits[at] >> np.uint64(step)).astype(np.int64) & 1
-        return out
-
-
 def within(item: list, text: list, most: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the part of `text` that is nearest to `item`, if it needs at most `most` edits.
 
@@ -72,17 +46,41 @@ def within(item: list, text: list, most: int) -> tuple[int, int, int] | None:
     return edits, end - back[1], end
 
 
+def passages(item: list, text: list, most: int) -> Iterator[tuple[int, int, int]]:
+    """(edits, start, end) of parts of `text` within `most` edits of `item`, from left to right without overlap."""
+    size, begin = len(item), 0
+    while True:
+        rest = map(text.__getitem__, range(begin, len(text)))
+        ends = enumerate(_scores(item, rest, free_start=True), begin + 1)
+        end = next((j for j, score in ends if score <= most), None)
+        if end is None:
+            return
+        # The first end that is near enough comes up to `most` words before that of the best part.
+        low = max(begin, end - size - most)
+        edits, a, b = within(item, text[low : end + 2 * most], most)
+        yield edits, low + a, low + b
+        begin = low + b
+
+
 def _nearest_end(item: list, text: list, free_start: bool) -> tuple[int, int]:
+    best, at = len(item), 0
+    for j, score in enumerate(_scores(item, text, free_start), 1):
+        if score < best:
+            best, at = score, j
+    return best, at
+
+
+def _scores(item: list, text: Iterable, free_start: bool) -> Iterator[int]:
+    """Edits from `item` to the text up to each of its words."""
     size = len(item)
     if not size:
-        return 0, 0
+        return
     full, top = (1 << size) - 1, 1 << (size - 1)
     masks: dict = {}
     for i, word in enumerate(item):
         masks[word] = masks.get(word, 0) | 1 << i
     plus, minus, score = full, 0, size
-    best, at = size, 0
-    for j, word in enumerate(text, 1):
+    for word in text:
         eq = masks.get(word, 0)
         cross = eq | minus
         eq |= ((eq & plus) + plus) ^ plus
@@ -96,124 +94,114 @@ def _nearest_end(item: list, text: list, free_start: bool) -> tuple[int, int]:
         down = down << 1 & full
         plus = down | ~(cross | up) & full
         minus = up & cross
-        if score < best:
-            best, at = score, j
-    return best, at
+        yield score
+
+
+class Anchors:
+    """The anchors of one length, sorted by key: their items and places in these."""
+
+    def __init__(self, keys: np.ndarray, items: np.ndarray, places: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.items, self.places = keys[order], items[order], places[order]
+        self.slots = np.zeros(SLOTS, bool)
+        self.slots[keys & np.uint64(SLOTS - 1)] = True
+
+    def hits(self, keys: np.ndarray) -> np.ndarray:
+        """Positions of those keys that some anchor has."""
+        at = np.flatnonzero(self.slots[keys & np.uint64(SLOTS - 1)])
+        slot = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+        return at[self.keys[slot] == keys[at]]
 
 
 class ItemIndex:
-    """The items' words and, for each repeat, their sampled steps."""
+    """The items' words and their anchors by length."""
 
     def __init__(self, items: list[tuple[int, str]]):
         blob = [(text or "").encode() for _, text in items]
         offsets = np.concatenate([[0], np.cumsum([len(b) for b in blob])]).astype(np.int64)
         words, _, _, text_of = hashed_words(np.frombuffer(b"".join(blob), np.uint8), offsets)
-        per_item = [words[text_of == i] for i in range(len(items))]
-        chosen = [(item_id, w) for (item_id, _), w in zip(items, per_item, strict=True) if len(w)]
-        self.ids = [item_id for item_id, _ in chosen]
-        self.words = [w.tolist() for _, w in chosen]
-        self.sizes = np.array([len(w) for _, w in chosen], np.int64)
+        bounds = np.searchsorted(text_of, np.arange(len(items) + 1))
+        chosen = [(item_id, a, b) for (item_id, _), a, b in zip(items, bounds[:-1], bounds[1:], strict=True) if b > a]
+        self.ids = [item_id for item_id, _, _ in chosen]
+        self.words = [words[a:b].tolist() for _, a, b in chosen]
+        self.sizes = np.array([b - a for _, a, b in chosen], np.int64)
         self.most = (self.sizes * EDIT_SHARE).astype(np.int64)
-        # A walk writes about two steps a word; past the item's end there is nothing to compare.
-        self.steps = np.minimum(MAX_STEPS, np.maximum(1, self.sizes * 2 - 2))
-        padding = np.zeros(MAX_STEPS + 1, np.uint64)
-        self.flat = np.concatenate([np.concatenate([w, padding]) for _, w in chosen] or [padding])
-        self.starts = np.cumsum(self.sizes + len(padding)) - (self.sizes + len(padding))
-        self.repeats = []
-        for r in range(REPEATS if chosen else 0):
-            walk = Walk(r)
-            written = walk.embed(self.flat, walk.bits(self.flat), self.starts, MAX_STEPS)
-            self.repeats.append((walk, written, self._samples(r)))
-
-    def _samples(self, repeat: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(sampled steps, items) for groups of items of similar length."""
-        groups, rng = [], np.random.default_rng(7919 + repeat)
-        size_class = np.floor(np.log2(self.steps)).astype(int)
-        for c in np.unique(size_class):
-            items = np.flatnonzero(size_class == c)
-            limit = int(self.steps[items].min())
-            k = min(SAMPLED, limit)
-            groups.append((np.sort(rng.choice(limit, k, replace=False)), items))
-        return groups
-
-
-def _candidates(index: ItemIndex, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(start, item) pairs whose sampled steps agree in some repeat and whose walks are near enough."""
-    found = []
-    for walk, written, groups in index.repeats:
-        bits = walk.bits(words)
-        for sampled, items in groups:
-            at, live, step, agreed = starts.copy(), starts, 0, []
-            for position in sampled:
-                while step < position:
-                    at += (bits[at] >> np.uint64(step)).astype(np.int64) & 1
-                    step += 1
-                # windows whose word at this step is that of no item are out
-                known = np.unique(written[items, position])
-                here = words[at]
-                slot = np.minimum(np.searchsorted(known, here), len(known) - 1)
-                keep = known[slot] == here
-                at, live, here = at[keep], live[keep], here[keep]
-                agreed = [a[keep] for a in agreed] + [here]
-                if not len(live):
-                    break
-            if not len(live):
-                continue
-            key = mix_rows(agreed)
-            item_key = mix_rows([written[items, p] for p in sampled])
-            order = np.argsort(item_key, kind="stable")
-            low, high = np.searchsorted(item_key[order], key, "left"), np.searchsorted(item_key[order], key, "right")
-            hits = np.flatnonzero(high > low)
-            if not len(hits):
-                continue
-            many = high[hits] - low[hits]
-            window = np.repeat(live[hits], many)
-            which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[hits], many)
-            item = items[order[which]]
-            for a in range(0, len(window), 1 << 14):
-                w, i = window[a : a + (1 << 14)], item[a : a + (1 << 14)]
-                near = walk.embed(words, bits, w, MAX_STEPS) == written[i]
-                counted = np.arange(MAX_STEPS) < index.steps[i][:, None]
-                agreement = (near & counted).sum(axis=1) >= LEAST_AGREEMENT * index.steps[i]
-                found.append(np.stack([w[agreement], i[agreement]], axis=1))
-    if not found:
-        return np.zeros((0, 2), np.int64)
-    return np.unique(np.concatenate(found), axis=0)
-
-
-def mix_rows(columns: list[np.ndarray]) -> np.ndarray:
-    key = np.zeros(len(columns[0]), np.uint64)
-    for column in columns:
-        key = mix(key * np.uint64(0xD6E8FEB86659FD93) + column)
-    return key
+        # As many anchors as an item may have edits, and one more.
+        count = self.most + 1
+        item = np.repeat(np.arange(len(chosen)), count)
+        number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        place = number * self.sizes[item] // count[item]
+        length = (number + 1) * self.sizes[item] // count[item] - place
+        start = np.array([a for _, a, _ in chosen], np.int64)[item] + place
+        self.anchors: dict[int, Anchors] = {}
+        for size, keys in window_keys(words, set(length.tolist())):
+            of = length == size
+            self.anchors[size] = Anchors(keys[start[of]], item[of], place[of])
+
+
+def window_keys(words: np.ndarray, sizes: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, keys of all windows of `size` words) for each of the sizes."""
+    keys = np.zeros(len(words), np.uint64)
+    for size in range(1, min(max(sizes, default=0), len(words)) + 1):
+        keys = mix(keys[: len(words) - size + 1] * np.uint64(0xD6E8FEB86659FD93) + words[size - 1 :])
+        if size in sizes:
+            yield size, keys
+
+
+def _ranges(index: ItemIndex, words: np.ndarray, text_of: np.ndarray, first_word: np.ndarray) -> np.ndarray:
+    """(text, item, first, after last word) of the ranges that may hold an item; those of one item do not overlap."""
+    found = [np.zeros((0, 4), np.int64)]
+    for size, keys in window_keys(words, set(index.anchors)):
+        anchors = index.anchors[size]
+        at = anchors.hits(keys)
+        at = at[text_of[at] == text_of[at + size - 1]]
+        if not len(at):
+            continue
+        # a run of equal windows, as in a repeated word, is one hit
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(at) != 1) | (keys[at[1:]] != keys[at[:-1]]) | (np.diff(text_of[at]) != 0)
+        begin, last = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
+        low = np.searchsorted(anchors.keys, keys[begin], "left")
+        many = np.searchsorted(anchors.keys, keys[begin], "right") - low
+        which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        item, text = anchors.items[which], np.repeat(text_of[begin], many)
+        start = np.repeat(begin, many) - anchors.places[which] - index.most[item]
+        end = np.repeat(last, many) - anchors.places[which] + index.sizes[item] + index.most[item]
+        start, end = np.maximum(start, first_word[text]), np.minimum(end, first_word[text + 1])
+        found.append(np.stack([text, item, start, end], axis=1))
+    pairs = np.concatenate(found)
+    if not len(pairs):
+        return pairs
+    text, item, start, end = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))].T
+    group = np.cumsum(np.append(True, (np.diff(text) != 0) | (np.diff(item) != 0)))
+    # The furthest end so far within the group: groups are set apart by more than any position.
+    apart = group * (len(words) + 1)
+    furthest = np.maximum.accumulate(end + apart) - apart
+    new = np.append(True, (np.diff(group) != 0) | (start[1:] > furthest[:-1]))
+    last = np.append(np.flatnonzero(new)[1:], len(new)) - 1
+    return np.stack([text[new], item[new], start[new], furthest[last]], axis=1)
 
 
 def find_items(data: np.ndarray, offsets: np.ndarray, index: ItemIndex) -> list[tuple[int, int, int, int, int]]:
-    """(text, item number, edits, start, end in code points) of all verified passages, none inside another of its item."""
+    """(text, item number, edits, start, end in code points) of all verified passages, none over another of its item."""
     words, starts, ends, text_of = hashed_words(data, offsets)
-    if not len(words) or not index.repeats:
+    if not len(words) or not index.anchors:
         return []
-    padded = np.concatenate([words, np.zeros(MAX_STEPS + 1, np.uint64)])
-    pairs = _candidates(index, padded, np.arange(len(words)))
-    if not len(pairs):
+    first_word = np.searchsorted(text_of, np.arange(len(offsets)))
+    ranges = _ranges(index, words, text_of, first_word)
+    if not len(ranges):
         return []
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    first_word = np.searchsorted(text_of, np.arange(len(offsets)))
-    out, passed = [], {}
-    for at, item in pairs.tolist():
-        text = int(text_of[at])
-        if at < passed.get((text, item), -1):
-            continue
-        most, size = int(index.most[item]), int(index.sizes[item])
-        low = max(int(first_word[text]), at - most, passed.get((text, item), 0))
-        high = min(int(first_word[text + 1]), at + size + 2 * most)  # the window may begin early
-        match = within(index.words[item], words[low:high].tolist(), most)
-        if match is None:
+    out = []
+    for text, item, low, high in ranges.tolist():
+        own, most, part = index.words[item], int(index.most[item]), words[low:high].tolist()
+        # A passage keeps all words of the item but `most`.
+        held = set(own)
+        if sum(word in held for word in part) < len(own) - most:
             continue
-        edits, a, b = match[0], low + match[1], low + match[2]
-        passed[(text, item)] = b
         base = points[offsets[text]]
-        out.append((text, item, edits, int(points[starts[a]] - base), int(points[ends[b - 1]] - base)))
+        for edits, a, b in passages(own, part, most):
+            out.append((text, item, edits, int(points[starts[low + a]] - base), int(points[ends[low + b - 1]] - base)))
     return out
 
 

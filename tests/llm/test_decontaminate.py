@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from llm_fixtures import SF, make_docs, ready, real_docs  # noqa: F401
 
 from attestlake.llm import decontaminate
@@ -106,3 +107,47 @@ def test_windows_are_those_of_one_text(ready):
     data = np.frombuffer(b"".join(halves), np.uint8)
     offsets = np.array([0, len(halves[0]), len(data)], np.int64)
     assert decontaminate.find_items(data, offsets, decontaminate.ItemIndex([(1, item)])) == []
+
+
+def within_brute(item, text):
+    """As `nearest`, for long items."""
+    row = np.zeros(len(text) + 1, np.int64)
+    steps, text = np.arange(len(text) + 1), np.array(text)
+    for i, word in enumerate(item, 1):
+        best = np.append(i, np.minimum(row[:-1] + (text != word), row[1:] + 1))
+        row = np.minimum.accumulate(best - steps) + steps
+    return int(row.min())
+
+
+@pytest.mark.parametrize("place", ["start", "middle", "end", "spread", "cut"])
+def test_items_of_any_length_are_found_wherever_the_edits_lie(ready, make_docs, place):
+    rng = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(300)]
+    sizes = [*range(1, 60), *(100 + 20 * i for i in range(16)), 17, 120]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate(sizes)]
+    rows, want = [], set()
+    for k, (item_id, text) in enumerate(items * 3):
+        words = text.split()
+        most = int(len(words) * EDIT_SHARE)
+        edits = most + (k >= 2 * len(items))  # the last third has one edit too many
+        at = {"middle": (len(words) - edits) // 2, "end": len(words) - edits}.get(place, 0)
+        if place == "cut":
+            words = words[edits:]
+        elif place == "spread":
+            words = changed(rng, words, edits, vocabulary)
+        else:
+            words[at : at + edits] = rng.choices(["new", "other"], k=edits)
+        around = [rng.choices(vocabulary, k=rng.randint(0, 40)) for _ in range(2)]
+        rows.append((k, " ".join([*around[0], *words, *around[1]])))
+    for doc_id, text in rows:
+        low = text.split()
+        for item_id, item in items:
+            words = item.split()
+            if len(set(words) & set(low)) * 2 >= len(set(words)) and within_brute(words, low) <= int(len(words) * EDIT_SHARE):
+                want.add((doc_id, item_id))
+    table = ready.createDataFrame(items, "item_id bigint, text string")
+    found = contaminated_passages(make_docs(rows), table).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 2 * len(items) - 2
+    for r in found:
+        item, text = items[r.item_id][1].split(), rows[r.doc_id][1][r.start : r.end].split()
+        assert within_brute(item, text) <= r.edits <= int(len(item) * EDIT_SHARE)
