@@ -54,8 +54,19 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents with a passage of a benchmark item go."""
     _ready(spark)
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    hits = common.scratch(contaminated_passages(docs, items).select("doc_id").distinct(), "pipeline-hits")
-    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+    clean = _clean(docs.filter("doc_id is not null"), "doc_id", items).select(docs.columns)
+    nameless = docs.filter("doc_id is null")
+    if nameless.isEmpty():
+        return clean
+    # Documents without an id are told apart by a number that is written before it is used.
+    numbered = common.scratch(nameless.withColumn("_row", F.monotonically_increasing_id()), "pipeline-nameless")
+    return clean.unionByName(_clean(numbered, "_row", items).select(docs.columns))
+
+
+def _clean(docs: DataFrame, key: str, items: DataFrame) -> DataFrame:
+    found = contaminated_passages(docs.select(F.col(key).alias("doc_id"), "text"), items)
+    hits = common.scratch(found.select(F.col("doc_id").alias(key)).distinct(), "pipeline-hits")
+    return docs.join(hits, key, "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

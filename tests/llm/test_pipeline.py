@@ -67,3 +67,12 @@ def test_odd_tables(ready, make_docs):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(ready, empty, SF)
         assert empty.count() == 0
+
+
+def test_contaminated_documents_without_an_id_go(ready, make_docs):
+    item = ready.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(1, "a clean text"), (2, f"before {item} after"), (None, "a clean text"), (None, "a clean text"), (None, f"so {item}")]
+    left = corpus_pipeline.decontaminate(ready, make_docs(rows), SF)
+    assert left.columns == make_docs(rows).columns
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 1]
+    assert {r.text for r in left.collect()} == {"a clean text"}
