@@ -196,3 +196,17 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(common.documents(spark, sf_dir))
     words = [F.array_join(c, " ").alias(c) for c in ("missing", "added")]
     return found.select("doc_id", "license", "start", "end", "saved_bytes", *words, "exact")
+
+
+@query("op13_conversation_repair")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import NOTHING_LEFT, damage, repair_conversations
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    repaired = repair_conversations(damage(turns)).summary()
+    ids = turns.select("conv_id").distinct().withColumnRenamed("conv_id", "id")
+    met = ids.join(repaired, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    return met.select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(value)).alias(c) for c, value in NOTHING_LEFT.items()],
+    )
