@@ -210,3 +210,25 @@ def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("conv_id"),
         *[F.coalesce(c, F.lit(value)).alias(c) for c, value in NOTHING_LEFT.items()],
     )
+
+
+@query("op12_embedding_whitening")
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_whitening import fit_whitening, whiten
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    model = fit_whitening(vectors, components=32)
+    schema = "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
+    if model is None or not model.explained:
+        return spark.createDataFrame([], schema)
+    each = whiten(vectors, model).select("row.vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    shares = F.array(*map(F.lit, model.explained))
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("at")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
