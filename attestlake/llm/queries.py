@@ -232,3 +232,14 @@ def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(shares, F.col("at")).alias("explained"),
         F.lit(model.identity_error).alias("identity_error"),
     )
+
+
+@query("op11_quality_model")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import quality_score, train
+
+    docs = common.documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train(docs, labels.filter(~held_out(labels)), "quality")
+    scored = docs.select("doc_id", held_out(docs).alias("held_out"), quality_score(docs["text"], model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
