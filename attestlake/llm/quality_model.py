@@ -78,6 +78,7 @@ def signals(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     letter, symbol, point = _LETTER[data], _SYMBOL[data], _START[data]
     doubled = np.zeros(len(data), bool)
     doubled[1:] = _MARK[data[1:]] & (data[1:] == data[:-1])
+    doubled[offsets[:-1][np.diff(offsets) > 0]] = False  # the first byte of a text has none before it
     solid = _per(point & ~SPACE[data], offsets)
     letters = _per(letter, offsets)
 
