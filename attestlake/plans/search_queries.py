@@ -184,3 +184,16 @@ def sch06(t: Tables):
 @query("sch07_hit_order", with_ctes("hits", select=HITS + " WHERE pattern_id = 'p4'"))
 def sch07(t: Tables):
     return sch.hit_order(sch.search(ad.files(t), patterns(t, "p4")))
+
+
+@query(
+    "sch01_chunked_search",
+    with_ctes(
+        "hits",
+        select="SELECT pattern_id, image, inode, filename, deleted, file_size_bytes, CAST(first_match_offset AS "
+        "BIGINT) AS first_match_offset, CAST(total_match_count AS BIGINT) AS total_match_count FROM hits",
+    ),
+)
+def sch01_chunked(t: Tables):
+    """All files in chunks of 1 KB give the rows of the uncut ones, also for patterns that overlap themselves."""
+    return sch.search_chunks(sch.cut(ad.files(t), 1024), patterns(t))
