@@ -1,10 +1,18 @@
-"""Passages of benchmark items inside documents, found through anchors that must survive.
-
-An item of n words may have k = n * EDIT_SHARE edits. Cut into k + 1 runs of words (anchors), at least one of
-them is without any edit, wherever the edits lie, so each passage holds an anchor word for word. Every window of
-a document that equals an anchor gives a candidate range, as wide as k edits allow; ranges of one item that
-overlap become one. Each range is searched for the item by exact edit distance in words. No passage is missed
-and none is sampled.
+"""Passages of benchmark items inside documents, found through the CGK embedding.
+
+The CGK random walk reads a word sequence with one pointer: at each step it writes the word under the pointer and
+then moves on or stays, by a random bit that depends on the step and the word. Two walks with the same bits that
+have fallen out of step after an edit fall into step again, so a small edit distance becomes a small Hamming
+distance of what they write.
+
+Items are told apart by size, in classes of a power of two. A class has walks of as many steps as its smallest item
+has words (64 at most), which pass over about half of it; an item has one from each of its words from which the
+walk stays inside, so all of it is covered, and a document one from each of its windows, `stride` words apart.
+Bit sampling compares one random step of each quarter of a walk. It is repeated with fresh walks as often as it
+takes to reach RECALL for passages with all the edits that are allowed; an unedited passage is found by the first
+walk. Candidates whose walks agree in few
+steps go. The others are ranges of the text, as wide as the allowed edits need; overlapping ranges of one item
+become one, and each is searched for the item by exact edit distance in words.
 """
 
 from __future__ import annotations
@@ -20,11 +28,20 @@ from .common import lower_latin, mix, text_buffer, text_chunks, word_hashes, wor
 
 # An item counts as found with at most this share of its words inserted, deleted or replaced.
 EDIT_SHARE = 0.15
+# Repeats for each class of sizes, the last for all larger ones: as many as it takes to make a candidate of at least
+# RECALL of the passages with all the edits that are allowed, spread evenly over random items of the class
+# (tests/llm/test_decontaminate.py measures it), and some more.
+RECALL = 0.999
+REPEATS = (2, 2, 2, 6, 7, 7, 12, 6, 4)
+SAMPLED, LONGEST_WALK = 4, 64
+# Of the steps of two walks, the share that must write the same word.
+LEAST_AGREEMENT = 0.2
 CHUNK = 1 << 20
 # Bytes of item text that one pass over the documents carries to every task.
 BLOCK_BYTES = 8 << 20
-# Slots of the table that windows are looked up in before the anchors themselves.
-SLOTS = 1 << 20
+# Slots of the tables that keys are looked up in before the sorted keys.
+LEAST_SLOTS, MOST_SLOTS = 1 << 12, 1 << 20
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,24 +114,93 @@ def _scores(item: list, text: Iterable, free_start: bool) -> Iterator[int]:
         yield score
 
 
-class Anchors:
-    """The anchors of one length, sorted by key: their items and places in these."""
+def size_class(n: int) -> int:
+    return n.bit_length() - 1
+
+
+def walk_steps(size_class: int) -> int:
+    return min(1 << size_class, LONGEST_WALK)
+
+
+def stride(size_class: int) -> int:
+    """Words from one window of a document to the next: there are four windows or more in the first half of an item."""
+    return min(max(1, (1 << size_class) // 8), 8)
+
+
+def walk_bits(words: np.ndarray, repeat: int) -> np.ndarray:
+    """64 random bits of each word, one for each step of a walk; `words` are hashes."""
+    odd = mix(np.array([2 * repeat + 1], np.uint64))[0] | np.uint64(1)
+    bits = words * odd
+    return bits ^ (bits >> np.uint64(32))
+
+
+def sampled_steps(size_class: int, repeat: int) -> np.ndarray:
+    """One step of each quarter of a walk; all steps of a walk that has no more than that."""
+    steps = walk_steps(size_class)
+    edges = np.arange(SAMPLED + 1) * steps // SAMPLED if steps > SAMPLED else np.arange(steps + 1)
+    rng = np.random.default_rng([size_class, repeat])
+    return rng.integers(edges[:-1], edges[1:])
 
-    def __init__(self, keys: np.ndarray, items: np.ndarray, places: np.ndarray):
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.items, self.places = keys[order], items[order], places[order]
-        self.slots = np.zeros(SLOTS, bool)
-        self.slots[keys & np.uint64(SLOTS - 1)] = True
 
-    def hits(self, keys: np.ndarray) -> np.ndarray:
-        """Positions of those keys that some anchor has."""
-        at = np.flatnonzero(self.slots[keys & np.uint64(SLOTS - 1)])
-        slot = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
-        return at[self.keys[slot] == keys[at]]
+def _on(at: np.ndarray, bits: np.ndarray, first: int, last: int) -> None:
+    """Move pointers on through the steps from `first` up to `last`."""
+    for step in range(first, last):
+        at += ((bits[at] >> np.uint64(step)) & np.uint64(1)).view(np.int64)
+
+
+def _joined(key: np.ndarray, words: np.ndarray) -> np.ndarray:
+    key = (key ^ words) * SPREAD
+    return key ^ (key >> np.uint64(29))
+
+
+def written(words: np.ndarray, bits: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
+    """The words that the walks write from each start, a row each; `words` ends with as much padding as steps."""
+    out, at = np.empty((len(starts), steps), np.uint64), starts.copy()
+    for step in range(steps):
+        out[:, step] = words[at]
+        _on(at, bits, step, step + 1)
+    return out
+
+
+class Walks:
+    """The sampled walks of one class and repeat from all places of its items, sorted by key."""
+
+    def __init__(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: np.ndarray, offsets: np.ndarray, size_class: int, repeat: int):
+        """Walks over `words` from `starts`, in the item numbered `items` at the word `offsets`; they must stay before `ends`."""
+        self.repeat, self.steps, self.stride = repeat, walk_steps(size_class), stride(size_class)
+        self.samples = sampled_steps(size_class, repeat).tolist()
+        bits, at = walk_bits(words, repeat), starts.copy()
+        key, step, keys = np.zeros(len(starts), np.uint64), 0, []
+        for sample in self.samples:
+            _on(at, bits, step, sample)
+            step, key = sample, _joined(key, words[at])
+            keys.append(key)
+        _on(at, bits, step, self.steps - 1)
+        inside = np.flatnonzero(at < ends)
+        inside = inside[np.argsort(key[inside], kind="stable")]
+        self.keys, self.items, self.offsets, self.starts = key[inside], items[inside], offsets[inside], starts[inside]
+        slots = min(max(LEAST_SLOTS, 1 << (16 * len(inside)).bit_length()), MOST_SLOTS)
+        self.tables = [np.zeros(slots, bool) for _ in self.samples]
+        for table, partial in zip(self.tables, keys, strict=True):
+            table[partial[inside] & np.uint64(slots - 1)] = True
+
+    def candidates(self, words: np.ndarray, bits: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, walk) numbers whose sampled steps write the same words."""
+        at, live, key, step = windows.copy(), windows, np.zeros(len(windows), np.uint64), 0
+        slots = np.uint64(len(self.tables[0]) - 1)
+        for sample, table in zip(self.samples, self.tables, strict=True):
+            _on(at, bits, step, sample)
+            step, key = sample, _joined(key, words[at])
+            keep = np.flatnonzero(table[(key & slots).view(np.int64)])
+            at, live, key = at[keep], live[keep], key[keep]
+        low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        many = high - low
+        walk = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        return np.repeat(live, many), walk
 
 
 class ItemIndex:
-    """The items' words and their anchors by length."""
+    """The items' words and their walks for each class and repeat."""
 
     def __init__(self, items: list[tuple[int, str]]):
         blob = [(text or "").encode() for _, text in items]
@@ -126,49 +212,38 @@ class ItemIndex:
         self.words = [words[a:b].tolist() for _, a, b in chosen]
         self.sizes = np.array([b - a for _, a, b in chosen], np.int64)
         self.most = (self.sizes * EDIT_SHARE).astype(np.int64)
-        # As many anchors as an item may have edits, and one more.
-        count = self.most + 1
-        item = np.repeat(np.arange(len(chosen)), count)
-        number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        place = number * self.sizes[item] // count[item]
-        length = (number + 1) * self.sizes[item] // count[item] - place
-        start = np.array([a for _, a, _ in chosen], np.int64)[item] + place
-        self.anchors: dict[int, Anchors] = {}
-        for size, keys in window_keys(words, set(length.tolist())):
-            of = length == size
-            self.anchors[size] = Anchors(keys[start[of]], item[of], place[of])
-
-
-def window_keys(words: np.ndarray, sizes: set[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """(size, keys of all windows of `size` words) for each of the sizes."""
-    keys = np.zeros(len(words), np.uint64)
-    for size in range(1, min(max(sizes, default=0), len(words)) + 1):
-        keys = mix(keys[: len(words) - size + 1] * np.uint64(0xD6E8FEB86659FD93) + words[size - 1 :])
-        if size in sizes:
-            yield size, keys
+        self.flat = np.append(words, np.zeros(LONGEST_WALK + 1, np.uint64))
+        classes = np.array([size_class(int(n)) for n in self.sizes], np.int64)
+        self.walks: list[Walks] = []
+        for c in np.unique(classes).tolist():
+            of = np.flatnonzero(classes == c)
+            sizes = self.sizes[of]
+            item = np.repeat(of, sizes)
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            first = np.array([chosen[i][1] for i in of], np.int64)
+            start, end = np.repeat(first, sizes) + place, np.repeat(first + sizes, sizes)
+            self.walks += [Walks(self.flat, start, end, item, place, c, r) for r in range(REPEATS[min(c, len(REPEATS) - 1)])]
+        self.walks.sort(key=lambda w: w.repeat)
 
 
 def _ranges(index: ItemIndex, words: np.ndarray, text_of: np.ndarray, first_word: np.ndarray) -> np.ndarray:
     """(text, item, first, after last word) of the ranges that may hold an item; those of one item do not overlap."""
-    found = [np.zeros((0, 4), np.int64)]
-    for size, keys in window_keys(words, set(index.anchors)):
-        anchors = index.anchors[size]
-        at = anchors.hits(keys)
-        at = at[text_of[at] == text_of[at + size - 1]]
-        if not len(at):
-            continue
-        # a run of equal windows, as in a repeated word, is one hit
-        new = np.ones(len(at), bool)
-        new[1:] = (np.diff(at) != 1) | (keys[at[1:]] != keys[at[:-1]]) | (np.diff(text_of[at]) != 0)
-        begin, last = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
-        low = np.searchsorted(anchors.keys, keys[begin], "left")
-        many = np.searchsorted(anchors.keys, keys[begin], "right") - low
-        which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-        item, text = anchors.items[which], np.repeat(text_of[begin], many)
-        start = np.repeat(begin, many) - anchors.places[which] - index.most[item]
-        end = np.repeat(last, many) - anchors.places[which] + index.sizes[item] + index.most[item]
-        start, end = np.maximum(start, first_word[text]), np.minimum(end, first_word[text + 1])
-        found.append(np.stack([text, item, start, end], axis=1))
+    found, repeat = [np.zeros((0, 4), np.int64)], None
+    padded = np.append(words, np.zeros(LONGEST_WALK + 1, np.uint64))
+    for walks in index.walks:
+        if walks.repeat != repeat:
+            repeat = walks.repeat
+            bits, item_bits = walk_bits(padded, repeat), walk_bits(index.flat, repeat)
+        window, walk = walks.candidates(padded, bits, np.arange(0, len(words), walks.stride))
+        for a in range(0, len(window), 1 << 14):
+            at, w = window[a : a + (1 << 14)], walk[a : a + (1 << 14)]
+            alike = written(padded, bits, at, walks.steps) == written(index.flat, item_bits, walks.starts[w], walks.steps)
+            near = alike.sum(axis=1) >= LEAST_AGREEMENT * walks.steps
+            at, item, place = at[near], walks.items[w[near]], walks.offsets[w[near]]
+            text = text_of[at]
+            start = np.maximum(at - place - index.most[item], first_word[text])
+            end = np.minimum(at - place + index.sizes[item] + index.most[item], first_word[text + 1])
+            found.append(np.stack([text, item, start, end], axis=1))
     pairs = np.concatenate(found)
     if not len(pairs):
         return pairs
@@ -185,7 +260,7 @@ def _ranges(index: ItemIndex, words: np.ndarray, text_of: np.ndarray, first_word
 def find_items(data: np.ndarray, offsets: np.ndarray, index: ItemIndex) -> list[tuple[int, int, int, int, int]]:
     """(text, item number, edits, start, end in code points) of all verified passages, none over another of its item."""
     words, starts, ends, text_of = hashed_words(data, offsets)
-    if not len(words) or not index.anchors:
+    if not len(words) or not index.walks:
         return []
     first_word = np.searchsorted(text_of, np.arange(len(offsets)))
     ranges = _ranges(index, words, text_of, first_word)
@@ -210,7 +285,7 @@ def contaminated_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     `docs` has doc_id and text, `items` item_id and text. An item is found where some part of a text is
     within EDIT_SHARE of the item's words of it, in word edits; case of ASCII and Latin-1 letters and ASCII white
-    space do not count.
+    space do not count. A passage without edits is always found, one with edits with the probability RECALL or more.
     Null, empty and wordless texts match nothing on either side; equal items are each reported; rows of
     `docs` that repeat are each searched; a null id is passed on. Other columns are not read.
 

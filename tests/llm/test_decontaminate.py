@@ -151,3 +151,38 @@ def test_items_of_any_length_are_found_wherever_the_edits_lie(ready, make_docs,
     for r in found:
         item, text = items[r.item_id][1].split(), rows[r.doc_id][1][r.start : r.end].split()
         assert within_brute(item, text) <= r.edits <= int(len(item) * EDIT_SHARE)
+
+
+@pytest.mark.parametrize("size_class", range(0, 10))
+def test_recall_of_the_repeats(size_class):
+    """Passages with all the edits that are allowed, at random places, of random items of a class."""
+    rng = random.Random(size_class)
+    n = 300 if size_class < 8 else 60
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items, texts = [], []
+    for i in range(n):
+        words = rng.choices(vocabulary, k=rng.randrange(1 << size_class, 2 << size_class))
+        items.append((i, " ".join(words)))
+        passage = changed(rng, words, int(len(words) * EDIT_SHARE), vocabulary)
+        around = [rng.choices(vocabulary, k=rng.randint(0, 30)) for _ in range(2)]
+        texts.append(" ".join([*around[0], *passage, *around[1]]).encode())
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    found = {(text, item) for text, item, *_ in decontaminate.find_items(data, offsets, decontaminate.ItemIndex(items))}
+    lost = [i for i in range(n) if (i, i) not in found]
+    assert len(lost) <= 1 + n * (1 - decontaminate.RECALL), lost
+
+
+def test_walks_of_equal_words_write_the_same(ready):
+    rng = np.random.default_rng(5)
+    words = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+    moved = np.append(rng.integers(1, 1 << 62, 7).astype(np.uint64), words)
+    for repeat in range(3):
+        own, other = (decontaminate.walk_bits(w, repeat) for w in (words, moved))
+        starts = np.arange(0, 200, 3)
+        a = decontaminate.written(words, own, starts, 64)
+        assert (a == decontaminate.written(moved, other, starts + 7, 64)).all()
+        at = starts.copy()  # step by step: write, then move on if the step's bit of the word is set
+        for step in range(64):
+            assert (a[:, step] == words[at]).all()
+            at += ((own[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
