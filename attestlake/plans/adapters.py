@@ -186,7 +186,7 @@ def change_journal(t: Tables) -> DataFrame:
         "host",
         "ts",
         F.col("event_id").alias("usn"),
-        F.transform(F.split(reasons, "\\|"), F.trim).alias("update_reasons"),
+        F.transform(F.split(reasons, "\\|"), lambda r: F.trim(r)).alias("update_reasons"),
         name.alias("file_name"),
         text("C:\\Users\\u", F.col("user_id").cast("string"), "\\", name).alias("full_path"),
         F.col("user_id").alias("file_record_number"),

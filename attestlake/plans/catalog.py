@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     claim_queries,
     detect_queries,
     receipt_queries,
+    replay_queries,
     scoring_queries,
     search_queries,
 )
