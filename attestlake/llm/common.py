@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,18 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return written(df, scratch_table(df.sparkSession, name))
 
 
+def packed(df: DataFrame, *needed: str) -> DataFrame:
+    """`df` as the columns `needed` and `_own`, a struct of all its columns: no other name of a caller is in the way."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_own"), *[F.col(f"`{c}`") for c in needed])
+
+
+def unpacked(df: DataFrame, names: list[str], *added: Column) -> DataFrame:
+    """The caller's columns `names` out of `_own` and the columns `added`; a caller's column of the name of an added one gives way."""
+    out = df.select("_own", *added)
+    new = [c for c in out.columns if c != "_own"]
+    return out.select(*[F.col("_own")[c].alias(c) for c in names if c not in new], *new)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 

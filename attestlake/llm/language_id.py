@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_latin, text_buffer, text_chunks, word_spans
+from .common import lower_latin, text_buffer, text_chunks, unpacked, word_spans
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -244,7 +244,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
     """The columns `keep` of `docs` with `lang_pred`, `lang_score` and `lang_spans` from the column `text` alone.
 
     `lang_score` is the share of the text's letters in spans of the predicted language; letters in scripts of
-    no learned language count for none. A null text and a text without a letter are `und` with score 0 and no
+    no learned language count for none. Kept columns of these three names give way to them. A null text and a text without a letter are `und` with score 0 and no
     spans; a text with letters of such scripts only gets the first learned language with score 0. Spans are in code points. Rows that repeat are
     each labelled; an empty table gives an empty result. A text is worked on as a whole, at about a hundred
     bytes of memory for each of its bytes.
@@ -268,15 +268,9 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
             rows.append({"lang": lang, "score": score, "spans": spans})
         return pa.array(rows, FOUND)
 
-    found = docs.select(
-        *[docs[c] for c in keep], label(docs["text"], docs["text"].rlike(r"\p{L}")).alias("_lang_found")
-    )
-    return found.select(
-        *[found[c] for c in keep],
-        F.col("_lang_found.lang").alias("lang_pred"),
-        F.col("_lang_found.score").alias("lang_score"),
-        F.col("_lang_found.spans").alias("lang_spans"),
-    )
+    own = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_own")
+    found = docs.select(own, label(docs["text"], docs["text"].rlike(r"\p{L}")).alias("found"))
+    return unpacked(found, keep, *[F.col("found")[name].alias(f"lang_{new}") for name, new in (("lang", "pred"), ("score", "score"), ("spans", "spans"))])
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))

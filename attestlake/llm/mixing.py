@@ -14,11 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import packed, scratch, unpacked
 
 BLOCK_TOKENS = 1 << 20
-# Larger sources get larger blocks, so that no source has more blocks than this.
-MOST_BLOCKS = 4096
+# Blocks whose order and running sums are one task's work.
+STRETCH = 4096
 STEPS = 80
 # With up to this many sources (a few MB) their plan is broadcast; with more, Spark chooses the join.
 BROADCAST_SOURCES = 50_000
@@ -102,15 +102,16 @@ def mix_sources(
     doc_id are taken together, an empty table gives no rows.
 
     The driver receives one row for each source. Blocks hold the documents of one source by a hash of the
-    id, so a source with a third of all rows is as evenly dealt as the rest.
+    id, so a source with a third of all rows is as evenly dealt as the rest; a larger source has more blocks, not
+    larger ones. Columns named like the added ones give way; other names are never in the way.
     """
+    names, docs = docs.columns, packed(docs, "doc_id", "source", "text")
     counted = scratch(docs.select("doc_id", "source", tokens_of(docs["text"]).alias("tokens")), "mix-tokens")
     sources = counted.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy("source").collect()
     mixture = solve([r["tokens"] for r in sources], budget, target_entropy, max_repeats)
     rows = []
     for r, quota in zip(sources, mixture.quotas, strict=True):
-        size = max(block_tokens, -(-r["tokens"] // MOST_BLOCKS))
-        rows.append((r["source"], max(1, -(-r["tokens"] // size)), quota // r["tokens"], quota % r["tokens"], quota, r["tokens"]))
+        rows.append((r["source"], max(1, -(-r["tokens"] // block_tokens)), quota // r["tokens"], quota % r["tokens"], quota, r["tokens"]))
     plan = docs.sparkSession.createDataFrame(
         rows, "plan_source string, n_blocks bigint, full bigint, rest bigint, quota bigint, source_tokens bigint"
     )
@@ -124,12 +125,29 @@ def mix_sources(
     passes = blocks.join(
         plan.withColumnRenamed("plan_source", "own"), F.col("plan_source").eqNullSafe(F.col("own"))
     ).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full"))))
-    # A pass holds at most MOST_BLOCKS rows.
-    order = Window.partitionBy("plan_source", "epoch").orderBy(
-        F.xxhash64("plan_source", "epoch", "block", F.lit(seed)), "block"
+    # The blocks of a pass in hashed order, in stretches of about STRETCH blocks: sums within each stretch, and then
+    # over the stretches, one row for each.
+    place = F.xxhash64("plan_source", "epoch", "block", F.lit(seed))
+    stretches = F.ceil(F.col("n_blocks") / STRETCH)
+    stretch = F.least(F.floor((place / F.lit(2.0**64) + 0.5) * stretches), stretches - 1)
+    passes = passes.withColumn("place", place).withColumn("stretch", stretch)
+    totals = passes.groupBy("plan_source", "epoch", "stretch").agg(F.sum("block_tokens").alias("stretch_tokens"))
+    along = Window.partitionBy("plan_source", "epoch").orderBy("stretch")
+    totals = totals.select(
+        F.col("plan_source").alias("total_source"),
+        F.col("epoch").alias("total_epoch"),
+        F.col("stretch").alias("total_stretch"),
+        (F.sum("stretch_tokens").over(along) - F.col("stretch_tokens")).alias("stretch_before"),
     )
-    before = F.sum("block_tokens").over(order) - F.col("block_tokens")
-    chosen = passes.withColumn("before", before).withColumn(
+    inside = Window.partitionBy("plan_source", "epoch", "stretch").orderBy("place", "block")
+    before = F.sum("block_tokens").over(inside) - F.col("block_tokens")
+    summed = passes.withColumn("within", before).join(
+        totals,
+        F.col("plan_source").eqNullSafe(F.col("total_source"))
+        & (F.col("epoch") == F.col("total_epoch"))
+        & (F.col("stretch") == F.col("total_stretch")),
+    )
+    chosen = summed.withColumn("before", F.col("within") + F.col("stretch_before")).withColumn(
         "room", F.when(F.col("epoch") < F.col("full"), F.col("block_tokens")).otherwise(F.col("rest") - F.col("before"))
     )
     chosen = scratch(
@@ -181,6 +199,4 @@ def mix_sources(
     taken = taken.filter(
         F.col("last_rank").isNull() | (F.xxhash64(docs["doc_id"], "_epoch", F.lit(seed + 1)) <= F.col("last_rank"))
     )
-    return taken.select(
-        *[docs[c] for c in docs.columns], tokens_of(docs["text"]).alias("_tokens"), "_epoch", "_block", "_mix_at"
-    )
+    return unpacked(taken, names, tokens_of(F.col("text")).alias("_tokens"), F.col("_epoch"), F.col("_block"), F.col("_mix_at"))

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 SYMBOLS = 128
 SMOOTHING = 0.05
 # Tokens that the models judge: this many characters of the usual encodings.
@@ -148,16 +150,17 @@ def find_secrets(docs: DataFrame, models: MarkovModels) -> DataFrame:
 
     Spans are in code points with the end exclusive. Base spans are always there; a `markov` span is a
     candidate token that no base span touches and that the models find random. Null and empty texts have
-    none; rows that repeat are each scanned; an empty table gives no rows.
+    none; rows that repeat are each scanned; an empty table gives no rows. A column `_secrets` of `docs` gives way;
+    other names are never in the way.
     """
-    text = F.coalesce(docs["text"], F.lit(""))
-    scanned = docs.withColumn("_base", base_spans(text)).withColumn("_tokens", spans(text, "markov", CANDIDATE, 0, 1))
+    text = F.coalesce("text", F.lit(""))
+    scanned = packed(docs, "text").select("_own", base_spans(text).alias("base"), spans(text, "markov", CANDIDATE, 0, 1).alias("tokens"))
     apart = F.filter(
-        F.col("_tokens"),
-        lambda t: ~F.exists(F.col("_base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+        F.col("tokens"),
+        lambda t: ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
         & (models.ratio(t["value"]) >= LEAST_RATIO),
     )
-    return scanned.withColumn("_secrets", F.array_sort(F.concat("_base", apart))).drop("_base", "_tokens")
+    return unpacked(scanned, docs.columns, F.array_sort(F.concat("base", apart)).alias("_secrets"))
 
 
 def rendered(found: Column) -> Column:

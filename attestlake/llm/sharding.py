@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_numbers
+from .common import row_numbers, unpacked
 
 ROUNDS = 6
 PRIME = (1 << 31) - 1
@@ -92,18 +92,24 @@ def shard_rows(rows: DataFrame, order: list[Column], shards: int, seed: int) ->
     """`rows` with `_row` (global number in `order`), `_shard` and `_slot`.
 
     Rows that tie in `order` take neighbouring numbers. Nulls in the order come first. An empty input
-    gives an empty output. Extra columns pass through.
+    gives an empty output. Extra columns pass through, whatever their names; only columns named `_row`, `_shard` or
+    `_slot` give way to the new ones.
     """
-    numbered = rows.withColumn("_tie", F.monotonically_increasing_id())  # spreads rows that tie over ranges
-    numbered, n = row_numbers(numbered, [*order, F.col("_tie")], "_row")
+    keys = [f"key{i}" for i in range(len(order))]
+    own = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_own")
+    keyed = rows.select(own, *[o.alias(k) for o, k in zip(order, keys, strict=True)])
+    # The last key spreads rows that tie over ranges.
+    numbered, n = row_numbers(keyed.withColumn("tie", F.monotonically_increasing_id()), [*keys, "tie"], "row")
 
     @F.pandas_udf(T.LongType())
     def permuted(numbers: pd.Series) -> pd.Series:
         return pd.Series(permute(numbers.to_numpy(), n, seed))
 
-    moved = numbered.drop("_tie").withColumn("_moved", permuted("_row"))
-    return moved.select(
-        *[c for c in moved.columns if c != "_moved"],
-        (F.col("_moved") % shards).cast("int").alias("_shard"),
-        F.expr(f"_moved div {shards}").alias("_slot"),
+    moved = numbered.select("_own", "row", permuted("row").alias("moved"))
+    return unpacked(
+        moved,
+        rows.columns,
+        F.col("row").alias("_row"),
+        (F.col("moved") % shards).cast("int").alias("_shard"),
+        F.expr(f"moved div {shards}").alias("_slot"),
     )

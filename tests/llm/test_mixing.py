@@ -83,3 +83,35 @@ def test_query(spark, real_docs):
     for r in real_docs.collect():
         own[r.source] += len(r.text.split()) + 1
     assert all(0.999 <= totals[s] / own[s] < 2.6 for s in own)
+
+
+def test_stretches_of_blocks_do_not_matter(ready, make_docs, monkeypatch):
+    """A source of many blocks is taken alike however its blocks are summed up, and by hand."""
+    from attestlake.llm import mixing
+
+    rows = [(i, " ".join("w" * (i % 7 + 1)), "en", "ab"[i % 5 == 0]) for i in range(400)]
+    taken = []
+    for stretch in (4096, 7):
+        monkeypatch.setattr(mixing, "STRETCH", stretch)
+        out = mixing.mix_sources(make_docs(rows), max_repeats=1.4, seed=3, block_tokens=20).collect()
+        taken.append(sorted((r.doc_id, r._tokens, r._epoch, r._block, round(r._mix_at, 12)) for r in out))
+    assert taken[0] == taken[1] and len({(r[3]) for r in taken[0]}) > 40
+    # By hand: every pass but the last takes each document once, the last as many tokens as are left of the quota.
+    tokens = {}
+    for doc_id, text, _, source in rows:
+        tokens.setdefault(source, {})[doc_id] = len(text.split()) + 1
+    names = sorted(tokens)
+    mixture = mixing.solve([sum(tokens[s].values()) for s in names], None, None, 1.4)
+    for source, quota in zip(names, mixture.quotas, strict=True):
+        own, whole = tokens[source], sum(tokens[source].values())
+        passes = {}
+        for doc_id, n, epoch, block, mix_at in taken[0]:
+            if doc_id in own:
+                assert n == own[doc_id] and 0 <= mix_at <= 1
+                passes.setdefault(epoch, []).append(doc_id)
+        for epoch in range(quota // whole):
+            assert sorted(passes[epoch]) == sorted(own)
+        rest = passes.get(quota // whole, [])
+        assert len(set(rest)) == len(rest)
+        spent = sum(own[d] for d in rest)
+        assert quota % whole <= spent + max(own.values()) and spent <= quota % whole + max(own.values())
