@@ -29,25 +29,37 @@ def _ready(spark: SparkSession) -> None:
     common.batch_settings(spark)
 
 
+def _row(docs: DataFrame, *needed: str) -> DataFrame:
+    """Whole documents in one column `row`, and the columns that an operator needs: other names are never in its way."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *needed)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters and those without a main language go."""
     _ready(spark)
     model = train(docs.filter(~held_out(docs) & docs["doc_id"].isNotNull()))
-    found = identify(docs, model, docs.columns)
+    found = identify(_row(docs, "text"), model, ["row"])
     kept = (found["lang_pred"] != UNDETERMINED) & (found["lang_score"] >= LEAST_LANGUAGE_SHARE)
-    return found.filter(kept).drop("lang_pred", "lang_score", "lang_spans")
+    return found.filter(kept).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; of rows that repeat an id, one."""
+    """The document with the smallest id of each group stays.
+
+    Rows that share an id are one document: of them the one with the longest text stays, then the one with the
+    greatest text, then the greatest of the row as JSON. Documents without an id all stay.
+    """
     _ready(spark)
     found = common.scratch(near_duplicates(docs), "pipeline-groups")
     gone = found.filter("not kept").select("doc_id").distinct()
     out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+    several = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if several.isEmpty():
         return out
-    nameless = out.filter("doc_id is null")
-    return out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nameless)
+    repeated = _row(out.join(several, "doc_id", "left_semi").select(docs.columns), "doc_id", "text")
+    best = F.struct(F.char_length("text"), "text", F.to_json("row"))
+    chosen = repeated.groupBy("doc_id").agg(F.max_by("row", best).alias("row")).select("row.*")
+    return out.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(chosen)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +71,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     if nameless.isEmpty():
         return clean
     # Documents without an id are told apart by a number that is written before it is used.
-    numbered = common.scratch(nameless.withColumn("_row", F.monotonically_increasing_id()), "pipeline-nameless")
-    return clean.unionByName(_clean(numbered, "_row", items).select(docs.columns))
+    numbered = common.scratch(_row(nameless, "text").withColumn("number", F.monotonically_increasing_id()), "pipeline-nameless")
+    return clean.unionByName(_clean(numbered, "number", items).select("row.*"))
 
 
 def _clean(docs: DataFrame, key: str, items: DataFrame) -> DataFrame:
@@ -72,15 +84,15 @@ def _clean(docs: DataFrame, key: str, items: DataFrame) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, and those of smaller sources repeated as far as the limit allows."""
     _ready(spark)
-    return mix_sources(docs, max_repeats=MAX_REPEATS, seed=SEED).select(docs.columns)
+    return mix_sources(_row(docs, "doc_id", "source", "text"), max_repeats=MAX_REPEATS, seed=SEED).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row."""
+    """Shard and slot of every row; a column of documents of one of these names goes on as `shard_in` or `slot_in`."""
     _ready(spark)
     order = [F.col("doc_id"), F.xxhash64("text")]
-    placed = shard_rows(docs, order, SHARDS, SEED)
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    placed = shard_rows(_row(docs, "doc_id", "text"), order, SHARDS, SEED)
+    kept = [F.col("row")[c].alias(f"{c}_in" if c in ("shard", "slot") else c) for c in docs.columns]
     return placed.select(*kept, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
 
