@@ -96,6 +96,12 @@ def stream_state(spark: SparkSession, source: DataFrame, digest, checkpoint: str
     return last.select("digest", "state.*")
 
 
+def only(path: str) -> str:
+    """A pattern that matches `path` and nothing else: a stream takes a table that is a single file only by a pattern."""
+    plain = path.rstrip("/")
+    return f"{plain[:-1]}[{plain[-1]}]"
+
+
 def exact_dedup(
     spark: SparkSession,
     path: str,
@@ -111,8 +117,7 @@ def exact_dedup(
     no rows. Other columns are not read. `checkpoint` names a folder for the state of a job that goes on.
     """
     schema = spark.read.parquet(path).schema
-    # `*` also takes a table that is a single file
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(only(path))
     place = checkpoint or scratch_table(spark, "exact-dedup")
     ledger = stream_state(spark, source, digest, f"{place}/state", f"{place}/ledger")
 

@@ -90,3 +90,13 @@ def test_result_does_not_hang_on_how_files_are_split(ready, make_docs, folder, d
     copies = {doc_id: text.strip() for doc_id, text in rows}
     keeper = {text: doc_id for doc_id, text in sorted(copies.items())}  # the copy is longer by a blank
     assert {r.doc_id: (r.keep_id, r.kept) for r in found} == {i: (keeper[t], keeper[t] == i) for i, t in copies.items()}
+
+
+def test_neighbouring_tables_are_not_read(ready, make_docs, folder):
+    from attestlake.llm.exact_dedup import exact_dedup
+
+    docs = make_docs([(1, "a b"), (2, "ab"), (3, "c")])
+    for name in ("documents.parquet", "documents.parquet_old", "documents.parquet.0", "documents.parque"):
+        docs.write.parquet(f"{folder}/{name}")
+    found = sorted(exact_dedup(ready, f"{folder}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept").collect())
+    assert found == [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True)]
