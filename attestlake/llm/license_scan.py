@@ -1,7 +1,8 @@
 """License notices in documents by conditional compression.
 
-A line that mentions licensing terms is the core of a candidate block, which is widened by neighbouring
-lines for templates of several lines. Each block is compressed on its own and once with every template as
+The templates give the cues: so many words of each that a block that lacks all of them lacks more words than a
+match may. A sentence with a cue is the core of a candidate block, which is widened by neighbouring sentences for
+templates of several. Each block is compressed on its own and once with every template as
 zstandard raw dictionary. The templates are ranked by how much smaller the block gets; the best ones are
 confirmed by the exact differences in wording.
 """
@@ -22,9 +23,6 @@ MISSING_SHARE = 0.1
 # Templates that save at least this share of what the best one saves go to the word comparison.
 CONTENDER_SHARE = 0.5
 
-# Words that every notice has one of; only lines with one of them are looked at.
-CUE = r"(?i)licen[sc]e|copyright|copyleft|permission is hereby|redistribution and use|spdx|all rights reserved|public domain|warrant"
-
 # Wording of common notices.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -70,8 +68,36 @@ def wording(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def cue_words(templates: dict[str, str]) -> list[str]:
+    """Words of which every block that matches a template has one.
+
+    A match may lack MISSING_SHARE of a template's words, so each template gives one distinct word more than that,
+    or all that it has. Long words, and those that serve several templates, come first.
+    """
+    held = {name: set(wording(text)) for name, text in templates.items()}
+    needed = {name: min(len(words), int(MISSING_SHARE * len(wording(templates[name]))) + 1) for name, words in held.items()}
+    chosen: list[str] = []
+    while open_ := [name for name in held if needed[name] > 0]:
+        gains: dict[str, int] = {}
+        for name in open_:
+            for word in held[name] - set(chosen):
+                gains[word] = gains.get(word, 0) + max(len(word) - 3, 0)
+        word = max(gains, key=lambda w: (gains[w], len(w), w))
+        chosen.append(word)
+        for name in open_:
+            needed[name] -= word in held[name]
+    return sorted(chosen)
+
+
+def cue_pattern(templates: dict[str, str]) -> str:
+    """A pattern that finds any cue, in any case; without templates it finds nothing."""
+    words = sorted(cue_words(templates), key=lambda w: (-len(w), w))
+    return "(?i)" + ("|".join(map(re.escape, words)) or "(?!)")
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
+        self.cue = re.compile(cue_pattern(templates))
         self.plain = zstandard.ZstdCompressor(level=19)
         self.names = sorted(templates)
         self.words = {n: wording(templates[n]) for n in self.names}
@@ -131,9 +157,8 @@ class Scanner:
 _SENTENCE = re.compile(r"(?<=[.;:!?])\s+|\n+")
 
 
-def candidates(text: str, longest: int) -> Iterator[tuple[int, int]]:
+def candidates(text: str, longest: int, cue: re.Pattern) -> Iterator[tuple[int, int]]:
     """Candidate blocks (start, end): each sentence with a cue, and the run of sentences around it up to the longest template."""
-    cue = re.compile(CUE)
     edges = [0]
     for gap in _SENTENCE.finditer(text):
         edges += [gap.start(), gap.end()]
@@ -170,7 +195,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hits = []
-                for start, end in candidates(text, scanner.longest):
+                for start, end in candidates(text, scanner.longest, scanner.cue):
                     words = wording(text[start:end])
                     key = " ".join(words)
                     if key not in known:
@@ -197,4 +222,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
         "doc_id bigint, license string, start bigint, end bigint, saved_bytes bigint, "
         "missing array<string>, added array<string>, exact boolean"
     )
-    return docs.select("doc_id", "text").filter(F.col("text").rlike(CUE)).mapInArrow(scan, schema)
+    return docs.select("doc_id", "text").filter(F.col("text").rlike(cue_pattern(chosen))).mapInArrow(scan, schema)

@@ -60,3 +60,34 @@ def test_query_against_plain_search(spark, real_docs):
     )
     got = sorted((r.doc_id, r.license) for r in QUERIES["op5_license_scan"](spark, SF).collect())
     assert want and got == want
+
+
+def test_cues_come_from_the_templates(ready, make_docs):
+    own = {"house": "Proprietary and confidential. Do not distribute.", "tiny": "Ask us before you copy it", "none": "!!!"}
+    rows = [(1, "Notes.\n" + own["house"] + " More."), (2, "proprietary  AND\nconfidential. do not distribute"), (3, "so: ask us before you copy it!"), (4, "nothing here")]
+    found = scan_licenses(make_docs(rows), own).collect()
+    assert sorted((r.doc_id, r.license, r.exact) for r in found) == [(1, "house", True), (2, "house", True), (3, "tiny", True)]
+
+
+@pytest.mark.parametrize("gap", ["\n", "  ", "\r\n ", "\t"])
+def test_notices_broken_anywhere(ready, make_docs, gap):
+    rows = []
+    for i, name in enumerate(sorted(TEMPLATES)):
+        words = TEMPLATES[name].split(" ")
+        rows += [(100 * i + at, " ".join(words[:at]) + gap + " ".join(words[at:])) for at in range(1, len(words)) if at < 4 or at == len(words) - 1]
+    found = {r.doc_id: (r.license, r.exact) for r in scan_licenses(make_docs(rows)).collect()}
+    assert found == {doc_id: (sorted(TEMPLATES)[doc_id // 100], True) for doc_id, _ in rows}
+
+
+@pytest.mark.parametrize("name", sorted(TEMPLATES))
+def test_every_match_has_a_cue(name):
+    """As many words as a match may lack are taken out, the cues first."""
+    import re
+
+    from attestlake.llm.license_scan import MISSING_SHARE, cue_pattern, cue_words
+
+    words = wording(TEMPLATES[name])
+    lacking = int(MISSING_SHARE * len(words))
+    for _ in range(lacking):
+        words.remove(next(w for w in [*cue_words(TEMPLATES), *words] if w in words))
+    assert re.search(cue_pattern(TEMPLATES), " ".join(words))
