@@ -20,6 +20,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_table, written
 from .common import per_process, text_buffer
 
+ROWS_PER_BATCH = 20_000
 DOCUMENTS_MAGIC, SEEK_FRAME_MAGIC, SEEKABLE_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 INDEX_SCHEMA = (
     "doc_id bigint, path string, file_no int, position bigint, offset_in_file bigint, n_tokens bigint, "
@@ -123,7 +125,7 @@ _PLAIN[:0x80] = ~_LETTER_END[:0x80]
 
 
 def safe_cuts(data: np.ndarray) -> np.ndarray:
-    """Positions at which a text can be cut without changing its tokens.
+    """Whether a text can be cut before each byte without changing its tokens.
 
     The usual word pattern always starts a new piece at a space before a letter and at an ASCII character
     that is no letter after a letter. Letters are taken to be those of ASCII and of the two Latin blocks
@@ -131,7 +133,7 @@ def safe_cuts(data: np.ndarray) -> np.ndarray:
     """
     n = len(data)
     if n < 2:
-        return np.zeros(0, np.int64)
+        return np.zeros(n, bool)
     before, after = data[:-1], data[1:]
     wide = (before == 0xC3) & (after >= 0x80) & (after != 0x97) & (after != 0xB7)
     wide |= ((before == 0xC4) | (before == 0xC5)) & (after >= 0x80)
@@ -142,23 +144,23 @@ def safe_cuts(data: np.ndarray) -> np.ndarray:
     cut = np.zeros(n, bool)
     cut[1:] = ends[:-1] & _PLAIN[after]
     cut[:-1] |= (data[:-1] == 0x20) & begins[1:]
-    return np.flatnonzero(cut)
+    return cut
 
 
 class PieceCache:
-    """Ids of pieces that were encoded before; emptied when it holds `limit` pieces.
+    """Ids of pieces that were encoded before, as bytes; emptied when it holds `limit` pieces (about 200 bytes each).
 
     With `spell_special` the special tokens of the vocabulary count as ordinary text; without it a text has
     the ids of the tokenizer's own `encode(text, add_special_tokens=False)`.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, spell_special: bool = True):
+    def __init__(self, path: str, limit: int = 600_000, spell_special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.tokenizer.encode_special_tokens = spell_special
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
         held = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (spell_special and t.special)]
         # Beside tokens that take blanks with them or are matched in changed text no cut is safe: texts stay whole.
         self.whole = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in held)
@@ -169,23 +171,25 @@ class PieceCache:
         """Bounds of the pieces: safe cuts, but none inside the content of an added token, which is a piece of its own."""
         if self.whole:
             return np.unique(offsets)
-        cuts, blob = safe_cuts(data), data.tobytes()
-        if self.added is None or not self.added.search(blob):
-            return np.union1d(cuts, offsets)
-        spans = [m.span() for a, b in zip(offsets[:-1], offsets[1:], strict=True) for m in self.added.finditer(blob, a, b)]
-        spans = np.array(spans, np.int64).reshape(-1, 2)
-        within = np.searchsorted(spans[:, 0], cuts) - 1  # the last token that starts before the cut
-        inside = (within >= 0) & (cuts < np.append(spans[:, 1], 0)[within])
-        return np.unique(np.concatenate([cuts[~inside], offsets, spans.ravel()]))
-
-    def ids(self, pieces: list[bytes]) -> list[np.ndarray]:
+        cut = np.append(safe_cuts(data), False)
+        if self.added is not None:
+            blob = data.tobytes()
+            if self.added.search(blob):
+                spans = [m.span() for a, b in zip(offsets[:-1], offsets[1:], strict=True) for m in self.added.finditer(blob, a, b)]
+                for a, b in spans:
+                    cut[a + 1 : b] = False
+                    cut[[a, b]] = True
+        cut[offsets] = True
+        return np.flatnonzero(cut)
+
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.known.clear()
         missing = [p for p in pieces if p not in self.known]
         if missing:
             encoded = self.tokenizer.encode_batch_fast([p.decode() for p in missing], add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, np.uint32)) for p, e in zip(missing, encoded, strict=True))
-        return [self.known[p] for p in pieces]
+            self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(missing, encoded, strict=True))
+        return list(map(self.known.__getitem__, pieces))
 
 
 def encode_texts(column: pa.Array, cache: PieceCache, end_id: int) -> Iterator[np.ndarray]:
@@ -197,17 +201,17 @@ def encode_texts(column: pa.Array, cache: PieceCache, end_id: int) -> Iterator[n
     ).dictionary_encode()
     which = pieces.indices.to_numpy()
     tables = cache.ids(pieces.dictionary.to_pylist())
-    lengths = np.array([len(t) for t in tables], np.int64)
-    flat = np.concatenate([*tables, np.zeros(0, np.uint32)])
+    lengths = np.fromiter(map(len, tables), np.int64, len(tables)) // 4
+    flat = np.frombuffer(b"".join(tables), np.uint32)
     begins = np.cumsum(lengths) - lengths
-    piece_of = np.searchsorted(cuts, offsets)  # the first piece of each text
-    for first, last in zip(piece_of[:-1], piece_of[1:], strict=True):
-        own = which[first:last]
-        size = lengths[own]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        take = np.arange(total) + np.repeat(begins[own] - (ends - size), size)
-        yield np.append(flat[take], np.uint32(end_id))
+    size = lengths[which]
+    ends = np.cumsum(size)
+    ids = flat[np.arange(size.sum()) + np.repeat(begins[which] - (ends - size), size)]
+    # Ids up to the first piece of each text, and up to the end of the last.
+    bounds = np.append(0, ends)[np.searchsorted(cuts, offsets)]
+    end = np.array([end_id], np.uint32)
+    for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+        yield np.concatenate([ids[first:last], end])
 
 
 def write_token_files(
@@ -254,7 +258,14 @@ def write_token_files(
     names = ["doc_id", "path", "file_no", "position", "offset_in_file", "n_tokens", "first_frame", "n_frames"]
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     rows = docs.select("doc_id", F.col("text").alias("text")).orderBy("doc_id", F.xxhash64("text"))
-    return written(rows.mapInArrow(write, INDEX_SCHEMA), f"{folder}/index")
+    # Distinct pieces are looked up once for each batch, so only its bytes should bound it.
+    spark, most = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(most)
+    spark.conf.set(most, str(ROWS_PER_BATCH))
+    try:
+        return written(rows.mapInArrow(write, INDEX_SCHEMA), f"{folder}/index")
+    finally:
+        spark.conf.set(most, before)
 
 
 def file_starts(index: DataFrame) -> DataFrame:
