@@ -232,7 +232,7 @@ def questions(t: Tables):
         "doc_id",
         text(
             HEAD, ask, F.when(doc % 2 == 0, " ss-unix").otherwise(" ss-win"),
-            ". The mmls output is ntfs fat. ", F.replace("text", F.lit("@"), F.lit(" at ")),
+            ". The mmls output is ntfs fat. ", F.col("text"),
         ).alias("question_text"),
     )
 
@@ -401,10 +401,12 @@ def ben13(t: Tables):
 
 @query(
     "ben14_extract_pattern",
-    "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'user' || doc_id || '.x@example.com' WHEN 1 THEN '(901)555-' || "
+    "SELECT doc_id, CASE WHEN doc_id % 6 <> 0 AND email <> '' THEN email ELSE pattern END AS pattern FROM (SELECT doc_id, "
+    "regexp_extract(text, '[\\pL\\pN_+-][\\pL\\pN_.+-]*@[\\pL\\pN_-]+[.][a-z]{2,}\\b') AS email, "
+    "CASE doc_id % 6 WHEN 0 THEN 'user' || doc_id || '.x@example.com' WHEN 1 THEN '(901)555-' || "
     "lpad(CAST(doc_id AS VARCHAR), 4, '0') WHEN 2 THEN 'été' || doc_id WHEN 3 THEN coalesce(nullif("
     "regexp_extract(text, '\"([^\":]+)\"', 1), ''), 'needle' || doc_id) WHEN 4 THEN nullif(regexp_extract(text, "
-    "'\"([^\":]+)\"', 1), '') ELSE 'hay' END AS pattern FROM documents",
+    "'\"([^\":]+)\"', 1), '') ELSE 'hay' END AS pattern FROM documents)",
 )
 def ben14(t: Tables):
     return questions(t).select("doc_id", prose.extract_pattern(F.col("question_text")).alias("pattern"))

@@ -197,3 +197,30 @@ def test_resume_and_scorecard(spark, folder):
     assert target.endswith("run1_III_tus4.json")
     text = spark.read.text(target).first().value
     assert list(json.loads(text)) == sorted(json.loads(text)) and json.loads(text)["matched_count"] == 1
+
+
+@pytest.mark.parametrize(
+    "text, phone, word",
+    [
+        ("phone number 301.555-9009 and", "301.555-9009", None),
+        ("the Phone  number 1", None, None),
+        ("the phone numbers\t800-555-1122, or", "800-555-1122", None),
+        ("phone number (901)555-1111; the word x in y", "(901)555-1111", "x"),
+        ("phone number +1 800 555", None, None),
+        ("phone number 12345", None, None),
+        ("THE WORDS \"a'b\", in it", None, "a'b"),
+        ("the word/words سلام \n in the", None, "سلام"),
+        ("the word in in the", None, "in"),
+        ("the word '' in the", None, None),
+        ("the word two terms in the", None, None),
+        ("the words first of all, the word second in the", None, "second"),
+        ("bathe word x in the", None, None),
+        ("the", None, None),
+        ("", None, None),
+        (None, None, None),
+        ("the word ' in the", None, "'"),
+        ("the word " * 20_000 + "end in", None, "end"),
+    ],
+)
+def test_telephones_and_announced_words(spark, text, phone, word):
+    assert (one(spark, text, prose.phone_in), one(spark, text, prose.word_in)) == (phone, word)
