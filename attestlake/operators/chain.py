@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import digest
+from ..session import scratch_table, written
 from .blocks import with_previous
 from .receipts import header_halves, header_id, prev_json
 
@@ -47,12 +48,14 @@ def verify_chain(receipts: DataFrame) -> DataFrame:
     Needs no order: altered members by their recomputed id, dangling links by an anti join
     on the recomputed content id, the rest by counting: forks (different receipts after the
     same one), duplicates (the same receipt again), roots, and positions missing or used by
-    different receipts.
+    different receipts. Headers are hashed once: their digests are written as a table, which this
+    function does when it is called, and all checks read that.
     """
-    seen = receipts.select(
+    hashed = receipts.select(
         "run_id", "receipt_id", "prev", "seq",
         header_id(receipts).alias("actual"), content_id(receipts).alias("content"),
     )
+    seen = written(hashed, scratch_table(receipts.sparkSession, "chain"))
     named = lambda df, key, problem: df.select(
         "run_id", F.col(key).alias("receipt_id"), F.lit(problem).alias("problem")
     )

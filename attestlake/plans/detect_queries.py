@@ -204,16 +204,17 @@ def det08_secrets(t: Tables):
     "det09_network_logon_without_interactive",
     with_ctes(
         "event_log",
+        "inventory",
         select=f"SELECT record_number, user_name, host, {sql_us('ts', 'ts_us')} FROM event_log e WHERE "
         "event_id = 4624 AND logon_type = 3 AND auth_package = 'NTLM' AND NOT EXISTS (SELECT 1 FROM "
         "event_log i WHERE i.event_id = 4624 AND i.logon_type = 2 AND i.user_name = e.user_name AND "
-        "i.host = e.host AND i.ts < e.ts) AND host IN ('host1', 'host3', 'host5')",
+        "i.host = e.host AND i.ts < e.ts) AND host IN (SELECT host FROM inventory WHERE "
+        "regexp_matches(name, '[\\\\]prog(1|11|21|3|13|5|15)[.]exe$'))",
     ),
 )
 def det09(t: Tables):
-    programs = ad.inventory(t).where(F.col("host").isin("host1", "host3", "host5"))
     tools = [f"prog{i}.exe" for i in (1, 11, 21, 3, 13, 5, 15)]
-    hits = det.network_logon_without_interactive(ad.event_log(t), programs, tools)
+    hits = det.network_logon_without_interactive(ad.event_log(t), ad.inventory(t), tools)
     return hits.select("record_number", "user_name", "host", us("ts", "ts_us"))
 
 
@@ -315,20 +316,26 @@ def det13(t: Tables):
         "executions",
         "registry",
         "rule_hits",
-        select="SELECT parser_name, timestamp_desc, count(*) AS n, count(DISTINCT host) AS n_hosts, "
-        "CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM ("
-        "SELECT 'event_log' AS parser_name, 'Event' AS timestamp_desc, ts, host FROM event_log UNION ALL "
-        "SELECT 'change_journal', 'Change', ts, host FROM change_journal UNION ALL "
-        "SELECT 'file_entries', 'si_created', si_created, NULL FROM file_entries UNION ALL "
-        "SELECT 'file_entries', 'si_modified', si_modified, NULL FROM file_entries UNION ALL "
-        "SELECT 'file_entries', 'fn_created', fn_created, NULL FROM file_entries UNION ALL "
-        "SELECT 'file_entries', 'fn_modified', fn_modified, NULL FROM file_entries UNION ALL "
-        "SELECT 'execution_history', 'Last run', last_run, host FROM executions UNION ALL "
-        "SELECT 'registry_findings', 'Last write', last_write_ts, host FROM registry UNION ALL "
-        "SELECT 'rule_hits', 'Rule hit', ts, host FROM rule_hits) WHERE ts IS NOT NULL GROUP BY 1, 2",
+        select="SELECT host, parser_name, timestamp_desc, source_short, description, artifact_path, record_key, "
+        + sql_us("ts", "ts_us") + " FROM ("
+        "SELECT host, 'event_log' AS parser_name, 'Event' AS timestamp_desc, 'EVT' AS source_short, 'event ' || event_id || "
+        "' ' || user_name AS description, NULL AS artifact_path, CAST(record_number AS VARCHAR) AS record_key, ts FROM event_log UNION ALL "
+        "SELECT host, 'change_journal', 'Change', 'FILE', file_name || ' ' || array_to_string(update_reasons, '|'), full_path, "
+        "CAST(usn AS VARCHAR), ts FROM change_journal UNION ALL "
+        + " UNION ALL ".join(
+            f"SELECT NULL, 'file_entries', '{x}', 'FILE', full_path, full_path, CAST(entry_number AS VARCHAR), {x} FROM file_entries"
+            for x in ("si_created", "si_modified", "fn_created", "fn_modified")
+        )
+        + " UNION ALL SELECT host, 'execution_history', 'Last run', 'LOG', executable_name, source_filename, hash, last_run "
+        "FROM executions UNION ALL "
+        "SELECT host, 'registry_findings', 'Last write', 'REG', plugin || ' ' || value_name, key_path, value_name, last_write_ts "
+        "FROM registry UNION ALL "
+        "SELECT host, 'rule_hits', 'Rule hit', 'EVT', rule_title, NULL, CAST(record_id AS VARCHAR), ts FROM rule_hits) "
+        "WHERE ts IS NOT NULL",
     ),
 )
 def tml01(t: Tables):
+    """Every row of the timeline of six sources."""
     line = tml.supertimeline(
         tml.from_event_log(ad.event_log(t)),
         tml.from_change_journal(ad.change_journal(t)),
@@ -337,11 +344,8 @@ def tml01(t: Tables):
         tml.from_registry(ad.registry(t)),
         tml.from_rule_hits(ad.rule_hits(t)),
     )
-    return line.groupBy("parser_name", "timestamp_desc").agg(
-        F.count("*").alias("n"),
-        F.count_distinct("host").alias("n_hosts"),
-        c.micros(F.min("ts")).alias("first_us"),
-        c.micros(F.max("ts")).alias("last_us"),
+    return line.select(
+        "host", "parser_name", "timestamp_desc", "source_short", "description", "artifact_path", "record_key", us("ts", "ts_us")
     )
 
 

@@ -233,13 +233,21 @@ def _hmac_sql(message: str, key: bytes) -> str:
     "rcp10_seal",
     with_ctes(
         "receipts",
-        select="SELECT receipt_id, " + _hmac_sql("header", ad.KEY) + " AS seal, true AS seal_ok FROM receipts",
+        select="SELECT receipt_id, CASE WHEN seq % 11 = 4 THEN NULL WHEN seq % 7 = 2 THEN "
+        + _hmac_sql("header", b"another key")
+        + " ELSE "
+        + _hmac_sql("header", ad.KEY)
+        + " END AS seal, NOT (seq % 11 = 4 OR seq % 7 = 2 OR seq % 5 = 3) AS seal_ok FROM receipts",
     ),
 )
 def rcp10(t: Tables):
-    sealed = rc.seal(ad.receipts(t), ad.KEY)
-    checked = rc.verify_seal(sealed, ad.KEY)
-    return sealed.select("receipt_id", "seal").join(checked, "receipt_id")
+    """Of sealed receipts some have an edited header since, some the seal of another key, some none."""
+    made, seq = ad.receipts(t), F.col("seq")
+    good, other = (rc.seal(made, key) for key in (ad.KEY, b"another key"))
+    sealed = good.where(seq % 7 != 2).unionByName(other.where(seq % 7 == 2))
+    stored = sealed.withColumn("seal", F.when(seq % 11 != 4, F.col("seal")))
+    edited = stored.withColumn("raw_digest", F.when(seq % 5 == 3, F.reverse("raw_digest")).otherwise(F.col("raw_digest")))
+    return stored.select("receipt_id", "seal").join(rc.verify_seal(edited, ad.KEY), "receipt_id")
 
 
 @query(
