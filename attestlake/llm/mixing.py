@@ -105,8 +105,8 @@ def mix_sources(
     id, so a source with a third of all rows is as evenly dealt as the rest; a larger source has more blocks, not
     larger ones. Columns named like the added ones give way; other names are never in the way.
     """
-    names, docs = docs.columns, packed(docs, "doc_id", "source", "text")
-    counted = scratch(docs.select("doc_id", "source", tokens_of(docs["text"]).alias("tokens")), "mix-tokens")
+    names, docs = docs.columns, packed(docs, "doc_id", "source")
+    counted = scratch(docs.select("doc_id", "source", tokens_of(F.col("_own")["text"]).alias("tokens")), "mix-tokens")
     sources = counted.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy("source").collect()
     mixture = solve([r["tokens"] for r in sources], budget, target_entropy, max_repeats)
     rows = []
@@ -199,4 +199,4 @@ def mix_sources(
     taken = taken.filter(
         F.col("last_rank").isNull() | (F.xxhash64(docs["doc_id"], "_epoch", F.lit(seed + 1)) <= F.col("last_rank"))
     )
-    return unpacked(taken, names, tokens_of(F.col("text")).alias("_tokens"), F.col("_epoch"), F.col("_block"), F.col("_mix_at"))
+    return unpacked(taken, names, tokens_of(F.col("_own")["text"]).alias("_tokens"), F.col("_epoch"), F.col("_block"), F.col("_mix_at"))
