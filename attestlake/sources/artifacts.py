@@ -12,50 +12,53 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import cells as c
 from ..functions.fixed import SEVERITIES
+from .exports import column_names, first_lines, read_split_csv
 
 CONTEXT = ("case_id", "host", "source_file")
 
 
-def read_rows(spark: SparkSession, path, *, multi_line: bool = False, **context: str) -> DataFrame:
+def read_rows(
+    spark: SparkSession,
+    path,
+    *,
+    multi_line: bool = False,
+    single_line: bool = False,
+    names: list[str] | None = None,
+    **context: str,
+) -> DataFrame:
     """CSV cells as text, each file by the names in its own header.
 
     Files are grouped by header and the groups united by name, so exports with other columns or another
-    order lie next to each other; a column that a file lacks is null for its rows. Finding the headers
-    reads the first line of each file, once, when the reader is called.
+    order lie next to each other; a column that a file lacks is null for its rows. To find the headers the
+    driver reads the first line of each file, and no more, when the reader is called; with `names`, which
+    all files then have, it opens none.
 
-    Large files are split among tasks. Cells with line breaks inside need `multi_line`, with which a
-    file is one task's work.
+    Large files are split among tasks, and cells may hold line breaks (see `exports`; files are read twice for
+    that). `single_line` is for exports whose cells hold none and reads them once. With `multi_line` a file is one
+    task's work.
     """
-    groups: dict[str, list[str]] = {}
-    for row in _first_lines(spark, path).collect():  # one row per file
-        groups.setdefault(row["header"].strip("\ufeff\r "), []).append(unquote(row["file"]))
-    reader = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-    )
-    parts = [reader.csv(files) for files in groups.values()] if len(groups) > 1 else [reader.csv(path)]
-    raw = None
-    for part in parts:
-        part = part.withColumn("source_file", F.col("_metadata.file_path"))
-        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    if names is None:
+        for file, header in first_lines(spark, path).items():
+            groups.setdefault(tuple(column_names(header)), []).append(unquote(file))
+    else:
+        groups[tuple(names)] = [path]
+    parts = []
+    for columns, files in groups.items() or [((), [])]:
+        files = path if len(groups) < 2 else files
+        if multi_line or single_line or not columns:
+            reader = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+            parts.append(reader.csv(files).withColumn("source_file", F.col("_metadata.file_path")))
+        else:
+            parts.append(read_split_csv(spark, files, list(columns)))
+    raw = parts[0]
+    for part in parts[1:]:
+        raw = raw.unionByName(part, allowMissingColumns=True)
     for name, value in context.items():
         raw = raw.withColumn(name, F.lit(value))
     return raw
 
 
-def _first_lines(spark: SparkSession, path) -> DataFrame:
-    """file, header: the first line of each file that is not empty."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("n"),
-        "value",
-    )
-    return lines.where("block = 0 and value != ''").groupBy("file").agg(F.min_by("value", "n").alias("header"))
-
-
 def _cell(raw: DataFrame):
     present = {name.strip(): name for name in raw.columns}
 

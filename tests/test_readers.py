@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from attestlake.operators import detectors as det, filters as flt, timeline as tml
@@ -308,3 +309,75 @@ def test_plain_exports_are_splittable(spark, folder):
         assert log.count() == 2000 and log.where("channel = 'a \"b\", c'").count() == 2000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def csv_text(rng, rows):
+    """Cells with breaks, quotes, commas, blanks and quotes in the middle of plain cells."""
+    parts = ["a", "b,c", '"', "\n", "\r\n", "é😀", " ", '""', ",", "x\ny", "", "\n\n"]
+    out = ["n,first,second,last"]
+    for n in range(rows):
+        cells = [str(n)]
+        for _ in range(3):
+            cell = "".join(rng.choice(parts) for _ in range(rng.randint(0, 4)))
+            if rng.random() < 0.2:
+                cell = rng.choice(['5" disk', 'say "hi" now', "plain"])  # quotes within a plain cell are text
+            elif rng.random() < 0.9 or any(c in cell for c in '",\n\r'):
+                cell = '"' + cell.replace('"', '""') + '"'
+            cells.append(cell)
+        out.append(",".join(cells))
+        if rng.random() < 0.05:
+            out.append("")
+    return "\n".join(out) + "\n"
+
+
+def test_files_are_split_within_cells(spark, folder):
+    """Files cut into parts of a few bytes give the rows of whole files, line breaks in cells included."""
+    import random
+
+    from attestlake.sources import exports
+
+    rng = random.Random(5)
+    for i in range(3):
+        (folder / f"part{i}.csv").write_bytes(csv_text(rng, 60).encode())
+    (folder / "empty.csv").write_bytes(b"")
+    (folder / "head.csv").write_bytes(b"n,first,second,last\n")
+    (folder / "open.csv").write_bytes(b'n,first,second,last\n1,"never, closed\n2,a,b,c')
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = {n: spark.conf.get(n) for n in names}
+    want = sorted(map(str, src.read_rows(spark, str(folder), multi_line=True).drop("source_file").collect()))
+    assert len(want) > 170 and any("\\n" in w for w in want)
+    try:
+        for size in ("37", "300", "100000"):
+            spark.conf.set(names[0], size)
+            spark.conf.set(names[1], "0")
+            found = src.read_rows(spark, str(folder))
+            assert sorted(map(str, found.drop("source_file").collect())) == want, size
+            assert found.select("source_file").distinct().count() == 4
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    given = src.read_rows(spark, str(folder), names=["n", "first", "second", "last"]).drop("source_file")
+    assert sorted(map(str, given.collect())) == want
+    assert exports.column_names('a,"b ,c",,A') == ["a0", "b ,c", "_c2", "A3"]
+
+
+@pytest.mark.parametrize(
+    "line, outside, inside",
+    [
+        ("", False, True),
+        ("a,b", False, True),
+        ('"a', True, False),
+        ('a"', False, False),
+        ('"a""', True, False),
+        ('"a"",b', True, False),
+        ('a,"b', True, False),
+        ('x" , "y",z', False, False),
+        ('""', False, True),
+        ('5" disk,"open', True, True),
+        ('"","', True, True),
+    ],
+)
+def test_lines_that_end_inside_quotes(line, outside, inside):
+    from attestlake.sources.exports import ends_open
+
+    assert (ends_open(line, False), ends_open(line, True)) == (outside, inside)
