@@ -5,7 +5,7 @@ Each stage takes the documents that the stage before it kept, written as Parquet
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestlake.llm import common
@@ -30,17 +30,25 @@ def _ready(spark: SparkSession) -> None:
 
 
 def _row(docs: DataFrame, *needed: str) -> DataFrame:
-    """Whole documents in one column `row`, and the columns that an operator needs: other names are never in its way."""
+    """Whole documents in one column `row`, and the columns that are needed beside it."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *needed)
 
 
+def _apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """Documents whose columns have numbers for names but for the `needed` ones, and what gives them their names back."""
+    names = {c: c if c in needed else f"column {i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return renamed, [F.col(f"`{n}`").alias(c) for c, n in names.items()]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters and those without a main language go."""
     _ready(spark)
     model = train(docs.filter(~held_out(docs) & docs["doc_id"].isNotNull()))
-    found = identify(_row(docs, "text"), model, ["row"])
+    renamed, back = _apart(docs, "text")
+    found = identify(renamed, model, renamed.columns)
     kept = (found["lang_pred"] != UNDETERMINED) & (found["lang_score"] >= LEAST_LANGUAGE_SHARE)
-    return found.filter(kept).select("row.*")
+    return found.filter(kept).select(*back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,34 +74,35 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents with a passage of a benchmark item go."""
     _ready(spark)
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    clean = _clean(docs.filter("doc_id is not null"), "doc_id", items).select(docs.columns)
+    clean = _clean(docs.filter("doc_id is not null"), F.col("doc_id"), F.col("text"), items).select(docs.columns)
     nameless = docs.filter("doc_id is null")
     if nameless.isEmpty():
         return clean
     # Documents without an id are told apart by a number that is written before it is used.
-    numbered = common.scratch(_row(nameless, "text").withColumn("number", F.monotonically_increasing_id()), "pipeline-nameless")
-    return clean.unionByName(_clean(numbered, "number", items).select("row.*"))
+    numbered = common.scratch(_row(nameless).withColumn("number", F.monotonically_increasing_id()), "pipeline-nameless")
+    return clean.unionByName(_clean(numbered, F.col("number"), F.col("row.text"), items).select("row.*"))
 
 
-def _clean(docs: DataFrame, key: str, items: DataFrame) -> DataFrame:
-    found = contaminated_passages(docs.select(F.col(key).alias("doc_id"), "text"), items)
-    hits = common.scratch(found.select(F.col("doc_id").alias(key)).distinct(), "pipeline-hits")
-    return docs.join(hits, key, "left_anti")
+def _clean(docs: DataFrame, key: Column, text: Column, items: DataFrame) -> DataFrame:
+    found = contaminated_passages(docs.select(key.alias("doc_id"), text.alias("text")), items)
+    hits = common.scratch(found.select(F.col("doc_id").alias("hit")).distinct(), "pipeline-hits")
+    return docs.join(hits, key == hits["hit"], "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, and those of smaller sources repeated as far as the limit allows."""
     _ready(spark)
-    return mix_sources(_row(docs, "doc_id", "source", "text"), max_repeats=MAX_REPEATS, seed=SEED).select("row.*")
+    renamed, back = _apart(docs, "doc_id", "source", "text")
+    return mix_sources(renamed, max_repeats=MAX_REPEATS, seed=SEED).select(*back)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of every row; a column of documents of one of these names goes on as `shard_in` or `slot_in`."""
     _ready(spark)
-    order = [F.col("doc_id"), F.xxhash64("text")]
-    placed = shard_rows(_row(docs, "doc_id", "text"), order, SHARDS, SEED)
-    kept = [F.col("row")[c].alias(f"{c}_in" if c in ("shard", "slot") else c) for c in docs.columns]
-    return placed.select(*kept, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    own = docs.withColumnsRenamed({c: f"{c}_in" for c in ("shard", "slot")})
+    renamed, back = _apart(own, "doc_id", "text")
+    placed = shard_rows(renamed, [F.col("doc_id"), F.xxhash64("text")], SHARDS, SEED)
+    return placed.select(*back, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
 
 STAGES = [
