@@ -511,6 +511,8 @@ def _raw_sql(rows: str) -> str:
     )
 
 
+cte("source_rows", "SELECT * FROM record_rows WHERE NOT (seq % 19 = 5 AND ordinal % 2 = 1)", "record_rows")
+cte("source_raw", _raw_sql("source_rows"), "source_rows")
 for _rows, _name in (("record_rows", "print"), ("tampered_rows", "tampered_print")):
     _leaf, _mid, _top = _tree_sql(_rows)
     cte(f"{_name}_leaf", _leaf, _rows)
@@ -618,7 +620,14 @@ def claim_records(rows: DataFrame) -> DataFrame:
 
 
 def claims(t: Tables) -> DataFrame:
-    """One claim per receipt; some cite nothing real, some a value that does not occur."""
+    return claims_over(short_chain(t).withColumn("name", F.col("receipt_id")))
+
+
+def claims_over(made: DataFrame) -> DataFrame:
+    """One claim per receipt; some cite nothing real, some a value that does not occur.
+
+    `made`: run_id, seq, receipt_id and the `name` that the claim gets.
+    """
     seq = F.col("seq")
     user = F.substring_index("run_id", "-", -1)
     quoted = lambda *parts: text('"', *parts, '"')
@@ -637,8 +646,8 @@ def claims(t: Tables) -> DataFrame:
     )
     low = F.array(*[F.lit(str(i)) for i in range(61)])
     second = entry(F.col("receipt_id"), F.create_map(F.lit("k"), low))
-    return short_chain(t).select(
-        F.concat(F.lit("claim-"), F.col("receipt_id")).alias("claim_id"),
+    return made.select(
+        F.concat(F.lit("claim-"), F.col("name")).alias("claim_id"),
         F.lit("narrative_inference").alias("finding_type"),
         ((seq % 12) / 10).alias("confidence"),
         F.lit(0.0).alias("temperature"),

@@ -155,6 +155,80 @@ def clm05(t: Tables):
     return verified(t).select("claim_id", "reject_reason", "verdict")
 
 
+cte(
+    "full_checks",
+    "SELECT m.run_id || '/' || m.seq AS receipt_id, CASE WHEN m.seq % 17 = 3 THEN 'seal does not fit the header' WHEN "
+    "coalesce(t.data_digest, '') <> m.data_digest THEN 'records do not fit the data digest' WHEN m.tool_version <> '1.0' "
+    "THEN 'version drift' WHEN coalesce(s.raw_digest, '') <> m.raw_digest THEN 'replay gives other results' END AS failure "
+    "FROM receipts m LEFT JOIN tampered_print t USING (run_id, seq) LEFT JOIN source_raw s USING (run_id, seq)",
+    "receipts",
+    "tampered_print",
+    "source_raw",
+)
+# Matches for each kind of evidence apart: DuckDB loses some of `matches` where `record_rows` has this many uses.
+cte(
+    "full_matches",
+    "SELECT e.claim_id, e.evidence_idx, count(r.ordinal) AS n_matches FROM evidence e LEFT JOIN record_rows r ON e.receipt_id = "
+    "r.run_id || '/' || r.seq AND list_contains(e.kinds, r.event_type) AND r.\"user\" = 'user' || e.usr WHERE "
+    "e.evidence_idx = 0 GROUP BY ALL UNION ALL SELECT e.claim_id, e.evidence_idx, count(r.ordinal) FROM evidence e LEFT JOIN "
+    "record_rows r ON e.receipt_id = r.run_id || '/' || r.seq AND r.k BETWEEN 0 AND 60 WHERE e.evidence_idx = 1 GROUP BY ALL",
+    "evidence",
+    "record_rows",
+)
+cte(
+    "full_judged",
+    "SELECT e.claim_id, e.evidence_idx, CASE WHEN k.receipt_id IS NULL THEN 'unknown receipt' ELSE failure END AS failure, "
+    "n_matches FROM evidence e LEFT JOIN full_checks k USING (receipt_id) JOIN full_matches m USING (claim_id, evidence_idx)",
+    "evidence",
+    "full_checks",
+    "full_matches",
+)
+
+
+@query(
+    "clm05_full_order",
+    with_ctes(
+        "full_judged",
+        "claims",
+        select="SELECT claim_id, CASE WHEN NOT valid THEN 'confidence outside 0..1' END AS reject_reason, verdict, failure "
+        "FROM claims LEFT JOIN (SELECT claim_id, CASE WHEN count(failure) > 0 THEN 'drift' WHEN min(n_matches) = 0 THEN "
+        "'quarantined' ELSE 'verified' END AS verdict, coalesce(arg_min(failure, evidence_idx) FILTER (failure IS NOT NULL), '') "
+        "AS failure FROM full_judged GROUP BY claim_id) USING (claim_id)",
+    ),
+)
+def clm05_full(t: Tables):
+    """Claims on minted, chained and sealed receipts: unknown, seal, data, version, replay, predicate, in this order.
+
+    Some seals are of another key, some records and some source rows are gone since, some versions are old, and
+    receipts of evidence without a proper hash were never minted.
+    """
+    rows, seq = ad.record_rows(t), F.col("seq")
+    good = ad.stored_receipts(t)
+    sealed = rc.seal(good, ad.KEY).where(seq % 17 != 3).unionByName(rc.seal(good, b"another key").where(seq % 17 == 3))
+    data = rc.verify_data(good, rc.data_fingerprint(ad.tampered(rows), ad.BY), ad.BY)
+    source = rows.where(~((seq % 19 == 5) & (F.col("ordinal") % 2 == 1)))
+    again = replay.replay_drift(good, rc.raw_fingerprint(source, ad.BY, F.col("raw")), ad.BY)
+    installed = t.spark.createDataFrame(
+        [(name, "1.0") for name in sorted(set(ad.TOOL.values()))], "tool_name string, version string"
+    )
+    checks = cl.receipt_checks(
+        good,
+        seal=rc.verify_seal(sealed, ad.KEY),
+        data=data,
+        version=replay.version_drift(good, installed),
+        replay=again.select("receipt_id", "replay_ok"),
+    )
+    ids = good.select(*ad.BY, "receipt_id")
+    records = rows.join(ids, ad.BY).select(
+        "receipt_id", "ordinal", ad.record_map(rows, ad.RECORD_FIELDS).alias("record")
+    )
+    named = ad.short_chain(t).withColumnRenamed("receipt_id", "name").select(*ad.BY, "name")
+    made = named.join(ids, ad.BY, "left").withColumn("receipt_id", F.coalesce("receipt_id", "name"))
+    found = cl.verify(ad.claims_over(made), checks, records)
+    failure = F.when(F.col("verdict").isNotNull(), F.regexp_extract("reason", r"^receipt \S+: (.*)$", 1))
+    return found.select("claim_id", "reject_reason", "verdict", failure.alias("failure"))
+
+
 @query(
     "clm06_constraint_text",
     with_ctes(

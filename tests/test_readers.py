@@ -374,7 +374,7 @@ def test_files_are_split_within_cells(spark, folder):
         ('x" , "y",z', False, False),
         ('""', False, True),
         ('5" disk,"open', True, True),
-        ('"","', True, True),
+        ('"","', True, False),
     ],
 )
 def test_lines_that_end_inside_quotes(line, outside, inside):
