@@ -509,3 +509,58 @@ def snk02(t: Tables):
     ]
     back = t.spark.read.schema(card.schema).json(paths)
     return back.withColumn("tus_at_k", F.round("tus_at_k", 12))
+
+
+cte(
+    "prose_asked",
+    "SELECT 'q' || doc_id AS question_id, doc_id, CASE WHEN lang = 'en' THEN 'ss-win' ELSE 'ss-unix' END AS image, "
+    "regexp_extract(text, '[A-Za-z]{7,}') AS word, doc_id % 7 = 3 AS counts FROM documents",
+)
+cte(
+    "prose_items",
+    "SELECT DISTINCT question_id, doc_id, inode || ':' || replace(regexp_extract(filename, '([^/]*)$', 1), ' ($FILE_NAME)', '') "
+    "AS item, deleted FROM prose_asked q JOIN files f ON q.image = f.image AND contains(translate(f.text, "
+    "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), lower(q.word)) WHERE NOT counts AND word <> ''",
+    "prose_asked",
+    "files",
+)
+
+
+@query(
+    "ben05_question_to_score",
+    with_ctes(
+        "prose_items",
+        select="SELECT question_id, 'list' AS kind, CAST(CASE WHEN count(*) = 1 THEN 0 WHEN count(*) FILTER (deleted) = 1 "
+        "AND doc_id % 5 = 0 THEN 1 WHEN count(*) FILTER (NOT deleted) = 1 AND doc_id % 5 <> 0 THEN 2 END AS INTEGER) AS "
+        "matched_candidate_index FROM prose_items GROUP BY question_id, doc_id UNION ALL "
+        "SELECT question_id, 'unclear', NULL FROM prose_asked WHERE NOT counts AND word = '' UNION ALL "
+        "SELECT question_id, 'count', CAST(CASE WHEN n = d THEN 0 ELSE 1 END AS INTEGER) FROM prose_asked JOIN (SELECT image, "
+        "count(*) AS n, count(*) FILTER (deleted) AS d FROM files WHERE inode < 1000000 GROUP BY image) USING (image) WHERE counts",
+    ),
+)
+def question_to_score(t: Tables):
+    """A question for each document: in which files one of its words stands, or how many files have a suffix.
+
+    Expected is the document's own file, or the number of deleted files.
+    """
+    from ..operators import answering
+
+    word = F.regexp_extract("text", "[A-Za-z]{7,}", 0)
+    image = F.when(F.col("lang") == "en", "ss-win").otherwise("ss-unix")
+    counts = F.col("doc_id") % 7 == 3
+    ask = F.when(counts, "How many files have the extension(s) .TXT or .htm").when(
+        word != "", text("Which files hold the word ", word)
+    ).otherwise("Which files are these")
+    docs = t.documents.select(
+        text("q", F.col("doc_id").cast("string")).alias("question_id"),
+        text(ask, " in the partition of ", image, ". The mmls output is ntfs.").alias("question_text"),
+        counts.alias("counts"),
+        image.alias("image"),
+        text(F.col("doc_id").cast("string"), ":", F.col("lang"), "-", F.col("doc_id").cast("string"), ".txt").alias("own"),
+        (F.col("doc_id") % 5 == 0).alias("deleted"),
+    )
+    deleted = docs.groupBy("image").agg(F.count_if("deleted").cast("string").alias("n_deleted"))
+    expected = docs.where("not counts").select("question_id", F.col("own").alias("item")).unionByName(
+        docs.where("counts").join(deleted, "image").select("question_id", F.col("n_deleted").alias("item"))
+    )
+    return answering.score_questions(docs.select("question_id", "question_text"), expected, ad.files(t))
