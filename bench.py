@@ -29,14 +29,18 @@ HEADLINE = (
     "sch02_regex_search",
     "sch03_multi_pattern",
     "sch03_pattern_table",
+    "sch01_chunked_search",
     "sch05_answer_variants",
     "rcp02_data_fingerprint",
     "rcp05_link_chain",
     "rcp06_verify_chain",
     "rcp08_replay_drift",
+    "rcp08_replay_event_log",
     "clm03_match_predicate",
     "clm05_verify_batch",
+    "clm05_full_order",
     "ben05_score_attempt",
+    "ben05_question_to_score",
     "ben07_breakdowns",
     "ben14_extract_pattern",
 )
