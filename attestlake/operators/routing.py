@@ -54,25 +54,43 @@ def _hashed(codes: np.ndarray, factor: int, bits: int) -> np.ndarray:
     return ((codes * np.uint64(_FACTORS[factor])) >> np.uint64(64 - bits)).view(np.int64)
 
 
-def gram_size(length: int) -> int:
-    return next(s for s in SIZES if s <= length)
-
-
-def _form_grams(form: bytes) -> np.ndarray:
-    return grams(np.frombuffer(form, np.uint8), gram_size(len(form)))
+def _grams_of(forms: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, forms, grams): for each size of grams the numbers of its forms and all their grams, in the order of the forms."""
+    lengths = np.array([len(f) for f in forms], np.int64)
+    bounds = np.array(SIZES)
+    sizes = bounds[np.searchsorted(-bounds, -lengths)]
+    for size in np.unique(sizes).tolist():
+        of = np.flatnonzero(sizes == size)
+        data = np.frombuffer(b"".join(forms[i] for i in of), np.uint8)
+        ends = np.cumsum(lengths[of])
+        owner = np.repeat(np.arange(len(of)), lengths[of])[: len(data) - size + 1]
+        whole = np.arange(len(owner)) + size <= ends[owner]
+        yield size, of[owner[whole]], grams(data, size)[whole]
+
+
+def _counted(forms: list[bytes]) -> np.ndarray:
+    """How often grams of each hash bucket occur in some forms."""
+    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    for _, _, codes in _grams_of(forms):
+        total += np.bincount(_hashed(codes, 2, SKETCH_BITS), minlength=len(total))
+    return total
 
 
-def _least_common(form: bytes, common: np.ndarray) -> int:
-    codes = _form_grams(form)
-    return int(codes[common[_hashed(codes, 2, SKETCH_BITS)].argmin()])
+def _least_common(forms: list[bytes], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of each form whose bucket has the smallest count, and its size."""
+    chosen, sizes = np.zeros(len(forms), np.uint64), np.zeros(len(forms), np.int64)
+    for size, owner, codes in _grams_of(forms):
+        order = np.lexsort((common[_hashed(codes, 2, SKETCH_BITS)], owner))
+        owner, codes = owner[order], codes[order]
+        first = np.append(True, owner[1:] != owner[:-1])
+        chosen[owner[first]], sizes[owner[first]] = codes[first], size
+    return chosen, sizes
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often grams of each hash bucket occur in the forms of the task."""
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
-        for form in batch.column(0).to_pylist():
-            np.add.at(total, _hashed(np.unique(_form_grams(form)), 2, SKETCH_BITS), 1)
+        total += _counted(batch.column(0).to_pylist())
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
 
@@ -97,14 +115,10 @@ class PatternTable:
 
     def __init__(self, forms: list[dict]):
         self.longest = max((len(f["form"]) for f in forms), default=0)
-        common = np.zeros(1 << SKETCH_BITS, np.int64)
-        for f in forms:
-            np.add.at(common, _hashed(np.unique(_form_grams(f["form"])), 2, SKETCH_BITS), 1)
-        of_form = [_least_common(f["form"], common) for f in forms]
-        order = sorted(range(len(forms)), key=of_form.__getitem__)
-        self.forms = [forms[i] for i in order]
-        self.codes = np.array([of_form[i] for i in order], np.uint64)
-        self.sizes = np.array([gram_size(len(f["form"])) for f in self.forms], np.int64)
+        codes, sizes = _least_common([f["form"] for f in forms], _counted([f["form"] for f in forms]))
+        order = np.argsort(codes, kind="stable")
+        self.forms = [forms[i] for i in order.tolist()]
+        self.codes, self.sizes = codes[order], sizes[order]
 
     def matcher(self, case_sensitive: bool):
         """A function from (data, offsets, images) to pairs (content, forms it may hold)."""
@@ -142,8 +156,8 @@ class PatternIndex:
         def least_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 forms = batch.column("form").to_pylist()
-                codes = np.array([_least_common(f, common) for f in forms], np.uint64)
-                sizes = pa.array([gram_size(len(f)) for f in forms], pa.int32())
+                codes, sizes = _least_common(forms, common)
+                sizes = pa.array(sizes.astype(np.int32))
                 hashed = [pa.array(_hashed(codes, f, bits).astype(np.int32)) for f, bits in ((0, FIRST_BITS), (1, SECOND_BITS))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes.view(np.int64)), sizes, *hashed], names=schema.names)
 
