@@ -3,8 +3,10 @@
 A pattern stands in an index under one gram, a run of 8, 4, 3, 2 or 1 of its bytes (the longest that fits), and
 of all its grams under the one that is least common among the patterns. A content gives out only those of its
 grams that some pattern asks for; bit maps of a fixed size tell which.
-An equality join on (image, gram) then pairs contents with patterns, and the pairs are verified on the bytes. A
-small index (its size is checked) travels with the tasks instead, and contents are not shuffled at all.
+An equality join on (image, gram) then pairs contents with patterns, and the pairs are verified on the bytes. An
+index of a bounded size (it is checked) travels with the tasks instead, and contents are not shuffled at all.
+
+A form is known by its text and the image it is for: patterns of the same two are looked for once.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ _TAG = {8: 0, 4: 4 << 40, 3: 3 << 40, 2: 2 << 40, 1: 1 << 40}
 FIRST_BITS, SECOND_BITS = 20, 26
 SKETCH_BITS = 16
 # Forms of up to so many bytes in all travel with the tasks.
-LOCAL_BYTES = 8 << 20
+LOCAL_BYTES = 64 << 20
+# Bytes of a form's numbers in such a table.
+FORM_BYTES = 32
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 # Bytes of contents whose grams are in memory at once, about 60 bytes for each.
 RUN = 1 << 17
+# A gram that occurs more often in a run of a content pairs it with the gram's forms unseen.
+MOST_PLACES = 16
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
 
@@ -50,6 +56,15 @@ def grams(data: np.ndarray, size: int) -> np.ndarray:
     return found | np.uint64(_TAG[size])
 
 
+def _grams_at(data: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """`grams` at some places only."""
+    if size == 3:
+        found = sum(data[places + i].astype(np.uint64) << np.uint64(8 * i) for i in range(3))
+    else:
+        found = np.ndarray((max(len(data) - size + 1, 0),), f"<u{size}", data, 0, (1,))[places].astype(np.uint64)
+    return found | np.uint64(_TAG[size])
+
+
 def _hashed(codes: np.ndarray, factor: int, bits: int) -> np.ndarray:
     return ((codes * np.uint64(_FACTORS[factor])) >> np.uint64(64 - bits)).view(np.int64)
 
@@ -96,12 +111,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def index_of(forms: DataFrame, most_bytes: int) -> PatternTable | PatternIndex:
-    """An index of `forms` (pattern_id, text, image, form; `form` binary and not empty).
+    """An index of `forms` (text, image, form; `form` binary and not empty).
 
     Forms of up to `most_bytes` in all (LOCAL_BYTES in practice) travel with the tasks, more stay a table.
     """
-    n, size = forms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("form") + F.coalesce(F.octet_length("text"), F.lit(0))), F.lit(0))).first()
-    return PatternTable(forms.toArrow().to_pylist()) if size + 64 * n <= most_bytes else PatternIndex(forms)
+    bytes_of = F.octet_length("form") + F.coalesce(F.octet_length("text"), F.lit(0)) + FORM_BYTES
+    size = forms.agg(F.coalesce(F.sum(bytes_of), F.lit(0))).first()[0]
+    return PatternTable(forms.select("text", "image", "form").toArrow()) if size <= most_bytes else PatternIndex(forms)
 
 
 def _first_table(codes: np.ndarray) -> np.ndarray:
@@ -110,33 +126,88 @@ def _first_table(codes: np.ndarray) -> np.ndarray:
     return table
 
 
+def _bit_map(codes: np.ndarray) -> np.ndarray:
+    bits = _hashed(codes, 1, SECOND_BITS)
+    table = np.zeros(1 << (SECOND_BITS - 3), np.uint8)
+    np.bitwise_or.at(table, bits >> 3, np.left_shift(1, bits & 7).astype(np.uint8))
+    return table
+
+
+def _in_bit_map(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    bits = _hashed(codes, 1, SECOND_BITS)
+    return ((table[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 class PatternTable:
-    """Forms that travel with the tasks: a content is looked through and verified in one pass."""
+    """Forms that travel with the tasks, as a few arrays: a content is looked through and verified in one pass."""
 
-    def __init__(self, forms: list[dict]):
-        self.longest = max((len(f["form"]) for f in forms), default=0)
-        codes, sizes = _least_common([f["form"] for f in forms], _counted([f["form"] for f in forms]))
+    def __init__(self, forms: pa.Table):
+        each = forms.column("form").to_pylist()
+        self.longest = max(map(len, each), default=0)
+        codes, sizes = _least_common(each, _counted(each))
         order = np.argsort(codes, kind="stable")
-        self.forms = [forms[i] for i in order.tolist()]
-        self.codes, self.sizes = codes[order], sizes[order]
+        self.codes, self.sizes = codes[order], sizes[order].astype(np.int8)
+        each = [each[i] for i in order.tolist()]
+        self.bytes, self.ends = b"".join(each), np.cumsum([0, *map(len, each)])
+        # Where the gram stands in the form, and the form's first and last grams of that size.
+        grams_of = ((int(c) & ((1 << 8 * int(s)) - 1)).to_bytes(int(s), "little") for c, s in zip(self.codes, self.sizes, strict=True))
+        self.at = np.array([f.find(g) for f, g in zip(each, grams_of, strict=True)], np.int64)
+        self.heads, self.tails = np.zeros(len(each), np.uint64), np.zeros(len(each), np.uint64)
+        data = np.frombuffer(self.bytes, np.uint8)
+        for size in np.unique(self.sizes).tolist():
+            of = np.flatnonzero(self.sizes == size)
+            self.heads[of] = _grams_at(data, self.ends[of], size)
+            self.tails[of] = _grams_at(data, self.ends[of + 1] - size, size)
+        taken = pa.array(order)
+        self.texts, self.images = (forms.column(c).combine_chunks().take(taken) for c in ("text", "image"))
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def form(self, i: int) -> bytes:
+        return self.bytes[self.ends[i] : self.ends[i + 1]]
 
     def matcher(self, case_sensitive: bool):
-        """A function from (data, offsets, images) to pairs (content, forms it may hold)."""
+        """A function from (data, offsets, images) to pairs (content, numbers of the forms it may hold)."""
         tables = {s: _first_table(self.codes[self.sizes == s]) for s in np.unique(self.sizes).tolist()}
         known, begins = np.unique(self.codes, return_index=True)
-        ends = np.append(begins[1:], len(self.codes))
+        counts = np.diff(np.append(begins, len(self.codes)))
+        second = _bit_map(known)
+        scopes = {image: i for i, image in enumerate(self.images.unique().to_pylist())}
+        scope_of = np.array([scopes[i] for i in self.images.to_pylist()], np.int64)
+        everywhere = scopes.get(None, -1)
 
         def asked(codes: np.ndarray) -> np.ndarray:
-            return known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
-
-        def pairs(data: np.ndarray, offsets: np.ndarray, images: list) -> Iterator[tuple[int, list[dict]]]:
-            met: dict[int, set] = {}
-            for owner, codes in _asked_in(data, offsets, tables, asked, case_sensitive):
-                for content, place in zip(owner.tolist(), np.searchsorted(known, codes).tolist(), strict=True):
-                    met.setdefault(content, set()).add(place)
-            for content, places in met.items():
-                forms = [f for p in sorted(places) for f in self.forms[begins[p] : ends[p]]]
-                yield content, [f for f in forms if f["image"] is None or f["image"] == images[content]]
+            found = _in_bit_map(second, codes)
+            found[found] = known[np.minimum(np.searchsorted(known, codes[found]), len(known) - 1)] == codes[found]
+            return found
+
+        lengths = np.diff(self.ends)
+
+        def pairs(data: np.ndarray, offsets: np.ndarray, images: list) -> Iterator[tuple[int, np.ndarray]]:
+            folded = np.ascontiguousarray(data if case_sensitive else _FOLD[data])
+            own = np.array([-1 if i is None else scopes.get(i, -1) for i in images], np.int64)
+            met = [np.zeros(0, np.int64)]
+            for size, owner, codes, at, new in _places_in(data, offsets, tables, asked, case_sensitive):
+                group = np.cumsum(new) - 1
+                often = np.bincount(group)[group] > MOST_PLACES
+                taken = new | ~often
+                owner, at, often, place = owner[taken], at[taken], often[taken], np.searchsorted(known, codes[taken])
+                n = counts[place]
+                form = np.repeat(begins[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                owner, begin, often = np.repeat(owner, n), np.repeat(at, n) - self.at[form], np.repeat(often, n)
+                fits = (scope_of[form] == everywhere) | (scope_of[form] == own[owner])
+                fits &= often | ((begin >= offsets[owner]) & (begin + lengths[form] <= offsets[owner + 1]))
+                owner, form, begin, often = owner[fits], form[fits], begin[fits], often[fits]
+                seen = np.flatnonzero(~often)
+                same = _grams_at(folded, begin[seen], size) == self.heads[form[seen]]
+                same &= _grams_at(folded, begin[seen] + lengths[form[seen]] - size, size) == self.tails[form[seen]]
+                often[seen] = same
+                met.append(np.unique(owner[often] * len(self) + form[often]))
+            content, form = np.divmod(np.unique(np.concatenate(met)), len(self))
+            starts = np.flatnonzero(np.append(True, content[1:] != content[:-1])) if len(content) else content
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(content)], strict=False):
+                yield int(content[at]), form[at:end]
 
         return pairs
 
@@ -162,7 +233,7 @@ class PatternIndex:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes.view(np.int64)), sizes, *hashed], names=schema.names)
 
         index = written(forms.mapInArrow(least_common, schema), scratch_table(spark, "pattern-index"))
-        self.table = index.drop("size", "first", "second")
+        self.table = index.select("text", "image", "form", "gram")
         # Bytes of the bit maps that are not zero: two for each pattern at most, and never more than 9 MB. The bit map
         # for all sizes has size 0 here.
         marks = F.explode(F.array(F.struct("size", F.col("first").alias("bit")), F.struct(F.lit(0).alias("size"), F.col("second").alias("bit"))))
@@ -177,9 +248,9 @@ class PatternIndex:
         self.longest = max(words.column("longest").to_pylist(), default=0)
 
     def candidates(self, contents: DataFrame, case_sensitive: bool) -> DataFrame:
-        """key, image and all columns of the index, for each content (key, image, content) and pattern that share a gram.
+        """key, image, text, scope and form, for each content (key, image, content) and form that share a gram.
 
-        A pattern whose `image` is null is for all images. `key` should tell contents apart: rows of the same
+        `scope` is the form's own image. A pattern whose `image` is null is for all images. `key` should tell contents apart: rows of the same
         key and image count as one content.
         """
         maps = self._maps
@@ -193,8 +264,7 @@ class PatternIndex:
             tables = {size: np.unpackbits(t, bitorder="little").view(bool) for size, t in tables.items()}
 
             def passes(codes: np.ndarray) -> np.ndarray:
-                bits = _hashed(codes, 1, SECOND_BITS)
-                return ((second[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1).astype(bool)
+                return _in_bit_map(second, codes)
 
             for batch in batches:
                 if not batch.num_rows:
@@ -210,10 +280,10 @@ class PatternIndex:
         # Each gram asks for the patterns of its own image and for those of all images.
         scopes = F.array(F.struct(F.lit(None).cast("string").alias("only")), F.struct(F.col("image").alias("only")))
         each = found.select("key", "image", "gram", F.explode(F.array_distinct(scopes)).alias("scope")).select("key", "image", "gram", "scope.only")
-        index = self.table.withColumnsRenamed({"image": "_image", "gram": "_gram"})
-        met = each.join(index, (F.col("gram") == F.col("_gram")) & F.col("only").eqNullSafe(F.col("_image")))
+        index = self.table.withColumnsRenamed({"image": "scope", "gram": "_gram"})
         # A gram at several places of one content is given out once for each run of it.
-        return met.drop("only", "gram", "_gram", "_image").distinct()
+        met = each.distinct().join(index, (F.col("gram") == F.col("_gram")) & F.col("only").eqNullSafe(F.col("scope")))
+        return met.select("key", "image", "text", "scope", "form")
 
 
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -227,12 +297,13 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _asked_in(
+def _places_in(
     data: np.ndarray, offsets: np.ndarray, tables: dict[int, np.ndarray], passes: Callable, case_sensitive: bool
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct (content, gram) that the first tables and `passes` let through, run by run.
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, contents, grams, places, new) of the grams that the first tables and `passes` let through, run by run.
 
-    A run takes in what its grams need beyond its end.
+    They are ordered by content and gram; `new` marks the first place of each. A run takes in what its grams need
+    beyond its end.
     """
     for first in range(0, len(data), RUN):
         last = min(len(data), first + RUN)
@@ -244,13 +315,20 @@ def _asked_in(
             found = codes[at]
             owner = np.searchsorted(offsets, at + first, "right") - 1
             asked = passes(found) & (at + first + size <= offsets[owner + 1])
-            owner, found = owner[asked], found[asked]
+            owner, found, at = owner[asked], found[asked], at[asked] + first
+            if not len(owner):
+                continue
             order = np.lexsort((found, owner))
-            owner, found = owner[order], found[order]
+            owner, found, at = owner[order], found[order], at[order]
             new = np.ones(len(order), bool)
             new[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
-            if new.any():
-                yield owner[new], found[new]
+            yield size, owner, found, at, new
+
+
+def _asked_in(*args) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct (content, gram) of `_places_in`."""
+    for _, owner, found, _, new in _places_in(*args):
+        yield owner[new], found[new]
 
 
 def content_key(content: Column) -> Column:
