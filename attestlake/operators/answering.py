@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import prose
 from ..session import scratch_table, written
@@ -25,11 +25,22 @@ def asked_for(questions: DataFrame) -> DataFrame:
     return read.withColumn("kind", kind)
 
 
+def _search_key() -> Column:
+    """What a question searches for: questions of the same image and pattern have the same hits."""
+    return F.concat("image", F.lit("\0"), "pattern")
+
+
+def shared_items(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """pattern_id, item, in_deleted, in_live: the answer items of each search that list questions ask for, once for all of them."""
+    lists = asked.where("kind = 'list'")
+    patterns = lists.select(_search_key().alias("pattern_id"), F.col("pattern").alias("text"), "image").distinct()
+    return answer_items(search(files, patterns), ["pattern_id"])
+
+
 def found_items(asked: DataFrame, files: DataFrame) -> DataFrame:
-    """Answer items of all list questions, from one search with a pattern for each question."""
-    patterns = asked.where("kind = 'list'").select(F.col("question_id").alias("pattern_id"), F.col("pattern").alias("text"), "image")
-    hits = search(files, patterns).withColumnRenamed("pattern_id", "question_id")
-    return answer_items(hits, ["question_id"])
+    """Answer items of all list questions, those of a shared search for each question that asks for it."""
+    lists = asked.where("kind = 'list'").select("question_id", _search_key().alias("pattern_id")).distinct()
+    return lists.join(shared_items(asked, files), "pattern_id").select("question_id", "item", "in_deleted", "in_live")
 
 
 def found_counts(asked: DataFrame, files: DataFrame) -> DataFrame:
@@ -55,20 +66,29 @@ def score_questions(questions: DataFrame, expected: DataFrame, files: DataFrame)
 
     `expected`: question_id, item; a question without rows there expects nothing. Candidates of a list are all
     hits, those in deleted files, those in live ones, and nothing; of a count the three numbers. An answer is right if
-    it is the whole expected set, which is compared by counting, so no answer has to fit a cell.
+    it is the whole expected set, which is compared by counting, so no answer has to fit a cell. Questions that search for
+    the same share its items: only expected items meet them, and of two sets that have n and m items, k of them common,
+    n + m - 2k are in one alone.
     """
     spark = questions.sparkSession
     asked = written(asked_for(questions), scratch_table(spark, "asked"))
-    items = found_items(asked, files)
-    wanted = expected.select("question_id", "item").distinct().withColumn("wanted", F.lit(True))
-    lists = asked.where("kind = 'list'").select("question_id")
-    both = items.join(wanted.join(lists, "question_id", "left_semi"), ["question_id", "item"], "full")
-    hit, d, v = (F.coalesce(c, F.lit(False)) for c in ("wanted", "in_deleted", "in_live"))
-    wrong = [F.count_if(hit != side) for side in (d | v, d, v, F.lit(False))]
-    tallied = both.groupBy("question_id").agg(F.array(*wrong).alias("wrong"))
-    # A question that neither finds nor expects anything has no rows: its first candidate, the empty list, is right.
-    right = F.coalesce(F.array_position("wrong", F.lit(0).cast("bigint")), F.lit(1))
-    scored = lists.join(tallied, "question_id", "left").select("question_id", F.lit("list").alias("kind"), right.alias("at"))
+    items = written(shared_items(asked, files), scratch_table(spark, "items"))
+    d, v = (F.coalesce(c, F.lit(False)) for c in ("in_deleted", "in_live"))
+    sides = {"all": d | v, "deleted": d, "live": v}
+    totals = items.groupBy("pattern_id").agg(*[F.count_if(side).alias(f"n_{name}") for name, side in sides.items()])
+    wanted = expected.select("question_id", "item").distinct()
+    lists = asked.where("kind = 'list'").select("question_id", _search_key().alias("pattern_id"))
+    hoped = wanted.join(lists.distinct(), "question_id").join(items, ["pattern_id", "item"], "left")
+    common = hoped.groupBy("question_id", "pattern_id").agg(
+        F.count("*").alias("hoped"), *[F.count_if(side).alias(f"k_{name}") for name, side in sides.items()]
+    )
+    n = lambda c: F.coalesce(c, F.lit(0))
+    wrong = F.array(*[n("hoped") + n(f"n_{s}") - 2 * n(f"k_{s}") for s in sides], n("hoped"))
+    # A question that neither finds nor expects anything: its first candidate, the empty list, is right.
+    right = F.array_position(wrong, F.lit(0).cast("bigint"))
+    scored = lists.join(common, ["question_id", "pattern_id"], "left").join(totals, "pattern_id", "left").select(
+        "question_id", F.lit("list").alias("kind"), right.alias("at")
+    )
 
     numbers = F.transform(F.array("total", "deleted", "live"), lambda n: n.cast("string"))
     answers = wanted.groupBy("question_id").agg(F.min("item").alias("answer"), F.count("*").alias("n")).where("n = 1")

@@ -58,3 +58,12 @@ def test_ranked_answers(spark):
         ("all", 0, "1:one.txt"), ("all", 0, "2:two.txt"), ("all", 1, "2:two.txt"), ("all", 2, "1:one.txt"),
         ("count", 0, "3"), ("count", 1, "2"), ("count", 2, "1"),
     ]
+
+
+def test_questions_that_search_for_the_same_share_its_items(spark):
+    _, _, files = tables(spark)
+    asked = answering.asked_for(
+        spark.range(500).selectExpr("cast(id as string) AS question_id", "'Which files hold the word pear in ss-win?' AS question_text")
+    )
+    assert sorted(r.item for r in answering.shared_items(asked, files).collect()) == ["1:one.txt", "2:two.txt"]
+    assert answering.found_items(asked, files).count() == 1000
