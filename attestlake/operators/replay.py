@@ -81,6 +81,10 @@ class Parameter:
 
 # Widths of the time buckets, and the longest range (in seconds) that each serves.
 BUCKETS = ((3_600, 21_600), (86_400, 1_728_000), (2_764_800, None))
+# Values times time buckets up to which a receipt with both an argument as key and a time range meets the source on both.
+MOST_KEYS = 256
+# Parts in which a receipt that meets the source on the scope alone goes through it.
+PARTS = 64
 
 
 def replay_filtered(
@@ -91,9 +95,10 @@ def replay_filtered(
     `receipts`: receipt_id, args_canonical and the columns `scope`, which name the part of the source that the tool
     was run on. `parameters` come with the most selective first. Receipts with the same arguments are replayed
     once. A receipt meets the source on the first of its arguments that can be a join key (`one of`, `overlaps`,
-    `is`), else, with both ends of a time range, on time buckets of a width that suits the range, else on the scope
-    alone; all its other arguments are checked on the pairs. One equality join serves all of them, so the
-    source is read once. A receipt without rows gets the digest of nothing; arguments that are not a JSON object, or
+    `is`), together with time buckets of a width that suits the range if it has both ends of one; else on the time
+    buckets; else on the scope alone, whose rows are then dealt out in PARTS parts. All its other arguments are checked on the
+    pairs. One equality join serves all of them, so the source is read once, and rows are given out only for the ways of
+    meeting that some receipt has: the calls are written when this is called, and these ways (a few numbers) are read. A receipt without rows gets the digest of nothing; arguments that are not a JSON object, or
     hold a value that cannot be read, are a `problem`, and such a receipt has no digest.
     """
     ddl = {p.argument: "array<string>" if p.is_list else "string" for p in parameters}
@@ -119,37 +124,52 @@ def replay_filtered(
         problems.append(F.when(bad, F.lit(f"argument {p.argument} cannot be read")))
     parsed = asked.withColumn("_args", args).select(*scope, "args_canonical", F.coalesce(*problems).alias("problem"), *columns)
 
-    # Where receipts and rows meet: (class, key).
+    # Where receipts and rows meet: (class, key). A class is -1 for all rows, else the number of an argument (the number of
+    # arguments: of none) times the ways with a time bucket, plus which bucket (0: none).
     keyed = [i for i, p in enumerate(parameters) if p.kind in ("one of", "overlaps", "is") and not p.nulls_pass]
-    start, end = (next((i for i, p in enumerate(parameters) if p.kind in kind and _is_time(kinds[p])), None) for kind in (("from", "start"), ("until", "end")))
+    start, end = (
+        next((i for i, p in enumerate(parameters) if p.kind in kind and _is_time(kinds[p]) and not p.nulls_pass), None)
+        for kind in (("from", "start"), ("until", "end"))
+    )
+    timed = start is not None and end is not None and parameters[start].column == parameters[end].column
     text = lambda c: c.cast("string")
-    everywhere = F.array(_meeting(-1, F.lit("")))
-    ways, emitted = None, [everywhere]
+    cls = lambda i, number: i * (len(BUCKETS) + 1) + number
+    whole = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), _each(-1))
+    fits, spans, own_bucket = [], [], []
+    if timed:
+        low, high = (_seconds(F.col(f"_p{i}")) for i in (start, end))
+        for width, longest in BUCKETS:
+            fits.append(low.isNotNull() & high.isNotNull() & (F.lit(longest is None) | (high - low <= F.lit(longest))))
+            spans.append(F.sequence(F.floor(low / width), F.greatest(F.floor(low / width), F.floor(high / width))))
+            own_bucket.append(lambda column, width=width: F.floor(_seconds(column) / width))
+    ways, emitted = F.when(F.lit(False), whole), {-1: lambda leaf: F.array(_meeting(-1, text(F.pmod(F.xxhash64(leaf), F.lit(PARTS)))))}
     for i in keyed:
         p, value = parameters[i], F.col(f"_p{i}")
-        keys = F.transform(value, _each(i)) if p.is_list else F.array(_meeting(i, text(value)))
-        ways = F.when(value.isNotNull(), keys) if ways is None else ways.when(value.isNotNull(), keys)
-        own = F.col(p.column)
-        emitted.append(
-            F.transform(F.array_distinct(F.array_compact(own)), _each(i))
-            if p.kind == "overlaps"
-            else F.when(own.isNotNull(), F.array(_meeting(i, text(own))))
-        )
-    if start is not None and end is not None and parameters[start].column == parameters[end].column:
-        low, high = (_seconds(F.col(f"_p{i}")) for i in (start, end))
-        for number, (width, longest) in enumerate(BUCKETS, len(parameters)):
-            fits = low.isNotNull() & high.isNotNull() & (F.lit(longest is None) | (high - low <= F.lit(longest)))
-            span = F.sequence(F.floor(low / width), F.greatest(F.floor(low / width), F.floor(high / width)))
-            keys = F.transform(span, _each(number))
-            ways = F.when(fits, keys) if ways is None else ways.when(fits, keys)
-            at = F.floor(_seconds(F.col(parameters[start].column)) / width)
-            emitted.append(F.when(at.isNotNull(), F.array(_meeting(number, text(at)))))
-    ways = everywhere if ways is None else ways.otherwise(everywhere)
-
-    sought = parsed.where("problem is null").withColumn("_at", F.explode(ways))
+        values = F.transform(value, text) if p.is_list else F.array(text(value))
+        own = F.transform(F.array_distinct(F.array_compact(F.col(p.column))), text) if p.kind == "overlaps" else F.array_compact(F.array(text(F.col(p.column))))
+        for number, (fit, span) in enumerate(zip(fits, spans, strict=True), 1):
+            few = F.size(values) * F.size(span) <= MOST_KEYS
+            both = F.flatten(F.transform(values, _with_buckets(cls(i, number), span)))
+            ways = ways.when(value.isNotNull() & fit & few, both)
+            at = own_bucket[number - 1](F.col(parameters[start].column))
+            met = F.transform(own, _with_bucket(cls(i, number), at))
+            emitted[cls(i, number)] = lambda _, met=met, at=at: F.when(at.isNotNull(), met)
+        ways = ways.when(value.isNotNull(), F.transform(values, _each(cls(i, 0))))
+        emitted[cls(i, 0)] = lambda _, own=own, i=i: F.transform(own, _each(cls(i, 0)))
+    for number, (fit, span) in enumerate(zip(fits, spans, strict=True), 1):
+        own_class = cls(len(parameters), number)
+        ways = ways.when(fit, F.transform(span, _each(own_class)))
+        at = own_bucket[number - 1](F.col(parameters[start].column))
+        emitted[own_class] = lambda _, c=own_class, at=at: F.when(at.isNotNull(), F.array(_meeting(c, text(at))))
+
+    parsed = written(parsed.withColumn("_ways", F.when(F.col("problem").isNull(), ways.otherwise(whole))), scratch_table(receipts.sparkSession, "calls"))
+    classes = [r[0] for r in parsed.select(F.explode("_ways.cls").alias("cls")).distinct().collect()]
+    sought = parsed.where("problem is null").withColumn("_at", F.explode("_ways")).drop("_ways")
     used = {p.column for p in parameters}
     none = F.array().cast("array<struct<cls:int,key:string>>")
-    rows = source.select(*scope, *used, digest(raw).alias("_leaf"), F.explode(F.concat(*[F.coalesce(e, none) for e in emitted])).alias("_at"))
+    leaf = F.unhex(digest(raw))
+    given_out = [F.coalesce(emitted[c](F.col("_leaf")), none) for c in sorted(classes)]
+    rows = source.select(*scope, *used, leaf.alias("_leaf")).withColumn("_at", F.explode(F.concat(*given_out, none)))
     left = rows.select(*[F.col(c).alias(f"_s_{c}") for c in scope], *[F.col(c).alias(f"_c_{c}") for c in used], "_leaf", F.col("_at.cls").alias("_cls"), F.col("_at.key").alias("_key"))
     meets = [F.col(f"_s_{c}").eqNullSafe(F.col(c)) for c in scope] + [F.col("_cls") == F.col("_at.cls"), F.col("_key") == F.col("_at.key")]
     conditions = [_meets(p, F.col(f"_c_{p.column}"), F.col(f"_p{i}")) for i, p in enumerate(parameters)]
@@ -157,9 +177,12 @@ def replay_filtered(
     for i in keyed:
         if parameters[i].kind == "overlaps":
             first = text(F.array_min(F.array_intersect(F.col(f"_c_{parameters[i].column}"), F.col(f"_p{i}"))))
-            conditions.append((F.col("_cls") != i) | (F.col("_key") == first))
+            conditions.append((F.col("_cls") != cls(i, 0)) | (F.col("_key") == first))
+            for number, bucket in enumerate(own_bucket, 1):
+                at = bucket(F.col(f"_c_{parameters[start].column}"))
+                conditions.append((F.col("_cls") != cls(i, number)) | (F.col("_key") == _joined(first, at)))
     met = left.join(sought, reduce(lambda a, b: a & b, meets)).where(reduce(lambda a, b: a & b, conditions, F.lit(True)))
-    digests = met.groupBy(*scope, "args_canonical").agg(unordered_digest(F.col("_leaf")).alias("raw_digest"))
+    digests = met.groupBy(*scope, "args_canonical").agg(unordered_digest(F.hex("_leaf")).alias("raw_digest"))
     return _answered(receipts, parsed, digests, scope)
 
 
@@ -181,6 +204,18 @@ def _meeting(number: int, key: Column) -> Column:
     return F.struct(F.lit(number).alias("cls"), key.alias("key"))
 
 
+def _joined(value: Column, bucket: Column) -> Column:
+    return F.concat(bucket.cast("string"), F.lit("@"), value)
+
+
+def _with_bucket(number: int, bucket: Column) -> Callable[[Column], Column]:
+    return lambda value: _meeting(number, _joined(value, bucket))
+
+
+def _with_buckets(number: int, buckets: Column) -> Callable[[Column], Column]:
+    return lambda value: F.transform(buckets, lambda bucket: _meeting(number, _joined(value, bucket)))
+
+
 def _each(number: int) -> Callable[[Column], Column]:
     return lambda value: _meeting(number, value.cast("string"))
 

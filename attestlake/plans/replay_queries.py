@@ -12,6 +12,7 @@ from ..functions.fixed import SEARCH_ENCODINGS, SEVERITIES
 from ..operators import replay
 from ..operators.receipts import EMPTY
 from ..operators.replay import Parameter
+from ..session import scratch_table, written
 from ..sources.artifacts import FILE_TIMES
 from . import adapters as ad
 from .adapters import text, with_ctes
@@ -26,16 +27,22 @@ def calls(rows: DataFrame, scope: list[str], *kinds: tuple[str, list, dict]) ->
     """
     out = None
     for letter, keys, args in kinds:
-        named = F.concat_ws("/", F.lit(letter), *[k.cast("string") for k in keys])
-        recorded = F.to_json(F.struct(*[v.alias(n) for n, v in args.items()]), {"ignoreNullFields": "false"})
-        made = rows.select(named.alias("receipt_id"), *scope, recorded.alias("args_canonical")).distinct()
+        each = rows.select(F.array(*[k.cast("string") for k in keys]).alias("_keys"), *scope, F.struct(*[v.alias(n) for n, v in args.items()]).alias("_args"))
+        named = F.array_join(F.concat(F.array(F.lit(letter)), "_keys"), "/")
+        recorded = F.to_json("_args", {"ignoreNullFields": "false"})
+        made = each.distinct().select(named.alias("receipt_id"), *scope, recorded.alias("args_canonical")).distinct()
         out = made if out is None else out.unionByName(made)
     return out
 
 
+def stored(receipts: DataFrame) -> DataFrame:
+    """Receipts that are used several times, as a written table."""
+    return written(receipts, scratch_table(receipts.sparkSession, "receipts"))
+
+
 def drifted(receipts: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """What was minted, and how it compares with the present source."""
-    minted = receipts.join(before.where("problem is null").select("receipt_id", "raw_digest"), "receipt_id")
+    minted = stored(receipts.join(before.where("problem is null").select("receipt_id", "raw_digest"), "receipt_id"))
     found = replay.replay_drift(minted, after, ["receipt_id"])
     return found.join(minted.select("receipt_id", "raw_digest"), "receipt_id")
 
@@ -108,6 +115,7 @@ def replay_event_log(t: Tables):
     )
     raw = F.concat_ws("|", "record_number", "event_id", "channel", "user_sid")
     left = log.where(~((F.substring("user_sid", 10, 20).cast("bigint") % 11 == 0) & (F.col("record_number") % 2 == 0)))
+    receipts = stored(receipts)
     again = lambda source: replay.replay_filtered(receipts, source, EVENT_PARAMETERS, ["host"], raw)
     return drifted(receipts, again(log), again(left))
 
@@ -144,6 +152,7 @@ def replay_journal(t: Tables):
     ).unionByName(calls(in_path, ["host"], ("reasons-and-path", [F.col("host"), reason], {"reasons": reasons, "path": F.lit("PROG7")})))
     left = journal.where("NOT (usn % 97 = 5 AND file_record_number % 3 = 0)")
     raw = F.concat_ws("|", "usn", "full_path")
+    receipts = stored(receipts)
     again = lambda source: replay.replay_filtered(receipts, source, JOURNAL_PARAMETERS, ["host"], raw)
     return drifted(receipts, again(journal), again(left))
 
@@ -173,6 +182,7 @@ def replay_file_table(t: Tables):
     )
     parameters = [Parameter("path", "text", "full_path"), Parameter("since", "from", "newest")]
     raw = F.concat_ws("|", "entry_number", "full_path")
+    receipts = stored(receipts)
     again = lambda source: replay.replay_filtered(receipts, source, parameters, ["scope"], raw)
     return drifted(receipts, again(files), again(files.where("entry_number % 1000 <> 7")))
 
@@ -210,6 +220,7 @@ def replay_rule_hits(t: Tables):
         calls(low, ["host"], ("low", [F.col("host")], {"techniques": nothing("array<string>"), "min_level": F.lit("low")}))
     )
     raw = F.concat_ws("|", "record_id", "level", "rule_title")
+    receipts = stored(receipts)
     again = lambda source: replay.replay_filtered(receipts, source, RULE_PARAMETERS, ["host"], raw)
     return drifted(receipts, again(rules), again(rules.where("record_id % 501 <> 3")))
 

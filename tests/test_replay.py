@@ -160,3 +160,16 @@ def test_failures_are_reasons(spark):
     assert all(not found[f"r{i}"][0] and found[f"r{i}"][1].startswith("replay failed: ") for i in range(0, 10, 2))
     with pytest.raises(Exception, match="no"):
         table.check(receipts).collect()
+
+
+def test_calls_for_a_whole_scope_and_ranges_without_a_time(spark):
+    """A call without a key goes through its scope in parts; rows without a time meet ranges that let them pass."""
+    source = spark.createDataFrame([("h", 1, None), ("h", 2, "2024-01-01 10:00:00"), ("h", 3, "2025-01-01 00:00:00")], "host string, n bigint, at string")
+    source = source.withColumn("at", F.col("at").cast("timestamp"))
+    within = [replay.Parameter("within", "start", "at", nulls_pass=True), replay.Parameter("within", "end", "at", nulls_pass=True)]
+    calls = [("range", '{"within":["2024-01-01 00:00:00","2024-01-02 00:00:00"]}'), ("all", "{}")]
+    receipts = spark.createDataFrame([(i, "h", a) for i, a in calls], "receipt_id string, host string, args_canonical string")
+    answered = replay.replay_filtered(receipts, source, within, ["host"], F.col("n").cast("string"))
+    leaf = lambda n: hashlib.sha256(str(n).encode()).hexdigest()
+    assert {r.receipt_id: r.raw_digest for r in answered.collect()} == {"range": unordered([leaf(1), leaf(2)]), "all": unordered([leaf(1), leaf(2), leaf(3)])}
+    assert "pmod(xxhash64(_leaf" in answered._jdf.queryExecution().optimizedPlan().toString()
