@@ -50,11 +50,11 @@ def data_fingerprint(
 
     A leaf is the digest of a record's canonical JSON; a node is the digest of its
     children's digests in order, and has at most `fan` of them. Three levels of ten
-    thousand reach 10^12 ordinals. The first shuffle carries leaves; later ones one row
+    thousand reach 10^12 ordinals. The first shuffle carries leaves as 32 bytes each; later ones one row
     per node, which for keys of up to `fan` ordinals is one row per key.
     """
     level = records.select(
-        *by, F.col(ordinal).cast("bigint").alias("_at"), digest(F.col(canonical)).alias("_h"),
+        *by, F.col(ordinal).cast("bigint").alias("_at"), F.unhex(digest(F.col(canonical))).alias("_h"),
         F.lit(1).cast("bigint").alias("_n"),
     )
     for step in range(levels):
@@ -64,12 +64,12 @@ def data_fingerprint(
             level.withColumn("_up", at)
             .groupBy(*by, "_up")
             .agg(
-                digest(F.array_join(F.transform(ordered, lambda x: x["_h"]), "")).alias("_h"),
+                F.unhex(digest(F.array_join(F.transform(ordered, lambda x: F.lower(F.hex(x["_h"]))), ""))).alias("_h"),
                 F.sum("_n").alias("_n"),
             )
             .withColumnRenamed("_up", "_at")
         )
-    return level.select(*by, F.col("_h").alias("data_digest"), F.col("_n").alias("row_count"))
+    return level.select(*by, F.lower(F.hex("_h")).alias("data_digest"), F.col("_n").alias("row_count"))
 
 
 def raw_fingerprint(rows: DataFrame, by: list[str], raw: Column) -> DataFrame:

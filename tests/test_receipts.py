@@ -252,3 +252,12 @@ def test_unordered_digest(tables):
     two = {tuple(r) for r in rc.raw_fingerprint(rows.orderBy("value"), ad.BY, raw).collect()}
     three = {tuple(r) for r in rc.raw_fingerprint(rows.unionByName(rows.limit(1)), ad.BY, raw).collect()}
     assert one == two and len(one - three) == 1
+
+
+def test_leaves_are_shuffled_as_bytes(spark):
+    """A record's digest goes through the first shuffle of a fingerprint as 32 bytes, not as hex text."""
+    from attestlake.operators import receipts
+
+    rows = spark.range(3).selectExpr("'r' AS run", "id AS ordinal", "cast(id as string) AS canonical")
+    plan = receipts.data_fingerprint(rows, ["run"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex(sha2(" in plan.lower()
