@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 NULL_JSON = {"ignoreNullFields": "false"}
+# Columns of receipts and their records that hold hex digests.
+DIGESTS = ("receipt_id", "prev", "image_sha256", "raw_digest", "data_digest", "prompt_hash", "seal")
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
@@ -151,6 +153,23 @@ def digest(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
+def packed(c: Column) -> Column:
+    """Text in a form for shuffles: lower-case hex takes half its bytes, any other text one byte more."""
+    bare = F.unhex(c)
+    is_hex = F.coalesce(F.lower(F.hex(bare)) == c, F.lit(False))
+    return F.when(is_hex, F.concat(F.lit(b"\1"), bare)).otherwise(F.concat(F.lit(b"\0"), c.cast("binary")))
+
+
+def unpacked(c: Column) -> Column:
+    rest = F.substring(c, 2, 2147483647)
+    return F.when(F.substring(c, 1, 1) == F.lit(b"\1"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
+def each_digest(df: DataFrame, form) -> DataFrame:
+    """`packed` or `unpacked` for the columns of a receipt that hold digests."""
+    return df.withColumns({n: form(F.col(n)) for n in df.columns if n in DIGESTS})
+
+
 def length_prefixed_digest(first: Column, second: Column) -> Column:
     """Digest of two strings; eight-byte lengths keep their boundary fixed."""
 

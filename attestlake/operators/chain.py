@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.hashing import digest
+from ..functions.hashing import digest, each_digest, packed, unpacked
 from ..session import scratch_table, written
 from .blocks import with_previous
 from .receipts import header_halves, header_id, prev_json
@@ -28,16 +28,17 @@ def link_chain(receipts: DataFrame, block: int = BLOCK) -> DataFrame:
     Positions may be sparse, negative or as large as an epoch value. Receipts with the same
     position are ordered by their content; those without one are not linked. `verify_chain`
     reports both. Nothing runs before the caller's own action, and no task gets more than
-    `block` positions of a run.
+    `block` positions of a run. Digests are shuffled as bytes.
     """
     levels = 1
     while block ** (levels + 1) < 1 << 63:  # the last window then holds a few blocks for any 64-bit positions
         levels += 1
-    rows = receipts.drop("prev", "receipt_id").withColumn("_content", content_id(receipts))
+    rows = receipts.drop("prev", "receipt_id").withColumn("_content", F.unhex(content_id(receipts)))
     linked = with_previous(
-        rows, ["run_id"], "seq", ["_content"], block, "_prev_", ("_content",), levels
+        each_digest(rows, packed), ["run_id"], "seq", ["_content"], block, "_prev_", ("_content",), levels
     )
-    prev = F.when(F.col("seq").isNotNull(), F.col("_prev__content"))
+    linked = each_digest(linked, unpacked)
+    prev = F.when(F.col("seq").isNotNull(), F.lower(F.hex("_prev__content")))
     named = linked.withColumn("prev", prev).drop("_content", "_prev_seq", "_prev__content")
     return named.withColumn("receipt_id", header_id(named))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import length_prefixed_digest
+from ..functions.hashing import length_prefixed_digest, packed, unpacked
 from ..operators import chain, receipts as rc, replay
 from ..session import scratch_table
 from ..sources.sinks import append_receipts
@@ -353,9 +353,10 @@ def snk01(t: Tables):
 def snk01_round_trip(t: Tables):
     """Chained receipts and their records stored in two goes, then read back and joined."""
     made = ad.stored_receipts(t)
-    rows = ad.record_rows(t).join(made.select("run_id", "seq", "receipt_id"), ["run_id", "seq"])
+    named = made.select("run_id", "seq", packed(F.col("receipt_id")).alias("packed_id"))
+    rows = ad.record_rows(t).join(named, ["run_id", "seq"])
     records = rows.select(
-        "receipt_id", F.col("ordinal").alias("record_idx"), F.create_map(F.lit("k"), F.col("k").cast("string")).alias("record")
+        unpacked(F.col("packed_id")).alias("receipt_id"), F.col("ordinal").alias("record_idx"), F.create_map(F.lit("k"), F.col("k").cast("string")).alias("record")
     )
     path = scratch_table(t.spark, "store")
     append_receipts(made.where("seq % 2 = 0"), path, records)

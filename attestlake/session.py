@@ -58,5 +58,5 @@ def scratch_table(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """Write a table and read it back: cuts lineage and survives the loss of any executor."""
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

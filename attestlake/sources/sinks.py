@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.hashing import each_digest, packed, unpacked
+
 RUN_BUCKETS = 64
 
 
@@ -22,23 +24,24 @@ def append_receipts(
     `run_bucket`; keep to one number of buckets in a store. Before writing, rows are rebalanced by folder:
     adaptive execution joins small pieces and splits the folder of a hot run into several files. Records go
     first, so a receipt that is stored has its records. Only one writer at a time is safe: two could store
-    an id twice.
+    an id twice. Digests are shuffled as bytes, and stored ids and copies are dropped on the same shuffle.
     """
     spark = receipts.sparkSession
-    fresh = receipts.dropDuplicates(["receipt_id"]).withColumn("run_bucket", run_bucket("run_id", buckets))
+    fresh = each_digest(receipts.withColumn("run_bucket", run_bucket("run_id", buckets)), packed)
     stored = _stored(spark, f"{path}/receipts")
     if stored is not None:
-        known = stored.select("run_bucket", "receipt_id")
-        fresh = fresh.join(known, ["run_bucket", "receipt_id"], "left_anti")
+        fresh = fresh.join(each_digest(stored.select("receipt_id"), packed), "receipt_id", "left_anti")
+    fresh = fresh.dropDuplicates(["receipt_id"])
     if records is not None:
         mine = fresh.select("receipt_id", "run_bucket")
-        rows = records.select("receipt_id", "record_idx", "record").join(mine, "receipt_id")
-        _append(rows, f"{path}/records")
+        rows = each_digest(records.select("receipt_id", "record_idx", "record"), packed)
+        _append(rows.join(mine, "receipt_id"), f"{path}/records")
     _append(fresh, f"{path}/receipts")
 
 
 def _append(rows: DataFrame, path: str) -> None:
-    rows.hint("rebalance", "run_bucket").write.mode("append").partitionBy("run_bucket").parquet(path)
+    spread = each_digest(rows.hint("rebalance", "run_bucket"), unpacked)
+    spread.write.mode("append").option("compression", "zstd").partitionBy("run_bucket").parquet(path)
 
 
 def _stored(spark, path: str) -> DataFrame | None:
