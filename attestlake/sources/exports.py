@@ -9,7 +9,6 @@ records of several lines are gathered; the others never leave their task.
 from __future__ import annotations
 
 import csv
-import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -18,23 +17,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# What ends a quoted cell, and whole cells up to the end of a line or up to a cell that stays open. Possessive, so linear.
-_CLOSE = re.compile(r'(?:[^"]|"")*+"(?!")')
-_CELLS = re.compile(r'(?:(?:"(?:[^"]|"")*+"[^,]*+|(?!")[^,]*+),)*+')
-_LAST = re.compile(r'(?:"(?:[^"]|"")*+"[^,]*+|(?!")[^,]*+)\Z')
+# Lines that end outside quotes, of those that begin outside and inside. A quote opens a cell only at its beginning; two
+# quotes are one inside. Over bytes, in time linear in the line: these are RE2, and there is one way to match.
+_CELL = r'(?:"(?:[^"]|"")*"(?:[^",][^,]*)?|[^",][^,]*|)'
+_ENDS_OUTSIDE = (rf"\A{_CELL}(?:,{_CELL})*\z", rf'\A(?:[^"]|"")*"(?:[^",][^,]*)?(?:,{_CELL})*\z')
+
+
+def lines_end_open(value: pa.Array, begins_open: bool) -> np.ndarray:
+    """Whether lines of CSV end inside quotes."""
+    quoted = pc.match_substring(value, '"')
+    ends = np.full(len(value), begins_open)
+    asked = np.flatnonzero(quoted.to_numpy(zero_copy_only=False).astype(bool))
+    if len(asked):
+        lines = pc.replace_substring_regex(value.filter(quoted).cast(pa.binary()), r"\r+\z", "")
+        ends[asked] = ~pc.match_substring_regex(lines, _ENDS_OUTSIDE[begins_open]).to_numpy(zero_copy_only=False).astype(bool)
+    return ends
 
 
 def ends_open(line: str, begins_open: bool) -> bool:
-    """Whether a line of CSV ends inside quotes. A quote opens a cell only at its beginning; two quotes are one inside."""
-    at = 0
-    if begins_open:
-        closed = _CLOSE.match(line)
-        if not closed:
-            return True
-        at = line.find(",", closed.end()) + 1
-        if not at:
-            return False
-    return not _LAST.match(line, _CELLS.match(line, at).end())
+    return bool(lines_end_open(pa.array([line]), begins_open)[0])
 
 
 def first_lines(spark: SparkSession, path) -> dict[str, str]:
@@ -81,30 +82,26 @@ def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not n:
             continue
         file, block, at, value = (batch.column(c) for c in ("file", "block", "at", "value"))
-        quoted = pc.match_substring(value, '"').to_numpy(zero_copy_only=False).astype(bool)
-        places = list(zip(file.to_pylist(), block.to_pylist(), strict=True))
-        edges = [0, *[i for i in range(1, n) if places[i] != places[i - 1]], n]
+        other = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False).astype(bool)
+        edges = [0, *(np.flatnonzero(other) + 1).tolist(), n]
         numbers = at.to_numpy()
+        after = [lines_end_open(value, h) for h in (False, True)]
         ends, begun = np.zeros((2, n), bool), np.zeros((2, n), np.int64)
         for first, last in zip(edges[:-1], edges[1:], strict=True):
-            if places[first] != here:
-                here, states, starts = places[first], [False, True], [-1, -1]
-            stops = [*(np.flatnonzero(quoted[first:last]) + first).tolist(), last]
+            place = (file[first].as_py(), block[first].as_py())
+            if place != here:
+                here, states, starts = place, [False, True], [-1, -1]
+            out, inside = (a[first:last] for a in after)
+            # a line sets the state, leaves it or turns it: known from the last line that sets it and the turns since
+            sets, turned = out == inside, np.cumsum(out & ~inside) & 1
+            setter = np.maximum.accumulate(np.where(sets, np.arange(last - first), -1))
+            since = turned ^ np.where(setter < 0, 0, turned[setter])
             for h in (0, 1):
-                i = first
-                for stop in stops:
-                    # lines without quotes leave the state as it is
-                    ends[h, i:stop] = states[h]
-                    begun[h, i:stop] = starts[h] if states[h] else numbers[i:stop]
-                    if stop > i and not states[h]:
-                        starts[h] = int(numbers[stop - 1])
-                    if stop < last:
-                        if not states[h]:
-                            starts[h] = int(numbers[stop])
-                        begun[h, stop] = starts[h]
-                        states[h] = ends_open(value[stop].as_py().rstrip("\r"), states[h])
-                        ends[h, stop] = states[h]
-                    i = stop + 1
+                ends[h, first:last] = np.where(setter < 0, states[h], out[setter]) ^ since.astype(bool)
+                before = np.concatenate([[states[h]], ends[h, first : last - 1]])
+                place_of = np.maximum.accumulate(np.where(before, -1, np.arange(last - first)))
+                begun[h, first:last] = np.where(place_of < 0, starts[h], numbers[first:last][place_of])
+                states[h], starts[h] = bool(ends[h, last - 1]), int(begun[h, last - 1])
         columns = [file, block, at, value, pa.array(ends[0]), pa.array(begun[0]), pa.array(ends[1]), pa.array(begun[1])]
         yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "at", "value", "open", "start", "open_inside", "start_inside"])
 

@@ -381,3 +381,18 @@ def test_lines_that_end_inside_quotes(line, outside, inside):
     from attestlake.sources.exports import ends_open
 
     assert (ends_open(line, False), ends_open(line, True)) == (outside, inside)
+
+
+def test_lines_are_followed_as_bytes():
+    """Bytes that are no UTF-8 are followed too, and a long line takes time in proportion to its length."""
+    import pyarrow as pa
+
+    from attestlake.sources.exports import _followed
+
+    lines = [b'1,"\xff', b'\xfe"', b'2,\xff"', b'3,"' + b'x""' * 300_000 + b'"']
+    value = pa.array(lines, pa.binary()).view(pa.string())
+    given = [pa.array(["f"] * 4), pa.array([0] * 4, pa.int64()), pa.array(range(4), pa.int64()), value]
+    batch = pa.RecordBatch.from_arrays(given, names=["file", "block", "at", "value"])
+    found = list(_followed(iter([batch])))[0]
+    assert found.column("open").to_pylist() == [True, False, False, False]
+    assert found.column("start").to_pylist() == [0, 0, 2, 3]
