@@ -140,7 +140,8 @@ def records(spark: SparkSession, path) -> DataFrame:
     parts = followed.groupBy("file", "block").agg(*last, first.alias("head"))
     whole = parts.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("block", "last", "last_inside", "head"))).alias("parts"))
     known = whole.mapInArrow(_put_together, "part_file string, part_block bigint, inside boolean, carried bigint, head bigint")
-    met = followed.join(known, (F.col("file") == F.col("part_file")) & (F.col("block") == F.col("part_block")))
+    # a row for each part of a file, for which the driver holds a larger entry anyway; lines are not shuffled to meet it
+    met = followed.join(F.broadcast(known), (F.col("file") == F.col("part_file")) & (F.col("block") == F.col("part_block")))
     began = F.when(F.col("inside"), F.col("start_inside")).otherwise(F.col("start"))
     placed = met.select(
         "file",
@@ -163,4 +164,5 @@ def read_split_csv(spark: SparkSession, path, names: list[str]) -> DataFrame:
     ddl = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
     rows = records(spark, path).where("not is_first")
     cells = F.from_csv("record", ddl, {"quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
-    return rows.select(cells.alias("cells"), F.col("file").alias("source_file")).select("cells.*", "source_file")
+    # as rows of a generator, so that cells are not read once more for each condition on them
+    return rows.select(F.inline(F.array(cells)), F.col("file").alias("source_file"))

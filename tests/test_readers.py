@@ -396,3 +396,13 @@ def test_lines_are_followed_as_bytes():
     found = list(_followed(iter([batch])))[0]
     assert found.column("open").to_pylist() == [True, False, False, False]
     assert found.column("start").to_pylist() == [0, 0, 2, 3]
+
+
+def test_lines_of_exports_are_not_shuffled(spark, folder):
+    """Lines meet what is known of their part of a file where they are, and their cells are read in one place."""
+    headed(folder, "Channel", {"RecordNumber": "1", "EventId": "4624", "Channel": "c"})
+    log = src.read_event_log(spark, str(folder / "a b"))
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == plan.count("Join ") > 0
+    assert all("from_csv" not in line for line in plan.splitlines() if "Filter" in line)
+    assert log.count() == 2
