@@ -58,17 +58,15 @@ def data_fingerprint(
         F.lit(1).cast("bigint").alias("_n"),
     )
     for step in range(levels):
-        at = F.floor(F.col("_at") / fan) if step < levels - 1 else F.lit(0).cast("bigint")
+        last = step == levels - 1
         ordered = F.sort_array(F.collect_list(F.struct("_at", "_h")))
-        level = (
-            level.withColumn("_up", at)
-            .groupBy(*by, "_up")
-            .agg(
-                F.unhex(digest(F.array_join(F.transform(ordered, lambda x: F.lower(F.hex(x["_h"]))), ""))).alias("_h"),
-                F.sum("_n").alias("_n"),
-            )
-            .withColumnRenamed("_up", "_at")
+        # the root is grouped by the key alone: a constant beside it would cost joins on the key a shuffle more
+        up = [] if last else [F.floor(F.col("_at") / fan).alias("_up")]
+        level = level.groupBy(*by, *up).agg(
+            F.unhex(digest(F.array_join(F.transform(ordered, lambda x: F.lower(F.hex(x["_h"]))), ""))).alias("_h"),
+            F.sum("_n").alias("_n"),
         )
+        level = level if last else level.withColumnRenamed("_up", "_at")
     return level.select(*by, F.lower(F.hex("_h")).alias("data_digest"), F.col("_n").alias("row_count"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import length_prefixed_digest, packed, unpacked
 from ..operators import chain, receipts as rc, replay
-from ..session import scratch_table
+from ..session import scratch_table, written
 from ..sources.sinks import append_receipts
 from ..sources.stores import read_receipt_store
 from . import adapters as ad
@@ -245,7 +245,7 @@ def rcp10(t: Tables):
     made, seq = ad.receipts(t), F.col("seq")
     good, other = (rc.seal(made, key) for key in (ad.KEY, b"another key"))
     sealed = good.where(seq % 7 != 2).unionByName(other.where(seq % 7 == 2))
-    stored = sealed.withColumn("seal", F.when(seq % 11 != 4, F.col("seal")))
+    stored = written(sealed.withColumn("seal", F.when(seq % 11 != 4, F.col("seal"))), scratch_table(t.spark, "sealed"))
     edited = stored.withColumn("raw_digest", F.when(seq % 5 == 3, F.reverse("raw_digest")).otherwise(F.col("raw_digest")))
     return stored.select("receipt_id", "seal").join(rc.verify_seal(edited, ad.KEY), "receipt_id")
 

@@ -281,3 +281,17 @@ def test_digests_are_shuffled_as_bytes(spark, folder):
 
 def rows_as_set(df):
     return {repr(r) for r in df.collect()}
+
+
+def test_fingerprints_meet_on_their_key_without_another_shuffle(spark):
+    """The two digests of a receipt are both grouped by its key, so their join shuffles neither again."""
+    rows = spark.range(30).selectExpr("'r' AS run_id", "id % 3 AS seq", "id AS ordinal", "cast(id as string) AS canonical", "'x' AS raw")
+    joined = ad.fingerprints(rows)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4  # three levels of the tree, and the order-free sums
+
+
+def test_linking_reads_written_fingerprints(spark, tables):
+    """However often linking reads the minted receipts, their records are not read again."""
+    plan = ad.receipts(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "props" not in plan and "event_type" not in plan
