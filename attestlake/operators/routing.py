@@ -115,9 +115,13 @@ def index_of(forms: DataFrame, most_bytes: int) -> PatternTable | PatternIndex:
 
     Forms of up to `most_bytes` in all (LOCAL_BYTES in practice) travel with the tasks, more stay a table.
     """
-    bytes_of = F.octet_length("form") + F.coalesce(F.octet_length("text"), F.lit(0)) + FORM_BYTES
-    size = forms.agg(F.coalesce(F.sum(bytes_of), F.lit(0))).first()[0]
-    return PatternTable(forms.select("text", "image", "form").toArrow()) if size <= most_bytes else PatternIndex(forms)
+    return PatternTable(forms.select("text", "image", "form").toArrow()) if bytes_of(forms) <= most_bytes else PatternIndex(forms)
+
+
+def bytes_of(forms: DataFrame) -> int:
+    """Bytes that forms take in a table that travels with the tasks."""
+    each = F.octet_length("form") + F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + FORM_BYTES
+    return forms.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
 
 
 def _first_table(codes: np.ndarray) -> np.ndarray:
@@ -167,8 +171,12 @@ class PatternTable:
     def form(self, i: int) -> bytes:
         return self.bytes[self.ends[i] : self.ends[i + 1]]
 
-    def matcher(self, case_sensitive: bool):
-        """A function from (data, offsets, images) to pairs (content, numbers of the forms it may hold)."""
+    def _placed(self, case_sensitive: bool):
+        """A function from (data, offsets, images) to where forms may stand: (size, data folded, contents, forms, begins, often).
+
+        The gram of each of these forms stands in its place. Where `often` is set the places are left out, and any of the
+        content may be meant.
+        """
         tables = {s: _first_table(self.codes[self.sizes == s]) for s in np.unique(self.sizes).tolist()}
         known, begins = np.unique(self.codes, return_index=True)
         counts = np.diff(np.append(begins, len(self.codes)))
@@ -184,10 +192,9 @@ class PatternTable:
 
         lengths = np.diff(self.ends)
 
-        def pairs(data: np.ndarray, offsets: np.ndarray, images: list) -> Iterator[tuple[int, np.ndarray]]:
+        def placed(data: np.ndarray, offsets: np.ndarray, images: list) -> Iterator[tuple]:
             folded = np.ascontiguousarray(data if case_sensitive else _FOLD[data])
             own = np.array([-1 if i is None else scopes.get(i, -1) for i in images], np.int64)
-            met = [np.zeros(0, np.int64)]
             for size, owner, codes, at, new in _places_in(data, offsets, tables, asked, case_sensitive):
                 group = np.cumsum(new) - 1
                 often = np.bincount(group)[group] > MOST_PLACES
@@ -198,11 +205,24 @@ class PatternTable:
                 owner, begin, often = np.repeat(owner, n), np.repeat(at, n) - self.at[form], np.repeat(often, n)
                 fits = (scope_of[form] == everywhere) | (scope_of[form] == own[owner])
                 fits &= often | ((begin >= offsets[owner]) & (begin + lengths[form] <= offsets[owner + 1]))
-                owner, form, begin, often = owner[fits], form[fits], begin[fits], often[fits]
+                yield size, folded, owner[fits], form[fits], begin[fits], often[fits]
+
+        return placed
+
+    def _ends_fit(self, size: int, folded: np.ndarray, form: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Whether the first and last grams of forms stand where the forms would."""
+        same = _grams_at(folded, begin, size) == self.heads[form]
+        return same & (_grams_at(folded, begin + np.diff(self.ends)[form] - size, size) == self.tails[form])
+
+    def matcher(self, case_sensitive: bool):
+        """A function from (data, offsets, images) to pairs (content, numbers of the forms it may hold)."""
+        placed = self._placed(case_sensitive)
+
+        def pairs(data: np.ndarray, offsets: np.ndarray, images: list) -> Iterator[tuple[int, np.ndarray]]:
+            met = [np.zeros(0, np.int64)]
+            for size, folded, owner, form, begin, often in placed(data, offsets, images):
                 seen = np.flatnonzero(~often)
-                same = _grams_at(folded, begin[seen], size) == self.heads[form[seen]]
-                same &= _grams_at(folded, begin[seen] + lengths[form[seen]] - size, size) == self.tails[form[seen]]
-                often[seen] = same
+                often[seen] = self._ends_fit(size, folded, form[seen], begin[seen])
                 met.append(np.unique(owner[often] * len(self) + form[often]))
             content, form = np.divmod(np.unique(np.concatenate(met)), len(self))
             starts = np.flatnonzero(np.append(True, content[1:] != content[:-1])) if len(content) else content
@@ -211,6 +231,40 @@ class PatternTable:
 
         return pairs
 
+    def finder(self, case_sensitive: bool):
+        """A function from (data, offsets, images) to the contents and the forms that they hold, as two arrays, each pair once.
+
+        Forms are compared in their places, a gram at a time for all of them; only those of grams that stand too often are
+        looked for one by one.
+        """
+        placed, lengths, own = self._placed(case_sensitive), np.diff(self.ends), np.frombuffer(self.bytes, np.uint8)
+
+        def finds(data: np.ndarray, offsets: np.ndarray, images: list) -> tuple[np.ndarray, np.ndarray]:
+            met, unseen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for size, folded, owner, form, begin, often in placed(data, offsets, images):
+                unseen.append(np.unique(owner[often] * len(self) + form[often]))
+                owner, form, begin = owner[~often], form[~often], begin[~often]
+                left = np.flatnonzero(self._ends_fit(size, folded, form, begin))
+                at = size
+                while len(left):
+                    done = lengths[form[left]] <= at + size
+                    met.append(owner[left[done]] * len(self) + form[left[done]])
+                    left = left[~done]
+                    same = _grams_at(folded, begin[left] + at, size) == _grams_at(own, self.ends[form[left]] + at, size)
+                    left, at = left[same], at + size
+            found = np.unique(np.concatenate(met))
+            whole, last = b"", -1
+            also = []
+            for pair in np.setdiff1d(np.concatenate(unseen), found).tolist():
+                content, form = divmod(pair, len(self))
+                if content != last:
+                    whole, last = fold(data[offsets[content] : offsets[content + 1]].tobytes(), case_sensitive), content
+                if self.form(form) in whole:
+                    also.append(pair)
+            return np.divmod(np.union1d(found, np.array(also, np.int64)), len(self))
+
+        return finds
+
 
 class PatternIndex:
     """Forms as a written table of their columns and `gram`, met by joins."""
