@@ -197,8 +197,14 @@ def unordered_digest(leaf: Column) -> Column:
     Four sums over the leaf hash plus the count. Sums combine on the map side,
     so a group of any size costs one small row per task.
     """
-    lanes = [
-        F.sum(F.conv(F.substring(leaf, start, 15), 16, 10).cast("decimal(38,0)")).cast("string")
-        for start in (1, 16, 31, 46)
-    ]
-    return F.sha2(F.concat_ws("|", F.count(leaf).cast("string"), *lanes), 256)
+    return sums_digest(F.count(leaf), [F.sum(lane) for lane in lanes(leaf)])
+
+
+def lanes(leaf: Column) -> list[Column]:
+    """What a hex leaf adds to each of the four sums of `unordered_digest`."""
+    return [F.conv(F.substring(leaf, start, 15), 16, 10).cast("decimal(38,0)") for start in (1, 16, 31, 46)]
+
+
+def sums_digest(count: Column, sums: list[Column]) -> Column:
+    """`unordered_digest` from the count of leaves and the sums of their lanes."""
+    return F.sha2(F.concat_ws("|", count.cast("string"), *[s.cast("string") for s in sums]), 256)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.hashing import canonical_json, digest, keyed_seal, unordered_digest
+from ..functions.hashing import canonical_json, digest, keyed_seal, lanes, sums_digest, unordered_digest
 
 FAN = 10_000
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -77,15 +77,60 @@ def raw_fingerprint(rows: DataFrame, by: list[str], raw: Column) -> DataFrame:
     )
 
 
-def mint(meta: DataFrame, fingerprints: DataFrame, by: list[str]) -> DataFrame:
+def fingerprints(
+    rows: DataFrame,
+    by: list[str],
+    canonical: Column,
+    raw: Column,
+    ordinal: str = "ordinal",
+    is_record: Column | None = None,
+    is_source: Column | None = None,
+    fan: int = FAN,
+) -> DataFrame:
+    """data_digest, row_count and raw_digest per key: those of `data_fingerprint` and `raw_fingerprint`, in one pass.
+
+    Rows that are not `is_record` do not count for the first, rows that are not `is_source` for the last; a key without any
+    has null there. `canonical` and `raw` are expressions: rows are shuffled as they are, by key and stretch of `fan`
+    ordinals, and hashed after, as digests do not compress. One more shuffle by the key carries a row per stretch, of
+    which a task gets one for up to `fan` records.
+    """
+    at = F.col(ordinal).cast("bigint")
+    spread = rows.withColumn("_up", F.floor(at / fan)).repartition(*by, "_up")
+    record, source = (F.lit(True) if c is None else F.coalesce(c, F.lit(False)) for c in (is_record, is_source))
+    leaves = spread.select(
+        *by, "_up", at.alias("_at"), record.alias("_is"), F.when(record, F.unhex(digest(canonical))).alias("_h"),
+        F.when(source, digest(raw)).alias("_raw"), source.alias("_is_source"),
+    )
+    sums = [f"_s{i}" for i in range(4)]
+    listed = F.sort_array(F.collect_list(F.when(F.col("_is"), F.struct("_at", "_h"))))
+    node = F.unhex(digest(F.array_join(F.transform(listed, lambda x: F.lower(F.hex(x["_h"]))), "")))
+    level = leaves.groupBy(*by, "_up").agg(
+        node.alias("_h"), F.count_if("_is").alias("_n"), F.count_if("_is_source").alias("_sources"), F.count("_raw").alias("_m"),
+        *[F.sum(lane).alias(s) for s, lane in zip(sums, lanes(F.col("_raw")), strict=True)],
+    )
+    level = level.withColumnRenamed("_up", "_at").withColumn("_is", F.col("_n") > 0).repartition(*by)
+    for up in ([F.floor(F.col("_at") / fan).alias("_up")], []):
+        level = level.groupBy(*by, *up).agg(
+            node.alias("_h"), *[F.sum(c).alias(c) for c in ("_n", "_sources", "_m", *sums)]
+        ).withColumn("_is", F.col("_n") > 0)
+        level = level.withColumnRenamed("_up", "_at") if up else level
+    return level.select(
+        *by,
+        F.when(F.col("_is"), F.lower(F.hex("_h"))).alias("data_digest"),
+        F.col("_n").alias("row_count"),
+        F.when(F.col("_sources") > 0, sums_digest(F.col("_m"), [F.col(s) for s in sums])).alias("raw_digest"),
+    )
+
+
+def mint(meta: DataFrame, fingerprints: DataFrame | None, by: list[str]) -> DataFrame:
     """Header rows before linking: one per row of `meta`.
 
     `meta` carries run_id, seq, tool_name, tool_version, args_canonical, image_sha256 and
-    ts; `fingerprints` the two digests. Runs without records get the digest of nothing.
+    ts; `fingerprints` the two digests (None: `meta` has them). Runs without records get the digest of nothing.
     `ts` is data, never the clock, so a rerun mints the same ids. Rows whose image hash
     is not 64 lower-case hex digits come out with a `reject_reason`.
     """
-    rows = meta.join(fingerprints, by, "left")
+    rows = meta if fingerprints is None else meta.join(fingerprints, by, "left")
     for name, kind in (("model_id", "string"), ("prompt_hash", "string"), ("offsets", NO_OFFSETS)):
         if name not in rows.columns:
             empty = F.lit(None).cast(kind) if name != "offsets" else F.array().cast(kind)
@@ -132,9 +177,12 @@ def seal(receipts: DataFrame, key: bytes) -> DataFrame:
     return receipts.withColumn("seal", keyed_seal(header_json(receipts), key))
 
 
+def seal_fits(receipts: DataFrame, key: bytes) -> Column:
+    return F.coalesce(F.col("seal") == keyed_seal(header_json(receipts), key), F.lit(False))
+
+
 def verify_seal(receipts: DataFrame, key: bytes) -> DataFrame:
-    good = F.col("seal") == keyed_seal(header_json(receipts), key)
-    return receipts.select("receipt_id", F.coalesce(good, F.lit(False)).alias("seal_ok"))
+    return receipts.select("receipt_id", seal_fits(receipts, key).alias("seal_ok"))
 
 
 def verify_data(

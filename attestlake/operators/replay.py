@@ -310,7 +310,7 @@ def row_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def version_drift(receipts: DataFrame, installed: DataFrame) -> DataFrame:
     """Receipts minted by another version than the installed one (tool_name, version)."""
-    return receipts.join(installed, "tool_name", "left").select(
+    return receipts.join(F.broadcast(installed), "tool_name", "left").select(  # a row per tool
         "receipt_id",
         F.coalesce(F.col("tool_version") == F.col("version"), F.lit(False)).alias("version_ok"),
     )

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.hashing import each_digest, packed, unpacked
 from ..operators import claims as cl, receipts as rc, replay
+from ..session import scratch_table, written
 from . import adapters as ad
 from .adapters import cte, with_ctes
 from .registry import Tables, query
@@ -202,29 +204,33 @@ def clm05_full(t: Tables):
     Some seals are of another key, some records and some source rows are gone since, some versions are old, and
     receipts of evidence without a proper hash were never minted.
     """
-    rows, seq = ad.record_rows(t), F.col("seq")
+    rows, seq = ad.plain_records(t), F.col("seq")
     good = ad.stored_receipts(t)
     sealed = rc.seal(good, ad.KEY).where(seq % 17 != 3).unionByName(rc.seal(good, b"another key").where(seq % 17 == 3))
-    data = rc.verify_data(good, rc.data_fingerprint(ad.tampered(rows), ad.BY), ad.BY)
-    source = rows.where(~((seq % 19 == 5) & (F.col("ordinal") % 2 == 1)))
-    again = replay.replay_drift(good, rc.raw_fingerprint(source, ad.BY, F.col("raw")), ad.BY)
     installed = t.spark.createDataFrame(
         [(name, "1.0") for name in sorted(set(ad.TOOL.values()))], "tool_name string, version string"
     )
-    checks = cl.receipt_checks(
-        good,
-        seal=rc.verify_seal(sealed, ad.KEY),
-        data=data,
-        version=replay.version_drift(good, installed),
-        replay=again.select("receipt_id", "replay_ok"),
-    )
-    ids = good.select(*ad.BY, "receipt_id")
-    records = rows.join(ids, ad.BY).select(
-        "receipt_id", "ordinal", ad.record_map(rows, ad.RECORD_FIELDS).alias("record")
+    # Checks that need the header alone are made on the receipts' own rows; then these meet one pass over what is left of the
+    # records and of the source.
+    own = sealed.join(F.broadcast(installed), "tool_name", "left").select(
+        *ad.BY, "receipt_id", "data_digest", "raw_digest",
+        rc.seal_fits(sealed, ad.KEY).alias("seal_ok"), (F.col("tool_version") == F.col("version")).alias("version_ok"),
+    )
+    now = ad.prints(t, is_record=ad.is_left(), is_source=~((seq % 19 == 5) & (F.col("ordinal") % 2 == 1))).select(
+        *ad.BY, F.col("data_digest").alias("data_now"), F.col("raw_digest").alias("raw_now")
     )
-    named = ad.short_chain(t).withColumnRenamed("receipt_id", "name").select(*ad.BY, "name")
-    made = named.join(ids, ad.BY, "left").withColumn("receipt_id", F.coalesce("receipt_id", "name"))
-    found = cl.verify(ad.claims_over(made), checks, records)
+    both = each_digest(own, packed).join(now.withColumns({n: packed(F.col(n)) for n in ("data_now", "raw_now")}), ad.BY, "left")
+    same = {
+        "data_ok": F.coalesce("data_now", packed(F.lit(rc.EMPTY))) == F.col("data_digest"),
+        "replay_ok": F.col("raw_now") == F.col("raw_digest"),
+    }
+    failure = cl.first_failure({"seal_ok": F.col("seal_ok"), "version_ok": F.col("version_ok"), **same})
+    checks = both.select(*ad.BY, unpacked(F.col("receipt_id")).alias("receipt_id"), failure.alias("failure"))
+    named = ad.short_chain(t).select(*ad.BY, F.col("receipt_id").alias("name"))
+    ids = each_digest(good.select(*ad.BY, "receipt_id"), packed)
+    made = each_digest(named.join(ids, ad.BY, "left"), unpacked).withColumn("receipt_id", F.coalesce("receipt_id", "name"))
+    made = written(made, scratch_table(t.spark, "cited"))
+    found = cl.verify(ad.claims_over(made), checks, rows, by=tuple(ad.BY), record=ad.record_map(rows, ad.RECORD_FIELDS))
     failure = F.when(F.col("verdict").isNotNull(), F.regexp_extract("reason", r"^receipt \S+: (.*)$", 1))
     return found.select("claim_id", "reject_reason", "verdict", failure.alias("failure"))
 

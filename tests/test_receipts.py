@@ -295,3 +295,34 @@ def test_linking_reads_written_fingerprints(spark, tables):
     """However often linking reads the minted receipts, their records are not read again."""
     plan = ad.receipts(tables)._jdf.queryExecution().optimizedPlan().toString()
     assert "props" not in plan and "event_type" not in plan
+
+
+def test_one_pass_gives_both_digests(spark):
+    """Rows are shuffled as they are and hashed after: two shuffles, and the digests of the two separate functions."""
+    from attestlake.operators import receipts as rc
+
+    rows = spark.range(600).selectExpr(
+        "concat('run', id % 3) AS run", "if(id % 3 = 2, null, id % 7) AS seq", "id * id AS ordinal", "id AS v", "id % 5 > 0 AS kept", "id % 7 <> 3 AS read"
+    )
+    canonical, raw = F.concat(F.lit("c"), F.col("v").cast("string")), F.when(F.col("v") % 11 > 0, F.concat(F.lit("r"), F.col("v").cast("string")))
+    by = ["run", "seq"]
+    for fan in (4, 10_000):
+        for record, source in ((None, None), (F.col("kept"), F.col("read"))):
+            some = lambda c: rows if c is None else rows.where(c)
+            data = rc.data_fingerprint(some(record).withColumn("canonical", canonical), by, fan=fan)
+            sums = rc.raw_fingerprint(some(source), by, raw)
+            want = {(r.run, r.seq): (r.data_digest, r.row_count) for r in data.collect()}
+            also = {(r.run, r.seq): r.raw_digest for r in sums.collect()}
+            made = rc.fingerprints(rows, by, canonical, raw, is_record=record, is_source=source, fan=fan)
+            got = {(r.run, r.seq): (r.data_digest, r.row_count, r.raw_digest) for r in made.collect()}
+            assert got == {k: (*want.get(k, (None, 0)), also.get(k)) for k in {(r.run, r.seq) for r in rows.collect()}}
+    plan = rc.fingerprints(rows, by, canonical, raw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    shuffled = plan[plan.rindex("Exchange hashpartitioning") :]
+    assert "sha2" not in shuffled
+
+
+def test_minting_shuffles_records_and_stretches_only(spark, tables):
+    """Receipts are minted on the rows of their written fingerprints, which have each key once."""
+    plan = ad.minted(tables)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
